@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, quality
+from tidemark.llm import bpe, mixing, quality, secret_links
 
 QUERIES = {
     "op1_mix_curriculum": mixing.op1,
+    "op2_credential_links": secret_links.op2,
+    "op6_word_table_bpe": bpe.op6,
     "op10_rule_ledger": quality.op10,
 }
 
 ORACLE = {
     "op1_mix_curriculum": mixing.OP1_SQL,
+    "op2_credential_links": secret_links.OP2_SQL,
     "op10_rule_ledger": quality.OP10_SQL,
 }
