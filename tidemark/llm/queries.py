@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, mixing, quality, secret_links
+from tidemark.llm import bpe, minhash, mixing, quality, secret_links, suffix_dedup
 
 QUERIES = {
     "op1_mix_curriculum": mixing.op1,
     "op2_credential_links": secret_links.op2,
+    "op3_suffix_repeats": suffix_dedup.op3,
+    "op4_minhash_tensored": minhash.op4,
     "op6_word_table_bpe": bpe.op6,
     "op10_rule_ledger": quality.op10,
 }
