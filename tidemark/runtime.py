@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCRATCH_CONF = "spark.checkpoint.dir"
 
@@ -53,6 +54,15 @@ def drop_stash(*frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.where(condition)`` over columns as computed.
+
+    Catalyst would push the filter below the projections that compute its columns and write them
+    out again inside the condition, once for each mention; a row number in between stops that.
+    """
+    return df.withColumn("_once", F.monotonically_increasing_id()).where(condition & (F.col("_once") >= 0)).drop("_once")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
