@@ -27,6 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 REPEAT_LIMIT = 3
 #: By weight class, the schedule's value at t = 0 and at t = 1; the integrals are 1, 2 and 3.
 SCHEDULES = ((1.5, 0.5), (2.0, 2.0), (2.5, 3.5))
+#: A plan of at most so many passes (20 bytes each) is broadcast; a longer one is joined by a shuffle.
+BROADCAST_PASSES = 1_000_000
 #: Rows of one slice stay near this number.
 SLICE_ROWS = 4096
 
@@ -136,7 +138,7 @@ def _mix(spark: SparkSession, rows: DataFrame, weights: list[int], schedules) ->
     )
     placed = placed.withColumn("passes", passes)
     placed = placed.withColumn("taken", F.expr("aggregate(passes, 0L, (a, p) -> a + p.words)")).withColumn("position", F.expr("get(passes, 0).position"))
-    keep = [c for c in rows.columns if not c.startswith("_")]
+    keep = [c for c in rows.columns if c not in ("_h", "_slice")]
     return placed.select(*[placed[c] for c in keep], "source_size", "target", "taken", "position", "passes")
 
 
@@ -156,6 +158,17 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return passes.drop("pass", "passes").orderBy("at", "doc_id", "epoch")
 
 
+def mixed_documents(docs: DataFrame, weights: list[int] = (1, 2, 3)) -> DataFrame:
+    """The mix itself: whole documents, once for each pass of which the mix takes at least half,
+    range-sorted by training position; columns of ``docs``."""
+    held = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
+    plan = mix(held.select("_row", "doc_id", "source", "text"), weights)
+    plan = plan.select("_row", F.explode(F.expr("filter(passes, p -> 2 * p.words >= size)")).alias("p")).select("_row", F.col("p.position").alias("_at"), F.col("p.epoch").alias("_epoch"))
+    plan = stash(plan, "mix-plan")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_PASSES else plan
+    return held.join(plan, "_row").orderBy("_at", "_row", "_epoch").select(*docs.columns)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     mixed = mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.runtime import where_computed
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -127,7 +129,7 @@ def fails(policy: Policy, bits: str = "failed") -> Column:
 
 def apply_policy(book: DataFrame, policy: Policy) -> DataFrame:
     """Documents of the ledger that the policy keeps."""
-    return book.where(~fails(policy))
+    return where_computed(book, ~fails(policy))
 
 
 def ablations(book: DataFrame, *policies: Policy) -> DataFrame:

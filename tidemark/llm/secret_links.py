@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.runtime import stash
+from tidemark.runtime import stash, where_computed
 
 #: Patterns of the base kinds; letters of the keywords in either case, spelled out so that every
 #: regex engine agrees. \x22 and \x27 are the quotes.
@@ -104,8 +104,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     columns = [c for c in docs.columns if c not in ("base", "spans")]
     found = _candidates(docs.select(*columns), text)
     linkable = F.expr(f"size(_weak) > 0 and size(array_distinct(transform(concat(_weak, _strong), x -> {_roles()}))) > 1")
-    plain = found.where(~linkable).select(*columns, F.col("_strong").alias("base"), F.col("_strong").alias("spans"))
-    some = stash(found.where(linkable).withColumn("_row", F.monotonically_increasing_id()), "secret-parts")
+    plain = where_computed(found, ~linkable).select(*columns, F.col("_strong").alias("base"), F.col("_strong").alias("spans"))
+    some = stash(where_computed(found, linkable).withColumn("_row", F.monotonically_increasing_id()), "secret-parts")
     linked = _linked(some)
     joined = some.join(linked, "_row", "left").select(
         *columns,
