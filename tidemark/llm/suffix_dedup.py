@@ -39,6 +39,8 @@ from tidemark.runtime import shuffle_width, stash
 LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1
 PIECE = 1 << 21
+#: Contexts of one anchor hash beyond this number are counted by content instead of side by side.
+GROUP = 4096
 #: Keys of at most so many texts are broadcast (12 bytes each); more are joined by a shuffle.
 BROADCAST_TEXTS = 1_000_000
 
@@ -175,17 +177,24 @@ def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
-def _strings(place: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _strings(place: np.ndarray, raw: list[bytes], step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All strings of some contexts: (context, start in the text, content hash)."""
-    lens = np.array([len(b) for b in raw], np.int64)
-    ends = np.cumsum(lens)
-    prefix = _prefix(np.frombuffer(b"".join(raw), np.uint8))
-    counts = lens - LENGTH + 1
-    base = np.cumsum(counts) - counts
-    owner = np.repeat(np.arange(len(raw)), counts)
-    inner = np.arange(counts.sum()) - base[owner]
-    start = (ends - lens)[owner] + inner
-    return owner, _first_last(place)[0][owner] + inner, _mix(_hash(prefix, start, start + LENGTH))
+    if not raw:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    owners, starts, contents = [], [], []
+    for k in range(0, len(raw), step):
+        part = raw[k : k + step]
+        lens = np.array([len(b) for b in part], np.int64)
+        begins = np.cumsum(lens) - lens
+        prefix = _prefix(np.frombuffer(b"".join(part), np.uint8))
+        counts = lens - LENGTH + 1
+        owner = np.repeat(np.arange(len(part)), counts)
+        inner = np.arange(counts.sum()) - (np.cumsum(counts) - counts)[owner]
+        start = begins[owner] + inner
+        owners.append(owner + k)
+        starts.append(_first_last(place)[0][owner + k] + inner)
+        contents.append(_mix(_hash(prefix, start, start + LENGTH)))
+    return np.concatenate(owners), np.concatenate(starts), np.concatenate(contents)
 
 
 def _match_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +205,7 @@ def _match_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """
     from tidemark.llm.minhash import _grouped
 
-    for table, _ in _grouped(batches, ["gram"], 4096):
+    for table, _ in _grouped(batches, ["gram"], 2 * GROUP):
         gram, place = table.column("gram").to_numpy(), table.column("place").to_numpy()
         owner, start, content = _strings(place, table.column("bytes").to_pylist())
         order = np.lexsort((content, gram[owner]))
@@ -287,10 +296,6 @@ def repeats(texts: DataFrame) -> DataFrame:
     return stash(found.groupBy("x", "y").agg(F.collect_set("place").alias("places")), "repeat-places")
 
 
-#: Contexts of one anchor hash beyond this number are counted by content instead of side by side.
-GROUP = 256
-
-
 def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
     """``docs`` without ``text``, with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for,
     ``kept_text`` in bytes (a cut may fall inside a code point)."""
