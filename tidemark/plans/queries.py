@@ -128,7 +128,7 @@ _url_query("u09_host_pattern", {
 _url_query("u10_host_matches_url", {"hit": (urls.any_host_matches(["host.co.uk:8443", ".example.org"], "u_host", "u_origin"), "(u_origin = 'host.co.uk:8443' OR u_host = 'example.org' OR u_host LIKE '%.example.org')")})
 _url_query("u11_directory", {"dir": (urls.directory("u_path"), "regexp_extract(u_path, '^(.*/)', 1)")})
 _url_query("u12_under_directory", {"under": ("u_host = 'other.example.com' and startswith(u_path, '/')", "u_host = 'other.example.com' AND u_path LIKE '/%'")})
-_url_query("u13_segments", {"n": (f"bigint(size({urls.segments('u_path')}))", f"CAST(len({_SEG}) AS BIGINT)"), "last": (f"coalesce(element_at({urls.segments('u_path')}, -1), '')" if False else f"coalesce(get({urls.segments('u_path')}, size({urls.segments('u_path')}) - 1), '')", f"coalesce(({_SEG})[-1], '')")})
+_url_query("u13_segments", {"n": (f"bigint(size({urls.segments('u_path')}))", f"CAST(len({_SEG}) AS BIGINT)"), "last": (f"coalesce(get({urls.segments('u_path')}, size({urls.segments('u_path')}) - 1), '')", f"coalesce(({_SEG})[-1], '')")})
 _url_query("u14_max_repeat", {"n": (f"bigint({urls.max_repeat(urls.segments('u_path'))})", f"CAST(coalesce(list_max(list_transform({_SEG}, lambda x: len(list_filter({_SEG}, lambda y: y = x)))), 0) AS BIGINT)")})
 _DROP = ["utm_source", "ref"]
 _STRIPPED = """CASE WHEN NOT regexp_matches('&' || u_query, '(?i)&(utm_source|ref)=') THEN u_query ELSE
