@@ -10,8 +10,8 @@ Documents with equal shingle sets are one node. In each bucket of a key all memb
 first one (never to each other), and links are confirmed on full sets:
 
 1. each node is compared with the head it shares most keys with, twice; links merge nodes;
-2. what is left are pairs of merged groups that share a key and are not linked. Their members are
-   compared exhaustively, in blocks, so no link between groups is lost. Inside a merged group
+2. groups that share a key and are not linked are then compared exhaustively, in blocks of their
+   members, so no link between groups is lost. Inside a merged group
    further links change nothing and are not sought.
 
 Edge cases: null or empty texts and texts without words have an empty set, link with nothing and
@@ -36,6 +36,8 @@ SIDE, ROWS = 20, 3
 BLOCK = 256
 #: Ids of at most so many nodes are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
+#: Unit lists of at most so many rows (about 60 bytes each) are broadcast.
+BROADCAST_ROWS = 250_000
 MEMO_WORDS = 300_000
 
 _RNG = np.random.default_rng(20240229)
@@ -82,8 +84,8 @@ def shingles(text: str | None, size: int, hashes: _Hashes) -> np.ndarray:
 def signature(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sub-keys of both sides: 64 bits on the first, 16 bits on the second."""
     least = np.empty(len(_FLIP), np.uint64)
-    for k in range(0, len(items), 4096):
-        part = ((items[None, k : k + 4096] ^ _FLIP[:, None]) * _MULTIPLY[:, None]).min(axis=1)
+    for k in range(0, len(items), 2048):
+        part = ((items[None, k : k + 2048] ^ _FLIP[:, None]) * _MULTIPLY[:, None]).min(axis=1)
         least = part if k == 0 else np.minimum(least, part)
     sub = least.reshape(2 * SIDE, ROWS)
     keys = sub[:, 0] * _PLACE[0]
@@ -152,11 +154,12 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (first, node, seconds) sorted by first and node: (node, head, keys) of the tables.
+    """From rows (first, node, seconds) sorted by first and node: (node, head) of the tables.
 
-    Within a bucket of the first side, members that agree on a second sub-key share a table; its
-    head is the first of them. A bucket of any size streams through: what is kept between parts
-    is the head of each second sub-key, at most SIDE * 65,536 numbers.
+    Within a bucket of the first side, members that agree on a second sub-key share a table.
+    Tables that share members are taken together; the head is the first of all of them. A bucket
+    too large for one part streams through, each table with the first of its members as its head;
+    what is kept between parts is one head for each second sub-key, at most SIDE * 65,536.
     """
     open_key: int | None = None
     open_heads: np.ndarray | None = None
@@ -197,10 +200,29 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             carried = np.full(SIDE << 16, -1, np.int64)
         carried[unique[mine] & 0xFFFFFFFF] = heads[mine]
         open_key, open_heads = int(first[-1]), carried
+        whole = np.ones(len(starts), bool)
+        whole[last_open] = False
+        whole[0] &= not goes_on
+        together = whole[key >> 32]
+        head = np.where(together, _together(head, owner, key >> 32, begins), head)
         real = owner != head
         if real.any():
-            pair, times = np.unique(np.stack([owner[real], head[real]], axis=1), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(times.astype(np.int64))], ["node", "head", "keys"])
+            pair = np.unique(np.stack([owner[real], head[real]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["node", "head"])
+
+
+def _together(head: np.ndarray, owner: np.ndarray, bucket: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Least node that an entry's owner is joined with through the tables of its bucket."""
+    first, table = np.flatnonzero(begins), np.cumsum(begins) - 1
+    member = np.unique(np.stack([bucket, owner], axis=1), axis=0, return_inverse=True)[1].ravel()
+    label = head
+    while True:
+        own = np.full(len(member), np.iinfo(np.int64).max)
+        np.minimum.at(own, member, label)
+        new = np.minimum.reduceat(own[member], first)[table]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -295,37 +317,52 @@ def _merge(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     nodes = rows.join(sets.select(F.col("node").alias("row")), "row", "left_semi")
     buckets = nodes.select(F.col("row").alias("node"), F.explode("firsts").alias("first"), "seconds")
     width = max(shuffle_width(spark), sets.count() * SIDE // 1_000_000)
-    heads = buckets.select("first", "node", "seconds").repartition(width, "first").sortWithinPartitions("first", "node").mapInArrow(_heads, "node bigint, head bigint, keys bigint")
-    edges = stash(heads.groupBy("node", "head").agg(F.sum("keys").alias("keys")), "minhash-heads")
-    active = stash(edges.select("node").union(edges.select("head")).distinct(), "minhash-active")
+    heads = buckets.select("first", "node", "seconds").repartition(width, "first").sortWithinPartitions("first", "node").mapInArrow(_heads, "node bigint, head bigint")
+    edges = heads.groupBy("node", "head").agg(F.count(F.lit(1)).alias("keys"))
+    edges = stash(edges, "minhash-heads")
+    active = edges.select("node").union(edges.select("head")).distinct()
+    active = stash(active.join(rows.select(F.col("row").alias("node"), "n"), "node"), "minhash-active")
     small = active.count() <= BROADCAST_NODES
     wanted = active.select(F.col("node").alias("row"))
     items = rows.select("row", "items").join(F.broadcast(wanted) if small else wanted, "row", "left_semi")
     items = stash(items.withColumnRenamed("row", "node"), "minhash-items")
 
     group = active.withColumn("grp", F.col("node"))
+
     links = None
     tested = None
     for _ in range(2):
         left = edges if tested is None else edges.join(tested, ["node", "head"], "left_anti")
-        left = _open(left, group)
+        # Sets whose sizes differ by more than the similarity allows can't be linked.
+        left = _open(left, group).where(100 * F.least("n", "hn") >= percent * F.greatest("n", "hn"))
         pick = stash(left.groupBy("node").agg(F.max_by("head", F.struct("keys", -F.col("head"))).alias("head")), "minhash-picked")
         tested = pick if tested is None else tested.unionByName(pick)
         found = stash(_in_units(_star_rows(pick, items), percent), "minhash-links")
         links = found if links is None else links.unionByName(found)
-        group = components(active, links)
-    left = stash(_open(edges.join(tested, ["node", "head"], "left_anti"), group), "minhash-open")
-    found = stash(_in_units(_block_rows(left, group, items), percent), "minhash-links")
+        group = _sized(active, components(active, links))
+    left = stash(_open(edges, group), "minhash-open")
+    found = stash(_in_units(_block_rows(left, tested, group, items, percent), percent), "minhash-links")
     return components(active, links.unionByName(found))
 
 
+def _sized(active: DataFrame, group: DataFrame) -> DataFrame:
+    return stash(active.join(group, "node"), "minhash-groups")
+
+
 def _open(edges: DataFrame, group: DataFrame) -> DataFrame:
-    """Edges whose ends are in different groups, with both groups."""
-    a = group.select("node", F.col("grp").alias("g"))
-    b = group.select(F.col("node").alias("head"), F.col("grp").alias("hg"))
+    """Edges whose ends are in different groups, with both groups and set sizes."""
+    a = group.select("node", F.col("grp").alias("g"), "n")
+    b = group.select(F.col("node").alias("head"), F.col("grp").alias("hg"), F.col("n").alias("hn"))
     return edges.join(a, "node").join(b, "head").where("g <> hg")
 
 
+def _with_items(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Adds the nodes' sets. A list of up to BROADCAST_ROWS rows goes to where the sets are."""
+    rows = stash(rows, "minhash-units")
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return items.join(rows, "node").select("unit", "role", "node", "grp", "items")
+
+
 def _star_rows(pick: DataFrame, items: DataFrame) -> DataFrame:
     """Units of up to BLOCK nodes and the head they picked."""
     many = pick.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
@@ -333,13 +370,24 @@ def _star_rows(pick: DataFrame, items: DataFrame) -> DataFrame:
     members = pick.join(many, "head").select(_unit("head", part).alias("unit"), F.lit(1).alias("role"), "node")
     hubs = many.select("head", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
     hubs = hubs.select(_unit("head", "part").alias("unit"), F.lit(0).alias("role"), F.col("head").alias("node"))
-    return members.unionByName(hubs).join(items, "node").select("unit", "role", "node", F.col("node").alias("grp"), "items")
+    return _with_items(members.unionByName(hubs).withColumn("grp", F.col("node")), items)
 
 
-def _block_rows(left: DataFrame, group: DataFrame, items: DataFrame) -> DataFrame:
-    """Units that compare, around each group with open edges, the members of the groups that
-    share a key with it (role 0) with its own members and with each other (role 1)."""
-    pairs = left.select(F.col("hg").alias("hub"), F.col("g").alias("grp")).distinct()
+def _block_rows(left: DataFrame, tested: DataFrame, group: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Units that compare groups which meet under a head: with the largest of them (role 1) and
+    with each other, the members of the smaller ones (role 0).
+
+    Which groups meet is collected by head and then by the largest group, so that the many heads
+    of one cluster lead to the same units. Two groups whose sets differ too much in size, and two
+    single nodes already compared, are left out.
+    """
+    sizes = group.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    meet = left.select("head", F.col("g").alias("grp")).union(left.select("head", "hg")).distinct().join(sizes, "grp")
+    largest = meet.groupBy("head").agg(F.max(F.struct("size", "grp")).alias("top"), F.count(F.lit(1)).alias("groups"), F.max("lo").alias("lo"), F.min("hi").alias("hi"))
+    largest = largest.where((F.col("groups") > 2) | (100 * F.col("hi") >= percent * F.col("lo")))
+    done = left.join(tested, ["node", "head"]).select("head").distinct().withColumn("done", F.lit(True))
+    largest = largest.join(done, "head", "left").where(~(F.col("done").isNotNull() & (F.col("groups") == 2) & (F.col("top.size") == 1)))
+    pairs = meet.join(largest.select("head", "top"), "head").where(F.col("grp") != F.col("top.grp")).select(F.col("top.grp").alias("hub"), "grp").distinct()
     members = group.select("grp", "node")
     outer = pairs.join(members, "grp").select("hub", "grp", "node")
     inner = pairs.select("hub").distinct().join(members.withColumnRenamed("grp", "hub"), "hub").select("hub", F.col("hub").alias("grp"), "node")
@@ -351,7 +399,23 @@ def _block_rows(left: DataFrame, group: DataFrame, items: DataFrame) -> DataFram
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     held = outer.withColumn("c", mine).withColumn("b", every("nb")).select(_unit("hub", "c", "b").alias("unit"), F.lit(0).alias("role"), "node", "grp")
     rest = outer.unionByName(inner).withColumn("b", block).withColumn("c", every("no")).select(_unit("hub", "c", "b").alias("unit"), F.lit(1).alias("role"), "node", "grp")
-    return held.unionByName(rest).join(items, "node").select("unit", "role", "node", "grp", "items")
+    return _with_items(held.unionByName(rest), items)
+
+
+def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: of its smallest id, null last, the first.
+
+    Rows are numbered in a written copy, so repeated and null ids are told apart.
+    """
+    held = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash-docs")
+    found = near_duplicates(held, size, percent, "_row", text).select(F.col("doc_id").alias("_row"), "component_id")
+    ranked = held.select("_row", F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id"), "_row").alias("rank"))
+    first = found.join(ranked, "_row").groupBy("component_id").agg(F.min("rank")["_row"].alias("_row"), F.count(F.lit(1)).alias("n"))
+    # Only groups of several rows lose any, so what is joined with the texts is the rows that go.
+    many = first.where("n > 1").select("component_id", F.col("_row").alias("stays"))
+    gone = stash(found.join(many, "component_id").where("_row <> stays").select("_row"), "minhash-dropped")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone
+    return held.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
