@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,23 +38,45 @@ def scratch(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
+def stash(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    Inside ``temporary`` the table goes when the block ends, unless it is ``lasting``.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    if not lasting and getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open = threading.local()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables stashed in the block are deleted at its end; what leaves it must be lasting."""
+    outer, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _open.paths = _open.paths, outer
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_stash(*frames: DataFrame) -> None:
     """Delete stashed tables that no later plan reads."""
     for df in frames:
-        spark = df.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/tidemark/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+                _delete(df.sparkSession, folder)
 
 
 def where_computed(df: DataFrame, condition: Column) -> DataFrame:
