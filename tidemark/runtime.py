@@ -88,6 +88,14 @@ def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_once", F.monotonically_increasing_id()).where(condition & (F.col("_once") >= 0)).drop("_once")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of at most ``rows`` rows: the default of ten thousand
+    holds tens of megabytes of text in each of several buffers of every task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
