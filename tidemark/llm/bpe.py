@@ -28,28 +28,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.runtime import stash
+from tidemark.runtime import small_batches, stash, temporary
 
-TABLE_WORDS = 200_000
-MEMO_WORDS = 200_000
-COUNT_WORDS = 300_000
+TABLE_WORDS = 150_000
+MEMO_WORDS = 100_000
+COUNT_WORDS = 150_000
 
-#: Fixed values of the tokenizer: its split pattern, white space and special tokens.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^%s\p{L}\p{N}]+"
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Fixed values of the tokenizer: its special tokens, and its split pattern for ASCII text.
 SPECIAL = {"<|startoftext|>": 49406, "<|endoftext|>": 49407}
+ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[%s]+|[%s]|[^%s%s%s]+"
 
 
 class Splitter:
-    """Cuts a text as the tokenizer does: special tokens, NFC, lower case, then its pattern."""
-
-    def __init__(self):
-        import regex
-
-        self.wide = regex.compile(SPLIT % SPACE)
-        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+    """Cuts a text as the tokenizer does: special tokens, NFC, lower case, then its pattern.
+
+    Texts of the basic plane take compiled patterns whose letters, digits and spaces are asked of
+    the library once; a text with other characters, or with one that the library's tables
+    normalise in another way than Python's, is left to the library.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        full = Tokenizer.from_file(path)
+        self.normalise = full.normalizer.normalize_str
+        self.library = pre_tokenizers.Split(Regex(_pattern(path)), "removed", invert=True).pre_tokenize_str
+        plane = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+        whole = "".join(plane)
+
+        def ranges(kind: str) -> str:
+            found = (span for _, span in pre_tokenizers.Split(Regex(kind), "removed", invert=True).pre_tokenize_str(whole))
+            return "".join(f"{re.escape(whole[i])}-{re.escape(whole[j - 1])}" for i, j in _consecutive(found, whole))
+
+        letters, digits, spaces = ranges(r"[\p{L}]+"), ranges(r"[\p{N}]+"), ranges(r"[\s]+")
+        self.wide = re.compile(SPLIT % ("a-z" + letters, "0-9" + digits, r"\t-\r " + spaces, "a-z" + letters, "0-9" + digits))
+        space = re.compile(f"[{spaces}]")
+        odd = [c for c in plane if self.normalise(c) != (" " if space.match(c) else self.lower(c))]
+        self.odd = re.compile("[\U00010000-\U0010ffff" + "".join(map(re.escape, odd)) + "]")
+        self.ascii = re.compile(ASCII_SPLIT)
         self.special = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 
+    @staticmethod
+    def lower(text: str) -> str:
+        """NFC and lower case letter by letter: a final sigma is not told apart."""
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
     def __call__(self, text: str) -> list[str]:
         if "<|" in text:
             return list(chain.from_iterable([s] if s in SPECIAL else self.words(s) for s in self.special.split(text)))
@@ -58,9 +82,27 @@ class Splitter:
     def words(self, text: str) -> list[str]:
         if text.isascii():
             return self.ascii.findall(text.lower())
-        text = unicodedata.normalize("NFC", text)
-        # Lower case letter by letter: a final sigma is not told apart.
-        return self.wide.findall(text.replace("Σ", "σ").lower())
+        if self.odd.search(text):
+            return [piece for piece, _ in self.library(self.normalise(text))]
+        return self.wide.findall(self.lower(text))
+
+
+def _consecutive(spans, whole: str):
+    """Spans of ``whole``, cut where its characters are not consecutive."""
+    for i, j in spans:
+        start = i
+        for k in range(i + 1, j):
+            if ord(whole[k]) != ord(whole[k - 1]) + 1:
+                yield start, k
+                start = k
+        yield start, j
+
+
+def _pattern(path: str) -> str:
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
 
 
 def _tokenizer(path: str):
@@ -75,19 +117,27 @@ def _tokenizer(path: str):
         return Tokenizer.from_str(json.dumps(json.load(f) | {"normalizer": None}))
 
 
-def _word_ids(tokenizer, words: list[str]) -> list[tuple[int, ...]]:
-    return [(SPECIAL[w],) if w in SPECIAL else tuple(e.ids) for w, e in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True)]
+def _width(tokenizer) -> str:
+    """How ids are packed: two bytes each if the vocabulary allows."""
+    return "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def _word_ids(tokenizer, words: list[str]) -> list[bytes]:
+    """The packed ids of each word."""
+    width = _width(tokenizer)
+    coded = tokenizer.encode_batch(words, add_special_tokens=False)
+    return [np.array([SPECIAL[w]] if w in SPECIAL else e.ids, width).tobytes() for w, e in zip(words, coded, strict=True)]
 
 
 class Memo(dict):
-    """Ids of words; those not in the table are encoded when first met."""
+    """Packed ids of words; those not in the table are encoded when first met."""
 
     def __init__(self, table: dict, path: str):
         super().__init__(table)
         self.tokenizer, self.most = _tokenizer(path), len(table) + MEMO_WORDS
-        self.table = table
+        self.table, self.width = table, _width(self.tokenizer)
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
             self.update(self.table)
@@ -95,11 +145,11 @@ class Memo(dict):
         return ids
 
 
-def word_table(docs: DataFrame, text: str = "text") -> DataFrame:
+def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(word, n) for every distinct word of all texts; counted within tasks before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = Splitter(), Counter()
+        split, seen = Splitter(path), Counter()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
         for batch in batches:
             for x in batch.column(0):
@@ -114,15 +164,15 @@ def word_table(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, n) -> adds ``ids``: each distinct word is encoded once."""
+    """(word, n) -> adds ``ids``, packed: each distinct word is encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         for batch in batches:
             ids = _word_ids(tokenizer, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
-    return words.select("word", "n").mapInArrow(encode, "word string, n bigint, ids array<int>")
+    return words.select("word", "n").mapInArrow(encode, "word string, n bigint, ids binary")
 
 
 def frequent(words: DataFrame, most: int = TABLE_WORDS) -> DataFrame:
@@ -140,9 +190,10 @@ def frequent(words: DataFrame, most: int = TABLE_WORDS) -> DataFrame:
 
 def shared_table(docs: DataFrame, path: str, text: str = "text"):
     """The frequent words' ids as a broadcast variable; at most ``TABLE_WORDS`` entries."""
-    words = stash(word_table(docs, text), "bpe-words")
-    rows = encoded_words(frequent(words), path).select("word", "ids").toArrow()
-    table = dict(zip(rows.column(0).to_pylist(), map(tuple, rows.column(1).to_pylist()), strict=True))
+    with temporary(docs.sparkSession):
+        words = stash(word_table(docs, path, text), "bpe-words")
+        rows = encoded_words(frequent(words), path).select("word", "ids").toArrow()
+    table = dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
     return docs.sparkSession.sparkContext.broadcast(table)
 
 
@@ -154,6 +205,7 @@ def pieces(path: str) -> list[str]:
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text", decode: bool = True) -> DataFrame:
     """``docs`` with ``ids`` and, if asked for, ``decoded``, the pieces of the ids joined."""
+    small_batches(docs.sparkSession)
     table = shared_table(docs, path, text)
     out = ["ids"] + ["decoded"] * decode
     kept = [c for c in docs.columns if c not in out]
@@ -161,16 +213,16 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", decode: bool =
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, memo, vocabulary = Splitter(), Memo(table.value, path), pieces(path)
+        split, memo, vocabulary = Splitter(path), Memo(table.value, path), pieces(path)
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
                 arrays, texts = [], []
                 for x in batch.column(at):
-                    ids = list(chain.from_iterable(map(memo.__getitem__, split(x.as_py() or ""))))
-                    arrays.append(np.array(ids, np.int32))
+                    ids = np.frombuffer(b"".join(map(memo.__getitem__, split(x.as_py() or ""))), memo.width)
+                    arrays.append(ids.astype(np.int32))
                     if decode:
-                        texts.append(" ".join(map(vocabulary.__getitem__, ids)))
+                        texts.append(" ".join(map(vocabulary.__getitem__, ids.tolist())))
                 offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.array([], np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids, *([pa.array(texts, pa.string())] * decode)], [*kept, *out])
