@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.runtime import shuffle_width, stash
+from tidemark.runtime import shuffle_width, stash, temporary
 
 WORD = r"[^\x20\x09-\x0D]+"
 REPEAT_LIMIT = 3
@@ -134,7 +134,7 @@ def _mix(spark: SparkSession, rows: DataFrame, weights: list[int], schedules) ->
     passes = F.expr(
         f"""filter(transform(sequence(0, {REPEAT_LIMIT - 1}), e -> struct(e as epoch,
                 greatest(0L, least(size, _demand - e * source_size - _begin)) as words,
-                {_time_sql("(e * source_size + _begin) / target")} as position)), p -> p.words > 0)"""
+                {_time_sql("try_divide(e * source_size + _begin, target)")} as position)), p -> p.words > 0)"""
     )
     placed = placed.withColumn("passes", passes)
     placed = placed.withColumn("taken", F.expr("aggregate(passes, 0L, (a, p) -> a + p.words)")).withColumn("position", F.expr("get(passes, 0).position"))
@@ -162,9 +162,10 @@ def mixed_documents(docs: DataFrame, weights: list[int] = (1, 2, 3)) -> DataFram
     """The mix itself: whole documents, once for each pass of which the mix takes at least half,
     range-sorted by training position; columns of ``docs``."""
     held = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    plan = mix(held.select("_row", "doc_id", "source", "text"), weights)
-    plan = plan.select("_row", F.explode(F.expr("filter(passes, p -> 2 * p.words >= size)")).alias("p")).select("_row", F.col("p.position").alias("_at"), F.col("p.epoch").alias("_epoch"))
-    plan = stash(plan, "mix-plan")
+    with temporary(docs.sparkSession):
+        plan = mix(held.select("_row", "doc_id", "source", "text"), weights)
+        plan = plan.select("_row", F.explode(F.expr("filter(passes, p -> 2 * p.words >= size)")).alias("p")).select("_row", F.col("p.position").alias("_at"), F.col("p.epoch").alias("_epoch"))
+        plan = stash(plan, "mix-plan", lasting=True)
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_PASSES else plan
     return held.join(plan, "_row").orderBy("_at", "_row", "_epoch").select(*docs.columns)
 
