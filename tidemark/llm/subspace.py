@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.runtime import shuffle_width, stash
+from tidemark.runtime import shuffle_width, stash, temporary
 
 BLOCKS = 4
 CHUNK = 8192
@@ -242,22 +242,43 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id"
     """(vec_id, n_links, component_id, kept), a row for each vector."""
     spark = vectors.sparkSession
     id_type = vectors.schema[vec_id].dataType.simpleString()
-    rows = stash(vectors.select(vec_id, embedding).mapInArrow(_vectors, f"vec_id {id_type}, vec binary"), "vectors")
-    nodes = rows.where("vec is not null").groupBy("vec").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
-    nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
-    cells = nodes.select("vec").mapInArrow(_count_cells(cosine), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
-    counts = dict(cells.collect())  # cells have a fixed width in [-1, 1], so their number is bounded
-    dealt = nodes.select("node", "weight", "vec").mapInArrow(_deal(cosine, counts), "unit string, role int, node bigint, weight bigint, vec binary")
-    met = dealt.repartition(shuffle_width(spark), "unit").sortWithinPartitions("unit").mapInArrow(_join(cosine), "node bigint, links bigint, grp bigint")
-    met = stash(met, "vector-links")
-    groups = components(met.select("node"), met.select(F.col("node").alias("a"), F.col("grp").alias("b")))
-    links = met.groupBy("node").agg(F.sum("links").alias("links")).join(groups, "node")
-    full = nodes.join(links, "node", "left").select("vec", "weight", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("grp", "node").alias("grp"))
-    smallest = full.groupBy("grp").agg(F.min("least").alias("component_id"))
-    full = full.join(smallest, "grp").select("vec", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id")
-    out = rows.join(full, "vec", "left").withColumn("component_id", F.when(F.col("vec").isNull(), F.col("vec_id")).otherwise(F.col("component_id")))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    with temporary(spark):
+        rows = stash(vectors.select(vec_id, embedding).mapInArrow(_vectors, f"vec_id {id_type}, vec binary"), "vectors")
+        nodes = rows.where("vec is not null").groupBy("vec").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
+        nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
+        cells = nodes.select("vec").mapInArrow(_count_cells(cosine), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+        counts = dict(cells.collect())  # cells have a fixed width in [-1, 1], so their number is bounded
+        dealt = nodes.select("node", "weight", "vec").mapInArrow(_deal(cosine, counts), "unit string, role int, node bigint, weight bigint, vec binary")
+        met = dealt.repartition(shuffle_width(spark), "unit").sortWithinPartitions("unit").mapInArrow(_join(cosine), "node bigint, links bigint, grp bigint")
+        met = stash(met, "vector-links")
+        groups = components(met.select("node"), met.select(F.col("node").alias("a"), F.col("grp").alias("b")))
+        links = met.groupBy("node").agg(F.sum("links").alias("links")).join(groups, "node")
+        full = nodes.join(links, "node", "left").select("vec", "weight", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("grp", "node").alias("grp"))
+        smallest = full.groupBy("grp").agg(F.min("least").alias("component_id"))
+        full = full.join(smallest, "grp").select("vec", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id")
+        out = rows.join(full, "vec", "left").withColumn("component_id", F.when(F.col("vec").isNull(), F.col("vec_id")).otherwise(F.col("component_id")))
+        out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+        return stash(out, "vector-result", lasting=True)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+#: The contract over all pairs.
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), u AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(e, e) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
+), r AS (
+  SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l
+), c AS (
+  SELECT x, y FROM r UNION SELECT c.x, r.y FROM c JOIN r ON r.x = c.y
+), m AS (SELECT x, min(y) AS y FROM c GROUP BY x), k AS (SELECT x, count(*) AS n FROM r GROUP BY x)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, least(vec_id, coalesce(m.y, vec_id)) AS component_id, vec_id <= coalesce(m.y, vec_id) AS kept
+FROM v LEFT JOIN m ON m.x = vec_id LEFT JOIN k ON k.x = vec_id
+"""
