@@ -73,6 +73,15 @@ def test_quotes_link_to_their_sources(spark):
     assert order == sorted(order)
 
 
+def test_the_sql_says_the_same(spark):
+    con = duckdb.connect()
+    con.sql("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, 'user', ?)", TALK)
+    want = con.sql(quotes.OP9_SQL)
+    got = quotes.link(spark.createDataFrame([(c, t, "user", x) for c, t, x in TALK], "conv_id long, turn long, role string, text string")).select(*want.columns)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(map(repr, want.fetchall()))
+
+
 def test_a_passage_everyone_says_links_once(spark):
     rows = [(c, 0, "Same line.") for c in range(300)] + [(500, 0, "> same line.\nyes")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
@@ -112,7 +121,7 @@ def test_pipeline_against_brute_force(spark):
 @pytest.mark.parametrize("name", list(llm_queries.ORACLE))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = entry.queries()[name](spark, SF), con.sql(entry.oracle_sql()[name])
     order = [want.columns.index(c) for c in got.columns]

@@ -20,6 +20,9 @@ QUERIES = {
 ORACLE = {
     "op1_mix_curriculum": mixing.OP1_SQL,
     "op2_credential_links": secret_links.OP2_SQL,
+    "op4_minhash_tensored": minhash.OP4_SQL,
+    "op5_subspace_pigeonhole": subspace.OP5_SQL,
     "op8_merkle_fixity": warc.OP8_SQL,
+    "op9_quotation_links": quotes.OP9_SQL,
     "op10_rule_ledger": quality.OP10_SQL,
 }

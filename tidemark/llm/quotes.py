@@ -109,3 +109,42 @@ def reply_order(linked: DataFrame, conv: str = "conv_id", turn: str = "turn") ->
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return reply_order(link(messages)).select("conv_id", "turn", "role", "body", "n_quotes", "max_level", "reply_conv", "reply_turn", "quoted", "thread")
+
+
+OP9_SQL = r"""
+WITH m AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+), s AS (
+  SELECT r, conv_id, turn, i, ls[i] AS line FROM (SELECT *, string_split(t, chr(10)) AS ls, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM m)
+), v AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '^(?:[\x20\t]*>)+'), '[^>]', '', 'g')) AS level,
+         trim(regexp_replace(lower(regexp_replace(line, '^(?:[\x20\t]*>)+', '')), '\s+', ' ', 'g')) AS said FROM s
+), b AS (
+  SELECT *, level > 0 AND coalesce(lag(level) OVER (PARTITION BY r ORDER BY i), 0) <> level AS opens FROM v
+), q AS (
+  SELECT *, sum(opens::INT) OVER (PARTITION BY r ORDER BY i) AS p FROM b
+), own AS (
+  SELECT r, coalesce(trim(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), chr(10)), '') AS body, count(*) FILTER (opens) AS n_quotes, max(level) AS max_level FROM q GROUP BY r
+), asked AS (
+  SELECT r, conv_id, turn, p, level, said FROM q WHERE level > 0 AND said <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), told AS (
+  SELECT DISTINCT conv_id, turn, said FROM q WHERE level = 0 AND said <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), anywhere AS (SELECT said, min([conv_id, turn]) AS src FROM told GROUP BY said),
+found AS (
+  SELECT a.r, a.p, a.level, 0 AS far, CAST(NULL AS BIGINT) AS c, max(o.turn) AS t FROM asked a JOIN told o ON o.said = a.said AND o.conv_id = a.conv_id AND o.turn < a.turn GROUP BY ALL
+  UNION ALL
+  SELECT r, p, level, 1, src[1], src[2] FROM (SELECT a.r, a.p, a.level, min(o.src) AS src FROM asked a JOIN anywhere o USING (said) WHERE o.src[1] <> a.conv_id GROUP BY ALL)
+), best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, level, p, c, t) = 1),
+l AS (
+  SELECT m.*, best.r IS NOT NULL AS quoted, c, best.t AS src,
+         CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN lag(turn) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m.r) END AS before FROM m LEFT JOIN best USING (r)
+), k AS (
+  SELECT *, CASE WHEN quoted THEN coalesce(c, conv_id) WHEN before IS NOT NULL THEN conv_id END AS reply_conv, CASE WHEN quoted THEN src ELSE before END AS reply_turn FROM l
+), u AS (
+  SELECT conv_id, turn, bool_or(quoted AND reply_conv = conv_id) AS branch, min(reply_turn) FILTER (reply_conv = conv_id) AS prev FROM k WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), h AS (
+  SELECT conv_id, turn, max(CASE WHEN branch OR prev IS NULL OR prev >= turn THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS thread FROM u
+)
+SELECT k.conv_id, k.turn, role, body, n_quotes, CAST(max_level AS BIGINT) AS max_level, reply_conv, reply_turn, quoted, thread
+FROM k JOIN own USING (r) LEFT JOIN h ON h.conv_id = k.conv_id AND h.turn = k.turn
+"""
