@@ -30,15 +30,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.runtime import shuffle_width, stash
+from tidemark.runtime import shuffle_width, small_batches, stash, temporary
 
 SIDE, ROWS = 20, 3
 BLOCK = 256
-#: Ids of at most so many nodes are broadcast (8 bytes each); more are joined by a shuffle.
+#: Cells of a set's grid: elements counted by hash, an upper bound of any intersection; 255 is
+#: that many or more and proves nothing.
+CELLS = 64
+#: Row numbers of at most so many documents are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
+#: Grids of at most so many nodes (64 bytes each) are broadcast.
+BROADCAST_GRIDS = 300_000
 #: Unit lists of at most so many rows (about 60 bytes each) are broadcast.
 BROADCAST_ROWS = 250_000
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 _RNG = np.random.default_rng(20240229)
 _MULTIPLY = _RNG.integers(0, 2**63, 2 * SIDE * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,7 +87,8 @@ def shingles(text: str | None, size: int, hashes: _Hashes) -> np.ndarray:
 
 
 def signature(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sub-keys of both sides: 64 bits on the first, 16 bits on the second."""
+    """Sub-keys of both sides: 64 bits on the first. The second is compared only within a bucket of
+    the first, where 8 bits tell most apart; chance agreements are candidates like any other."""
     least = np.empty(len(_FLIP), np.uint64)
     for k in range(0, len(items), 2048):
         part = ((items[None, k : k + 2048] ^ _FLIP[:, None]) * _MULTIPLY[:, None]).min(axis=1)
@@ -92,11 +98,11 @@ def signature(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for r in range(1, ROWS):
         keys = keys + sub[:, r] * _PLACE[r]
     keys = _mix(keys + np.arange(2 * SIDE, dtype=np.uint64))
-    return keys[:SIDE], keys[SIDE:].astype(np.uint16)
+    return keys[:SIDE], keys[SIDE:].astype(np.uint8)
 
 
 def _sketch(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(doc_id, n, same, firsts, seconds, items): same is a digest of the set."""
+    """(doc_id, n, same, firsts, seconds, grid, items): same is a digest of the set."""
     from hashlib import md5
 
     id_type = docs.schema[doc_id].dataType.simpleString()
@@ -110,15 +116,16 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 for x in batch.column(1):
                     s = shingles(x.as_py(), size, hashes)
                     raw = s.tobytes()
-                    a, b = signature(s) if len(s) else (np.empty(0, np.int64), np.empty(0, np.uint16))
-                    rows.append((len(s), md5(raw).digest(), a.astype(np.uint64).view(np.int64), b.tobytes(), raw))
-                n, same, a, b, raw = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+                    a, b = signature(s) if len(s) else (np.empty(0, np.int64), np.empty(0, np.uint8))
+                    grid = np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).clip(max=255).astype(np.uint8)
+                    rows.append((len(s), md5(raw).digest(), a.astype(np.uint64).view(np.int64), b.tobytes(), grid.tobytes(), raw))
+                n, same, a, b, grid, raw = zip(*rows, strict=True) if rows else ((), (), (), (), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.binary()), pa.array(raw, pa.binary())],
-                    ["doc_id", "n", "same", "firsts", "seconds", "items"],
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.binary()), pa.array(grid, pa.binary()), pa.array(raw, pa.binary())],
+                    ["doc_id", "n", "same", "firsts", "seconds", "grid", "items"],
                 )
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {id_type}, n bigint, same binary, firsts array<bigint>, seconds binary, items binary")
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {id_type}, n bigint, same binary, firsts array<bigint>, seconds binary, grid binary, items binary")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_000) -> Iterator[tuple[pa.Table, bool]]:
@@ -159,11 +166,11 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Within a bucket of the first side, members that agree on a second sub-key share a table.
     Tables that share members are taken together; the head is the first of all of them. A bucket
     too large for one part streams through, each table with the first of its members as its head;
-    what is kept between parts is one head for each second sub-key, at most SIDE * 65,536.
+    what is kept between parts is one head for each second sub-key, at most SIDE * 256.
     """
     open_key: int | None = None
     open_heads: np.ndarray | None = None
-    for table, goes_on in _grouped(batches, ["first"]):
+    for table, goes_on in _grouped(batches, ["first"], 50_000):
         first, node = table.column("first").to_numpy(), table.column("node").to_numpy()
         n = len(first)
         starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
@@ -176,8 +183,8 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last bucket may go on in the next part.
         keep[starts[last_open] :] = True
         index = np.flatnonzero(keep)
-        seconds = np.frombuffer(b"".join(table.column("seconds").take(pa.array(index)).to_pylist()), np.uint16).reshape(len(index), SIDE)
-        sub = (np.arange(SIDE, dtype=np.int64) << 16)[None, :] | seconds.astype(np.int64)
+        seconds = np.frombuffer(b"".join(table.column("seconds").take(pa.array(index)).to_pylist()), np.uint8).reshape(len(index), SIDE)
+        sub = (np.arange(SIDE, dtype=np.int64) << 8)[None, :] | seconds.astype(np.int64)
         key = ((group[index].astype(np.int64) << 32)[:, None] | sub).ravel()
         owner = np.repeat(node[index], SIDE)
         order = np.lexsort((owner, key))
@@ -197,7 +204,7 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             carried = None
         mine = (unique >> 32) == last_open
         if not (last_open == 0 and carried is not None):
-            carried = np.full(SIDE << 16, -1, np.int64)
+            carried = np.full(SIDE << 8, -1, np.int64)
         carried[unique[mine] & 0xFFFFFFFF] = heads[mine]
         open_key, open_heads = int(first[-1]), carried
         whole = np.ones(len(starts), bool)
@@ -298,17 +305,20 @@ def _unit(*parts: Column) -> Column:
 
 def near_duplicates(docs: DataFrame, size: int, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each document."""
-    rows = stash(_sketch(docs, doc_id, text, size).withColumn("row", F.monotonically_increasing_id()), "minhash-rows")
-    sets = rows.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
-    # Documents without words stay single.
-    sets = stash(sets.where(F.col("same") != F.unhex(F.md5(F.lit("")))), "minhash-sets")
-    grouped = _merge(rows, sets, percent)
-    least = sets.join(grouped, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    smallest = least.groupBy("grp").agg(F.min("least").alias("component_id"))
-    by_set = least.join(smallest, "grp").select("same", "component_id")
-    out = rows.select("doc_id", "n", "same").join(by_set, "same", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    small_batches(docs.sparkSession)
+    with temporary(docs.sparkSession):
+        rows = stash(_sketch(docs, doc_id, text, size).withColumn("row", F.monotonically_increasing_id()), "minhash-rows")
+        sets = rows.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
+        # Documents without words stay single.
+        sets = stash(sets.where(F.col("same") != F.unhex(F.md5(F.lit("")))), "minhash-sets")
+        grouped = _merge(rows, sets, percent)
+        least = sets.join(grouped, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+        smallest = least.groupBy("grp").agg(F.min("least").alias("component_id"))
+        by_set = least.join(smallest, "grp").select("same", "component_id")
+        out = rows.select("doc_id", "n", "same").join(by_set, "same", "left")
+        component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+        return stash(out, "minhash-result", lasting=True)
 
 
 def _merge(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -319,22 +329,19 @@ def _merge(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     width = max(shuffle_width(spark), sets.count() * SIDE // 1_000_000)
     heads = buckets.select("first", "node", "seconds").repartition(width, "first").sortWithinPartitions("first", "node").mapInArrow(_heads, "node bigint, head bigint")
     edges = heads.groupBy("node", "head").agg(F.count(F.lit(1)).alias("keys"))
-    edges = stash(edges, "minhash-heads")
+    edges = stash(edges, "minhash-edges")
     active = edges.select("node").union(edges.select("head")).distinct()
-    active = stash(active.join(rows.select(F.col("row").alias("node"), "n"), "node"), "minhash-active")
-    small = active.count() <= BROADCAST_NODES
-    wanted = active.select(F.col("node").alias("row"))
-    items = rows.select("row", "items").join(F.broadcast(wanted) if small else wanted, "row", "left_semi")
-    items = stash(items.withColumnRenamed("row", "node"), "minhash-items")
-
+    active = stash(active.join(rows.select(F.col("row").alias("node"), "n", "grid"), "node"), "minhash-active")
+    edges = stash(_possible(edges, active, percent), "minhash-heads")
+    active = active.drop("grid")
+    items = rows.select(F.col("row").alias("node"), "items")
     group = active.withColumn("grp", F.col("node"))
 
     links = None
     tested = None
     for _ in range(2):
         left = edges if tested is None else edges.join(tested, ["node", "head"], "left_anti")
-        # Sets whose sizes differ by more than the similarity allows can't be linked.
-        left = _open(left, group).where(100 * F.least("n", "hn") >= percent * F.greatest("n", "hn"))
+        left = _open(left, group).where("may")
         pick = stash(left.groupBy("node").agg(F.max_by("head", F.struct("keys", -F.col("head"))).alias("head")), "minhash-picked")
         tested = pick if tested is None else tested.unionByName(pick)
         found = stash(_in_units(_star_rows(pick, items), percent), "minhash-links")
@@ -345,6 +352,26 @@ def _merge(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return components(active, links.unionByName(found))
 
 
+def _possible(edges: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """``edges`` with ``may``: false if the grids prove that the sets are not similar enough.
+
+    An intersection holds at most the smaller count of each cell.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for c in (3, 4))
+            both = np.minimum(a, b).sum(axis=1)
+            may = 100 * both >= percent * (a.sum(axis=1) + b.sum(axis=1) - both)
+            may |= ((a == 255) | (b == 255)).any(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(may)], ["node", "head", "keys", "may"])
+
+    grids = active.select("node", "grid")
+    grids = F.broadcast(grids) if active.count() <= BROADCAST_GRIDS else grids
+    pairs = edges.join(grids, "node").join(grids.select(F.col("node").alias("head"), F.col("grid").alias("hgrid")), "head")
+    return pairs.select("node", "head", "keys", "grid", "hgrid").mapInArrow(run, "node bigint, head bigint, keys bigint, may boolean")
+
+
 def _sized(active: DataFrame, group: DataFrame) -> DataFrame:
     return stash(active.join(group, "node"), "minhash-groups")
 
@@ -379,13 +406,13 @@ def _block_rows(left: DataFrame, tested: DataFrame, group: DataFrame, items: Dat
 
     Which groups meet is collected by head and then by the largest group, so that the many heads
     of one cluster lead to the same units. Two groups whose sets differ too much in size, and two
-    single nodes already compared, are left out.
+    single nodes already compared or ruled out by their grids, are left out.
     """
     sizes = group.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     meet = left.select("head", F.col("g").alias("grp")).union(left.select("head", "hg")).distinct().join(sizes, "grp")
     largest = meet.groupBy("head").agg(F.max(F.struct("size", "grp")).alias("top"), F.count(F.lit(1)).alias("groups"), F.max("lo").alias("lo"), F.min("hi").alias("hi"))
     largest = largest.where((F.col("groups") > 2) | (100 * F.col("hi") >= percent * F.col("lo")))
-    done = left.join(tested, ["node", "head"]).select("head").distinct().withColumn("done", F.lit(True))
+    done = left.where("not may").select("head").union(left.join(tested, ["node", "head"]).select("head")).distinct().withColumn("done", F.lit(True))
     largest = largest.join(done, "head", "left").where(~(F.col("done").isNotNull() & (F.col("groups") == 2) & (F.col("top.size") == 1)))
     pairs = meet.join(largest.select("head", "top"), "head").where(F.col("grp") != F.col("top.grp")).select(F.col("top.grp").alias("hub"), "grp").distinct()
     members = group.select("grp", "node")
@@ -421,3 +448,25 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, size=2)
+
+
+_COMPONENTS = """r AS (
+  SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l
+), c AS (
+  SELECT x, y FROM r UNION SELECT c.x, r.y FROM c JOIN r ON r.x = c.y
+)"""
+
+#: The contract without any hashing: all pairs that share a shingle.
+OP4_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM d
+), g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), {_COMPONENTS}, m AS (SELECT x, min(y) AS y FROM c GROUP BY x)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.y, s.doc_id)) AS component_id, s.doc_id <= coalesce(m.y, s.doc_id) AS kept
+FROM s LEFT JOIN m ON m.x = s.doc_id
+"""

@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.runtime import shuffle_width, stash
+from tidemark.runtime import shuffle_width, small_batches, stash, temporary
 
 LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Contexts of one anchor hash beyond this number are counted by content instead of side by side.
 GROUP = 4096
 #: Keys of at most so many texts are broadcast (12 bytes each); more are joined by a shuffle.
@@ -56,7 +56,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_UP, _DOWN = _powers(_BASE, PIECE + 2 * LENGTH), _powers(_UNBASE, PIECE + 2 * LENGTH)
+_UP, _DOWN = _powers(_BASE, 4 * PIECE), _powers(_UNBASE, 4 * PIECE)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -273,32 +273,34 @@ def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 def repeats(texts: DataFrame) -> DataFrame:
     """(x, y, text) -> (x, y, places): all strings of LENGTH bytes that also start elsewhere."""
-    anchored = texts.select("x", "y", "text").mapInArrow(_emit_anchors, "gram bigint, context bigint, x bigint, y bigint, place bigint")
-    grams = anchored.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
-    grams = grams.where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed"))
-    again = stash(anchored.join(grams, "gram"), "repeat-anchors")
-    settled = again.where("not mixed").select("x", "y", "place")
-    mixed = again.where("mixed")
-    kinds = mixed.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("x", "y", "place")).alias("rep"))
-    kinds = stash(kinds.select("gram", "context", "n", "rep.*"), "repeat-contexts")
-    whole = mixed.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("x", "y", "place")
-    big = kinds.groupBy("gram").agg((F.count(F.lit(1)) > GROUP).alias("big"))
-    reps = kinds.join(big, "gram").groupBy("x", "y").agg(F.collect_list(F.struct("gram", "n", "big", "place")).alias("reps"))
-    reps = stash(reps, "repeat-reps")
-    cut = _only(texts, reps.select("x", "y")).join(reps, ["x", "y"]).select("x", "y", "text", "reps")
-    cut = stash(cut.mapInArrow(_emit_contexts, "gram bigint, n bigint, big boolean, x bigint, y bigint, place bigint, bytes binary"), "repeat-bytes")
-    width = shuffle_width(texts.sparkSession)
-    small = cut.where("not big").repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(_match_groups, "x bigint, y bigint, place bigint")
-    strings = cut.where("big").mapInArrow(_emit_strings, "gram bigint, content bigint, n bigint, x bigint, y bigint, place bigint")
-    often = strings.groupBy("gram", "content").count().where("count > 1").select("gram", "content")
-    large = strings.where("n = 1").join(often, ["gram", "content"], "left_semi").select("x", "y", "place")
-    found = settled.unionByName(whole).unionByName(small).unionByName(large)
-    return stash(found.groupBy("x", "y").agg(F.collect_set("place").alias("places")), "repeat-places")
+    with temporary(texts.sparkSession):
+        anchored = texts.select("x", "y", "text").mapInArrow(_emit_anchors, "gram bigint, context bigint, x bigint, y bigint, place bigint")
+        grams = anchored.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
+        grams = grams.where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed"))
+        again = stash(anchored.join(grams, "gram"), "repeat-anchors")
+        settled = again.where("not mixed").select("x", "y", "place")
+        mixed = again.where("mixed")
+        kinds = mixed.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("x", "y", "place")).alias("rep"))
+        kinds = stash(kinds.select("gram", "context", "n", "rep.*"), "repeat-contexts")
+        whole = mixed.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("x", "y", "place")
+        big = kinds.groupBy("gram").agg((F.count(F.lit(1)) > GROUP).alias("big"))
+        reps = kinds.join(big, "gram").groupBy("x", "y").agg(F.collect_list(F.struct("gram", "n", "big", "place")).alias("reps"))
+        reps = stash(reps, "repeat-reps")
+        cut = _only(texts, reps.select("x", "y")).join(reps, ["x", "y"]).select("x", "y", "text", "reps")
+        cut = stash(cut.mapInArrow(_emit_contexts, "gram bigint, n bigint, big boolean, x bigint, y bigint, place bigint, bytes binary"), "repeat-bytes")
+        width = shuffle_width(texts.sparkSession)
+        small = cut.where("not big").repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(_match_groups, "x bigint, y bigint, place bigint")
+        strings = cut.where("big").mapInArrow(_emit_strings, "gram bigint, content bigint, n bigint, x bigint, y bigint, place bigint")
+        often = strings.groupBy("gram", "content").count().where("count > 1").select("gram", "content")
+        large = strings.where("n = 1").join(often, ["gram", "content"], "left_semi").select("x", "y", "place")
+        found = settled.unionByName(whole).unionByName(small).unionByName(large)
+        return stash(found.groupBy("x", "y").agg(F.collect_set("place").alias("places")), "repeat-places", lasting=True)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
     """``docs`` without ``text``, with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for,
     ``kept_text`` in bytes (a cut may fall inside a code point)."""
+    small_batches(docs.sparkSession)
     outputs = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.withColumns({"x": F.xxhash64(body), "y": F.crc32(body.cast("binary"))})
