@@ -37,7 +37,7 @@ BLOCK = 256
 #: Cells of a set's grid: elements counted by hash, an upper bound of any intersection; 255 is
 #: that many or more and proves nothing.
 CELLS = 64
-#: Row numbers of at most so many documents are broadcast (8 bytes each); more are joined by a shuffle.
+#: Numbers of at most so many rows or nodes are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 #: Grids of at most so many nodes (64 bytes each) are broadcast.
 BROADCAST_GRIDS = 300_000
@@ -324,14 +324,15 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80, doc_id: str =
 def _merge(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, grp) for the nodes that share a key with others."""
     spark = rows.sparkSession
-    nodes = rows.join(sets.select(F.col("node").alias("row")), "row", "left_semi")
+    count = sets.count()
+    nodes = rows.join(_small(sets.select(F.col("node").alias("row")), count), "row", "left_semi")
     buckets = nodes.select(F.col("row").alias("node"), F.explode("firsts").alias("first"), "seconds")
-    width = max(shuffle_width(spark), sets.count() * SIDE // 1_000_000)
+    width = max(shuffle_width(spark), count * SIDE // 1_000_000)
     heads = buckets.select("first", "node", "seconds").repartition(width, "first").sortWithinPartitions("first", "node").mapInArrow(_heads, "node bigint, head bigint")
     edges = heads.groupBy("node", "head").agg(F.count(F.lit(1)).alias("keys"))
     edges = stash(edges, "minhash-edges")
-    active = edges.select("node").union(edges.select("head")).distinct()
-    active = stash(active.join(rows.select(F.col("row").alias("node"), "n", "grid"), "node"), "minhash-active")
+    active = stash(edges.select("node").union(edges.select("head")).distinct(), "minhash-nodes")
+    active = stash(rows.select(F.col("row").alias("node"), "n", "grid").join(_small(active, active.count()), "node"), "minhash-active")
     edges = stash(_possible(edges, active, percent), "minhash-heads")
     active = active.drop("grid")
     items = rows.select(F.col("row").alias("node"), "items")
@@ -372,6 +373,11 @@ def _possible(edges: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     return pairs.select("node", "head", "keys", "grid", "hgrid").mapInArrow(run, "node bigint, head bigint, keys bigint, may boolean")
 
 
+def _small(nodes: DataFrame, count: int) -> DataFrame:
+    """Node numbers, marked to be broadcast if there are few."""
+    return F.broadcast(nodes) if count <= BROADCAST_NODES else nodes
+
+
 def _sized(active: DataFrame, group: DataFrame) -> DataFrame:
     return stash(active.join(group, "node"), "minhash-groups")
 
