@@ -146,7 +146,9 @@ add("w05_decayed_rate", lambda s, d: folds.decayed_rate(attempts(s, d).withColum
     f"{_RATE} SELECT host, round(sum((1 - pow(2.0, -dt / 86400.0)) * pow(2.0, rest) * dv / dt), 6) AS rate FROM p GROUP BY host")
 add("x04_pacing", lambda s, d: folds.pacing(attempts(s, d)))
 add("x06_token_bucket", lambda s, d: folds.token_bucket(attempts(s, d).withColumn("bytes", F.expr("bigint(value * 1000)")), "host", "seq", "ts", "bytes", 10.0, 1000.0))
-add("x07_schedule", lambda s, d: folds.schedule(attempts(s, d), "host", "seq", "ts", 600.0))
+add("x07_schedule", lambda s, d: folds.schedule(attempts(s, d), "host", "seq", "ts", 600.0).selectExpr("host", "seq", "round(start, 3) as start"),
+    f"""{_A}, k AS (SELECT host, seq, epoch_us(ts) / 1e6 AS t, 600 * row_number() OVER (PARTITION BY host ORDER BY seq) AS g FROM a)
+    SELECT host, seq, round(max(t - g) OVER (PARTITION BY host ORDER BY seq) + g, 3) AS start FROM k""")
 add("x18_phase", lambda s, d: attempts(s, d).selectExpr("seq", f"{folds.phase('if(ok, chr(111), if(throttled, chr(112), chr(113)))')} as phase") if False else attempts(s, d).withColumn("net", F.expr("if(ok, 'online', 'offline')")).selectExpr("seq", f"{folds.phase('net')} as phase"),
     f"{_A} SELECT seq, CASE WHEN ok THEN 'running' ELSE 'waiting for the network' END AS phase FROM a")
 add("x01_event_windows", lambda s, d: _table(s, d, "events").withColumn("start", F.expr("cast(date_trunc('HOUR', ts) as string)")).groupBy("start", "event_type").agg(F.count(F.lit(1)).alias("n")),
