@@ -73,6 +73,23 @@ def test_quotes_link_to_their_sources(spark):
     assert order == sorted(order)
 
 
+def test_reply_order_walks_the_tree(spark):
+    rng, talk, want = random.Random(5), [(1, 1, "aa"), (1, 2, "bb"), (1, 3, "> aa\ncc"), (1, 4, "> bb\ndd")], {1: [1, 2, 4, 3]}
+    for c in range(2, 12):
+        under, n = {}, 1 if c == 2 else rng.randint(2, 40)
+        for t in range(n):
+            to = rng.choice([None, rng.randrange(t)]) if t and c < 11 else t - 1 if t else None
+            talk.append((c, t, (f"> say {c} {to}\n" if to is not None else "") + f"say {c} {t}"))
+            under.setdefault((t - 1 if t else None) if to is None else to, []).append(t)
+        want[c], todo = [], under[None][::-1]
+        while todo:
+            want[c].append(todo.pop())
+            todo += under.get(want[c][-1], [])[::-1]
+    df = spark.createDataFrame([*talk, (1, None, "x"), (None, 3, "x")], "conv_id long, turn long, text string").repartition(3)
+    got = [(r.conv_id, r.turn) for r in quotes.reply_order(quotes.link(df)).collect()]
+    assert got == [(None, 3), (1, None), *((c, t) for c in sorted(want) for t in want[c])]
+
+
 def test_the_sql_says_the_same(spark):
     con = duckdb.connect()
     con.sql("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")

@@ -5,15 +5,17 @@ normalised (marks, case and white space) and hashed, as are the own lines of eve
 join of both finds the message a passage was quoted from: the latest earlier one of the same
 conversation, else the first message anywhere that said it. A message replies to the source of
 its outermost passage, or, without one, to the message before it. Quotes are then dropped, and
-conversations come out in reply order: by conversation, then thread, then turn, a thread being
-the messages that lead back to one root without leaving the conversation.
+conversations come out in reply order: each message is followed by the replies to it within its
+conversation, the earliest first, each with all that was replied to it in turn. A thread is a
+message that begins or branches and the run of messages that go on from it without quoting.
 
 Sources are aggregated to one message for each hash before the join, so a passage that very many
 messages contain joins one row.
 
 Edge cases: null text is empty; a message of quotes only keeps an empty body; a quote that
 nobody wrote is dropped and links nothing; repeated (conversation, turn) rows are separate
-messages with the same links; messages with a null conversation or turn are kept, but neither
+messages with the same links and stand together, under the earliest source that one of them
+quotes; messages with a null conversation or turn are kept, but neither
 give nor get links; empty tables give empty results; extra columns are carried unless named like
 an output.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.runtime import stash
+from tidemark.runtime import drop_stash, stash
 
 MARK = r"^(?:[\x20\t]*>)+"
 OUTPUTS = ("body", "n_quotes", "max_level", "reply_conv", "reply_turn", "quoted", "thread")
@@ -103,7 +105,45 @@ def _threaded(linked: DataFrame) -> DataFrame:
 
 
 def reply_order(linked: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    return linked.orderBy(conv, "thread", turn)
+    """``linked`` by conversation and depth first along the replies within it.
+
+    A thread is a run of turns, so it stays whole, and the threads that branch off it follow: those
+    under its last message first. Conversations without a branch are in order as they are.
+    """
+    node = linked.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("_c"), F.col(turn).alias("_t"), F.col("thread").alias("_head"), "quoted", "reply_conv", "reply_turn")
+    branch = node.where("quoted and reply_conv = _c and reply_turn < _t").groupBy("_c", "_head").agg(F.min("reply_turn").alias("_at"))
+    if branch.isEmpty():
+        return linked.orderBy(conv, "thread", turn)
+    branch = stash(branch, "quote-branches")
+    heads = node.select("_c", "_head").distinct().join(branch.select("_c").distinct(), "_c", "left_semi")
+    above = node.select("_c", F.col("_t").alias("_at"), F.col("_head").alias("_up")).distinct()
+    threads = stash(heads.join(branch, ["_c", "_head"], "left").join(above, ["_c", "_at"], "left"), "quote-threads")
+    left = stash(_to_the_end(threads), "quote-places")
+    drop_stash(branch, threads)
+    placed = linked.join(left, (F.col(conv) == F.col("_c")) & (F.col("thread") == F.col("_head")), "left")
+    return placed.orderBy(conv, F.desc_nulls_first("_left"), "thread", turn).select(*linked.columns)
+
+
+def _to_the_end(threads: DataFrame) -> DataFrame:
+    """(_c, _head, _left): the steps left, on entering a thread, of a walk around the trees.
+
+    The walk enters and leaves every thread once. Each round doubles the steps that are known of
+    it, so a conversation of n threads takes log2(2 n) rounds, however deep it is.
+    """
+    among = W.partitionBy("_c", "_up").orderBy(F.desc("_at"), "_head")
+    threads = threads.withColumns({"_next": F.lead("_head").over(among), "_k": F.row_number().over(among)})
+    first = threads.where("_k = 1 and _up is not null").select("_c", F.col("_up").alias("_head"), F.col("_head").alias("_first"))
+    around = threads.join(first, ["_c", "_head"], "left")
+    enter = around.selectExpr("_c", "_head", "0 as _e", "coalesce(_first, _head) as _to", "if(_first is null, 1, 0) as _toe", "1L as _left")
+    leave = around.selectExpr("_c", "_head", "1 as _e", "coalesce(_next, _up) as _to", "if(_next is null, 1, 0) as _toe", "1L as _left")
+    walk = stash(enter.unionByName(leave), "quote-walk")
+    while not walk.where("_to is not null").isEmpty():
+        on = walk.selectExpr("_c", "_head as _to", "_e as _toe", "_to as _to2", "_toe as _toe2", "_left as _left2")
+        further = walk.join(on, ["_c", "_to", "_toe"], "left").selectExpr("_c", "_head", "_e", "_to2 as _to", "_toe2 as _toe", "_left + coalesce(_left2, 0) as _left")
+        further = stash(further, "quote-walk")
+        drop_stash(walk)
+        walk = further
+    return walk.where("_e = 0").select("_c", "_head", "_left")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
