@@ -190,6 +190,46 @@ def test_pseudonyms_keep_their_formats(spark):
     assert other != new
 
 
+NEIGHBOURS = [
+    ["234-56-7890", "555-223-4567"], ["212-555-0100", "415-555-0199"], ["5", "4111111111111111"], ["2024-05-01", "4111 1111 1111 1111"], ["2024-01-01", "2024-02-02"],
+    ["4111111111111111", "5500-0000-0000-0004", "234-56-7890", "12"], ["12 34 4111-1111-1111-1111", "bob@x.org"], ["7 4111111111111111@x.org"], ["10.0.0.4", "4111 1111 1111 1111", "10.0.0.5"],
+    ["999-99-9999", "4111111111111111", "2023-02-30", "2000-02-29", "1900-02-29"], ["3782 822463 10005", "2024/12/31", "+1 (743) 555-3824", "5500000000000004"],
+]
+
+
+def test_neighbours_are_found_as_if_alone(spark):
+    values = sorted({v for row in NEIGHBOURS for v in row})
+    alone = dict(zip(values, pii.pseudonymise(docs(spark, values)).orderBy("doc_id").collect(), strict=True))
+    got = pii.pseudonymise(docs(spark, ["see " + " ".join(row) + "." for row in NEIGHBOURS])).orderBy("doc_id").collect()
+    for row, r in zip(NEIGHBOURS, got, strict=True):
+        assert r.text == "see " + " ".join(alone[v].text for v in row) + "."
+        assert all(r[f"n_{k}"] == sum(alone[v][f"n_{k}"] for v in row) for k in pii.KINDS), row
+    still = {"5", "12", "999-99-9999", "2023-02-30", "1900-02-29"}
+    assert {v for v in values if alone[v].text == v} == still
+
+
+def test_long_runs_of_numbers(spark):
+    cards = ["4111111111111111", "5500000000000004"] * 300
+    text = " ".join(f"7 {c} 1" for c in cards)
+    r = pii.pseudonymise(docs(spark, [text, "1 " * 20000])).orderBy("doc_id").collect()
+    assert r[0].n_card == 600 and not set(r[0].text.split()) & set(cards) and r[1].n_card == 0 and r[1].text == "1 " * 20000
+
+
+def test_date_pattern_is_the_calendar():
+    import datetime
+
+    for form, shape in (("%Y-%m-%d", "{0:04d}-{1:02d}-{2:02d}"), ("%d.%m.%Y", "{2:02d}.{1:02d}.{0:04d}")):
+        pattern = re.compile(pii._dates(form.replace(".", r"\.")))
+        for y in (1899, 1900, 1904, 1999, 2000, 2023, 2024, 2096, 2099, 2100):
+            for m in range(14):
+                for d in range(33):
+                    try:
+                        good = datetime.date(y, m, d).year in range(1900, 2100)
+                    except ValueError:
+                        good = False
+                    assert bool(pattern.fullmatch(shape.format(y, m, d))) == good
+
+
 def test_a_small_domain_is_permuted(spark):
     got = spark.range(17 * 4297).selectExpr(pii._pair("id div 4297", "id % 4297", "17", "4297", "t", "k") + " as p").selectExpr("p.a * 4297 + p.b as v").distinct()
     assert got.count() == 17 * 4297

@@ -8,10 +8,12 @@ different ones different pseudonyms, because each format is a bijection. With a
 Z_ma x Z_mb as state, a round replaces (a, b) by (b, a + F(b) mod ma); any product of two moduli
 is thus permuted without walking cycles. Mail names go through the same network letter by letter.
 
-Kinds, first to last where matches could overlap: ``email``, ``card`` (13 to 19 digits, first 2 to
-6, Luhn), ``ip`` (four octets), ``ssn`` (ddd-dd-dddd of assigned ranges), ``phone`` (ten-digit
-North American numbers with separators or +1) and ``date`` (yyyy-mm-dd or yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy).
-A match that fails its rule is left as it is.
+Kinds, first to last where matches could overlap: ``email``, ``ip`` (four octets), ``ssn``
+(ddd-dd-dddd of assigned ranges), ``phone`` (ten-digit North American numbers with separators or
++1), ``date`` (yyyy-mm-dd or yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy) and ``card`` (13 to 19 digits with
+single spaces or hyphens, first 2 to 6, Luhn). Only valid values consume text: the patterns hold the
+rules, and a run of digit groups, which ends where another kind begins, is searched for every
+span of whole groups that passes Luhn. Where such spans overlap, fewer groups win, then the first.
 
 Edge cases: null text stays null and counts nothing; empty text stays empty; rows are rewritten
 one by one, so repeated rows repeat; an empty table gives an empty result; other columns are
@@ -27,13 +29,25 @@ ROUNDS = 10
 KEY = "tidemark"
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
-CARD = r"(?<![A-Za-z0-9])[2-6](?:[\x20-]?[0-9]){12,18}(?![A-Za-z0-9])"
-IP = r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])"
-SSN = r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+IP = rf"(?<![A-Za-z0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![A-Za-z0-9]|\.[0-9])"
+SSN = r"(?<![A-Za-z0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9-])"
 PHONE = r"(?<![A-Za-z0-9])(?:\+1[\x20.-]?\([2-9][0-9]{2}\)\x20?|\([2-9][0-9]{2}\)\x20?|\+1[\x20.-]?[2-9][0-9]{2}[\x20.-]?|[2-9][0-9]{2}[\x20.-])[2-9][0-9]{2}[\x20.-]?[0-9]{4}(?![A-Za-z0-9])"
-DATE = r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![A-Za-z0-9/-])"
+
+
+def _dates(form: str) -> str:
+    """Pattern of the days from 1900 to 2099 written as ``form``, of %Y, %m and %d."""
+    year, leap = "(?:19|20)[0-9]{2}", "(?:19(?:0[48]|[2468][048]|[13579][26])|20(?:[02468][048]|[13579][26]))"
+    days = ((year, "(?:0[13578]|1[02])", "(?:0[1-9]|[12][0-9]|3[01])"), (year, "(?:0[469]|11)", "(?:0[1-9]|[12][0-9]|30)"), (year, "02", "(?:0[1-9]|1[0-9]|2[0-8])"), (leap, "02", "29"))
+    return "|".join(form.replace("%Y", y).replace("%m", m).replace("%d", d) for y, m, d in days)
+
+
+DATE = r"(?<![A-Za-z0-9./-])(?:" + "|".join(map(_dates, ("%Y-%m-%d", "%Y/%m/%d", r"%d\.%m\.%Y", "%m/%d/%Y"))) + r")(?![A-Za-z0-9/-])"
+SHAPED = "|".join((EMAIL, IP, SSN, PHONE, DATE))
+#: Thirteen digits or more in groups; cards are spans of these groups. Possessive, so that a run of any length is matched in a loop.
+RUN = rf"(?<![A-Za-z0-9])(?=[0-9](?:[\x20-]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:[\x20-](?!{SHAPED})[0-9]++(?![A-Za-z]))*+"
 KINDS = ("email", "card", "ip", "ssn", "phone", "date")
-ANY = "|".join((EMAIL, CARD, IP, SSN, PHONE, DATE))
+ANY = f"{SHAPED}|{RUN}"
 
 #: Days from 1900-01-01 to 2099-12-31 are 17 * 4297.
 DAYS = (17, 4297)
@@ -85,6 +99,23 @@ def _card(m: str, key: str) -> str:
     return _let(f"regexp_replace({m}, '[^0-9]', '')", "d", f"if({_luhn('d', False)} % 10 = 0, {_fill(m, body)}, {m})")
 
 
+def _cards(m: str, key: str) -> str:
+    """SQL: the run ``m`` in parts, struct(old, new), with its valid cards replaced."""
+    spans = (
+        "flatten(transform(sequence(0, size(gs) - 1), i -> filter(transform(sequence(1, least(19, size(gs) - i)), n -> "
+        "struct(n, i, regexp_replace(array_join(slice(gs, i + 1, n), ''), '[^0-9]', '') as digits)), "
+        f"c -> c.digits rlike '^[2-6][0-9]{{12,18}}$' and {_luhn('c.digits', False)} % 10 = 0)))"
+    )
+    chosen = (
+        f"aggregate(array_sort({spans}), cast(array() as array<struct<n: int, i: int, digits: string>>), "
+        "(a, c) -> if(exists(a, o -> c.i < o.i + o.n and o.i < c.i + c.n), a, concat(a, array(c))))"
+    )
+    card = _let("array_join(slice(gs, k + 1, o[0].n), '')", "old", f"struct(old, {_card('old', key)} as new)")
+    part = _let("filter(cs, c -> c.i <= k and k < c.i + c.n)", "o", f"case when size(o) = 0 then struct(gs[k] as old, gs[k] as new) when o[0].i = k then {card} end")
+    parts = _let(chosen, "cs", f"filter(transform(sequence(0, size(gs) - 1), k -> {part}), x -> x is not null)")
+    return _let(f"split({m}, r'(?<=[\x20-])')", "gs", parts)
+
+
 def _ip(m: str, key: str) -> str:
     mixed = _pair("int(o[0]) * 256 + int(o[1])", "int(o[2]) * 256 + int(o[3])", "65536", "65536", "ip", key)
     out = _let(mixed, "p", "concat_ws('.', int(p.a / 256), p.a % 256, int(p.b / 256), p.b % 256)")
@@ -138,23 +169,23 @@ def _moved(c: str, n: str) -> str:
 def _kind(m: str) -> str:
     return (
         f"case when {m} like '%@%' then 'email' when {m} rlike r'^(?:{SSN})$' then 'ssn' when {m} rlike r'^(?:{DATE})$' then 'date' "
-        f"when {m} rlike r'^(?:{IP})$' then 'ip' when {m} rlike r'^(?:{CARD})$' then 'card' else 'phone' end"
+        f"when {m} rlike r'^(?:{IP})$' then 'ip' when {m} rlike r'^(?:{PHONE})$' then 'phone' else 'card' end"
     )
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten and, for each kind, ``n_<kind>``, the values replaced."""
-    rules = {"email": _email, "card": _card, "ip": _ip, "ssn": _ssn, "phone": _phone, "date": _date}
-    new = "case x.kind " + " ".join(f"when '{k}' then {rule('x.m', key)}" for k, rule in rules.items()) + " end"
+    rules = {"email": _email, "ip": _ip, "ssn": _ssn, "phone": _phone, "date": _date}
+    new = "case x.kind " + " ".join(f"when '{k}' then array(struct(x.m as old, {rule('x.m', key)} as new))" for k, rule in rules.items()) + f" else {_cards('x.m', key)} end"
     any_of = f"r'{ANY}'"
     df = (
         docs.withColumn("_hit", F.expr(f"coalesce(`{text}` rlike '[0-9@]' and `{text}` rlike {any_of}, false)"))
         .withColumn("_gaps", F.expr(f"if(_hit, split(`{text}`, {any_of}, -1), array())"))
         .withColumn("_found", F.expr(f"transform(if(_hit, regexp_extract_all(`{text}`, {any_of}, 0), array()), m -> struct(m, {_kind('m')} as kind))"))
-        .withColumn("_new", F.expr(f"transform(_found, x -> struct(x.m, x.kind, {new} as new))"))
+        .withColumn("_new", F.expr(f"transform(_found, x -> struct(x.kind, {new} as parts))"))
     )
-    counts = [F.expr(f"bigint(size(filter(_new, x -> x.kind = '{k}' and x.new <> x.m)))").alias(f"n_{k}") for k in KINDS]
-    body = F.expr(f"if(_hit, concat(_gaps[0], array_join(transform(_new, (x, i) -> concat(x.new, _gaps[i + 1])), '')), `{text}`)").alias(text)
+    counts = [F.expr(f"bigint(size(filter(flatten(transform(filter(_new, x -> x.kind = '{k}'), x -> x.parts)), p -> p.new <> p.old)))").alias(f"n_{k}") for k in KINDS]
+    body = F.expr(f"if(_hit, concat(_gaps[0], array_join(transform(_new, (x, i) -> concat(array_join(transform(x.parts, p -> p.new), ''), _gaps[i + 1])), '')), `{text}`)").alias(text)
     names = [f"n_{k}" for k in KINDS]
     return df.select(*[body if c == text else F.col(c) for c in docs.columns if c not in names], *counts)
 
