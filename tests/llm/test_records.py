@@ -73,6 +73,18 @@ def test_quotes_link_to_their_sources(spark):
     assert order == sorted(order)
 
 
+def test_whole_passages_before_single_lines(spark):
+    talk = [
+        (1, 0, "First point.\nSecond point.\nThanks."), (1, 1, "Thanks."), (1, 2, "Second point.\nThanks."), (1, 3, "> first point.\n> second point.\n>\n> thanks."),
+        (2, 0, "Thanks."), (2, 1, "> first point.\n> second point.\n> thanks.\nyes"), (2, 2, "> first point.\n> another point.\n> thanks."),
+        (3, 0, "> first point.\n> second point.\n> something else.\nyes"), (3, 1, "> nobody\n> thanks.\nno"), (3, 2, "Thanks.\nOdd.\nSecond point."), (3, 3, "> second point.\n> thanks.\n> what"),
+        (4, 0, "> thanks.\n> > first point.\n> > second point.\nok"),
+    ]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, text string")
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quotes.link(df).where("quoted").collect()}
+    assert got == {(1, 3): (1, 0), (2, 1): (1, 0), (2, 2): (1, 0), (3, 0): (1, 0), (3, 3): (3, 2), (4, 0): (1, 0)}
+
+
 def test_reply_order_walks_the_tree(spark):
     rng, talk, want = random.Random(5), [(1, 1, "aa"), (1, 2, "bb"), (1, 3, "> aa\ncc"), (1, 4, "> bb\ndd")], {1: [1, 2, 4, 3]}
     for c in range(2, 12):

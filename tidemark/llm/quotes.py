@@ -1,16 +1,19 @@
 """Chat formatting by quotation linking.
 
 Lines that begin with quote marks are parsed into passages of one nesting level. A passage is
-normalised (marks, case and white space) and hashed, as are the own lines of every message; the
-join of both finds the message a passage was quoted from: the latest earlier one of the same
-conversation, else the first message anywhere that said it. A message replies to the source of
+normalised (marks, case, white space, blank lines) and hashed, as are the runs of own lines that
+could equal one; the join of both finds the message a passage was quoted from: the latest earlier
+one of the same conversation, else the first message anywhere that said it. A passage that nobody
+said as a whole is traced to the message with most of its distinct lines, if that is more than
+half of them; equal counts are decided in the same way. A message replies to the source of
 its outermost passage, or, without one, to the message before it. Quotes are then dropped, and
 conversations come out in reply order: each message is followed by the replies to it within its
 conversation, the earliest first, each with all that was replied to it in turn. A thread is a
 message that begins or branches and the run of messages that go on from it without quoting.
 
-Sources are aggregated to one message for each hash before the join, so a passage that very many
-messages contain joins one row.
+Sources elsewhere are aggregated to one message for each hash before the join, and those of the
+same conversation are found in one pass by turn, so a passage that very many messages contain joins
+one row. Messages that may hold most of a passage are looked up by its rarer half of lines only.
 
 Edge cases: null text is empty; a message of quotes only keeps an empty body; a quote that
 nobody wrote is dropped and links nothing; repeated (conversation, turn) rows are separate
@@ -61,20 +64,15 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     rows = stash(df.withColumns({"_row": F.monotonically_increasing_id(), "_conv": F.col(conv), "_turn": F.col(turn)}), "quotes")
     own = rows.where("_conv is not null and _turn is not null")
     quoting = own.where("size(passages) > 0")
-    passage = quoting.select("_row", "_conv", "_turn", F.posexplode("passages").alias("p", "x")).select("_row", "_conv", "_turn", "p", "x.level", F.explode("x.lines").alias("line"))
-    # The outermost quotation with any traceable line decides; its lines vote by their order.
-    asked = stash(passage.where("line <> ''").select("_row", "_conv", "_turn", "p", "level", F.md5("line").alias("hash")), "quote-lines")
-    said = own.select("_conv", "_turn", F.explode(F.expr(f"array_distinct(transform(split(body, '\\n'), x -> {_normal('x')}))")).alias("line")).where("line <> ''").withColumn("hash", F.md5("line"))
-    wanted = asked.select("hash").distinct()
-    said = said.join(wanted, "hash", "left_semi")
-    anywhere = said.groupBy("hash").agg(F.min(F.struct("_conv", "_turn")).alias("src"))
-    here = said.select("hash", "_conv", F.col("_turn").alias("said")).distinct()
-    local = asked.join(here, ["hash", "_conv"]).where("said < _turn").groupBy("_row", "p", "level").agg(F.max("said").alias("src"))
-    distant = asked.join(anywhere, "hash").where(F.col("src._conv") != F.col("_conv")).groupBy("_row", "p", "level").agg(F.min("src").alias("src"))
-    found = local.select("_row", "p", "level", F.lit(0).alias("far"), F.lit(None).cast(rows.schema["_conv"].dataType).alias("c"), F.col("src").alias("t")).unionByName(
-        distant.select("_row", "p", "level", F.lit(1).alias("far"), F.col("src._conv").alias("c"), F.col("src._turn").alias("t"))
-    )
-    best = found.groupBy("_row").agg(F.min(F.struct("far", "level", "p", "c", "t")).alias("b"))
+    passage = quoting.select("_row", "_conv", "_turn", F.posexplode("passages").alias("p", "x")).selectExpr("_row", "_conv", "_turn", "p", "x.level", "filter(x.lines, l -> l <> '') as lines")
+    asked = stash(passage.where("size(lines) > 0").withColumn("key", F.expr(_HASH.format("lines"))), "quote-passages")
+    said = own.select("_row", "_conv", "_turn", F.expr(f"filter(transform(split(body, '\\n'), x -> {_normal('x')}), x -> x <> '')").alias("own"))
+    found = stash(_sources(asked, _whole(asked, said)), "quote-sources")
+    rest = asked.where("size(lines) > 1").join(found, ["_row", "p"], "left_anti")
+    if not rest.isEmpty():
+        found = found.unionByName(_sources(rest, _most(rest, said)))
+    # The outermost traceable passage decides.
+    best = found.groupBy("_row").agg(F.min(F.struct("level", "far", "p", "c", "t")).alias("b"))
     before = F.lag("_turn").over(W.partitionBy("_conv").orderBy("_turn", "_row"))
     last = own.select("_row", before.alias("_before"))
     linked = rows.join(best, "_row", "left").join(last, "_row", "left")
@@ -88,6 +86,52 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     )
 
 
+_HASH = "md5(array_join({}, '\n'))"
+
+
+def _whole(asked: DataFrame, said: DataFrame) -> DataFrame:
+    """(key, _conv, _turn, n): messages with a run of own lines that is the passage ``key``."""
+    wanted = asked.selectExpr("md5(lines[0]) as first", "size(lines) as n").distinct()
+    begins = said.select("_row", F.posexplode("own").alias("i", "line")).withColumn("first", F.md5("line")).join(wanted, "first")
+    begins = begins.groupBy("_row").agg(F.collect_list(F.struct("i", "n")).alias("at"))
+    runs = said.join(begins, "_row").select("_conv", "_turn", F.expr("explode(transform(filter(at, a -> a.i + a.n <= size(own)), a -> " + _HASH.format("slice(own, a.i + 1, a.n)") + "))").alias("key"))
+    return runs.join(asked.select("key").distinct(), "key", "left_semi").distinct().withColumn("n", F.lit(1).cast("bigint"))
+
+
+def _most(asked: DataFrame, said: DataFrame) -> DataFrame:
+    """(key, _conv, _turn, n): messages with n distinct lines of ``key``, more than half of them.
+
+    Such a message has one at least of any half of the lines, so the rarer half finds them all.
+    """
+    lines = asked.select("key", F.expr("array_distinct(lines)").alias("lines")).distinct()
+    lines = stash(lines.select("key", F.expr("size(lines)").alias("of"), F.explode("lines").alias("line")).select("key", "of", F.md5("line").alias("hash")), "quote-lines")
+    told = said.select("_conv", "_turn", F.explode("own").alias("line")).select("_conv", "_turn", F.md5("line").alias("hash"))
+    told = stash(told.join(lines.select("hash").distinct(), "hash", "left_semi").distinct(), "quote-told")
+    often = lines.join(told.groupBy("hash").agg(F.count(F.lit(1)).alias("times")), "hash", "left")
+    rank = F.row_number().over(W.partitionBy("key").orderBy(F.coalesce("times", F.lit(0)), "hash"))
+    probes = often.withColumn("rank", rank).where("2 * rank <= of + 1 and times > 0")
+    may = probes.join(told, "hash").select("key", "_conv", "_turn").distinct()
+    held = may.join(lines, "key").join(told, ["_conv", "_turn", "hash"]).groupBy("key", "of", "_conv", "_turn").agg(F.count(F.lit(1)).alias("n"))
+    return held.where("2 * n > of").select("key", "_conv", "_turn", "n")
+
+
+def _sources(asked: DataFrame, offers: DataFrame) -> DataFrame:
+    """(_row, p, level, far, c, t): for each passage, the message with the highest n; of equals the
+    latest earlier one of its conversation, else the first of another."""
+    offers = stash(offers, "quote-offers")
+    # Questions come before what is said in the same turn.
+    turns = offers.selectExpr("key", "_conv", "_turn", "1 as said", "struct(n, _turn as t) as has").unionByName(asked.selectExpr("key", "_conv", "_turn", "0 as said").distinct(), allowMissingColumns=True)
+    so_far = W.partitionBy("key", "_conv").orderBy("_turn", "said").rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = turns.withColumn("near", F.max("has").over(so_far)).where("said = 0 and near is not null").select("key", "_conv", "_turn", "near")
+    first = offers.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("less"), "_conv", "_turn")).alias("away"))
+    both = asked.join(near, ["key", "_conv", "_turn"], "left").join(first, "key", "left")
+    both = both.withColumn("away", F.when(F.col("away._conv") != F.col("_conv"), F.col("away")))
+    far = "(near is null or near.n < -away.less)"
+    return both.where("near is not null or away is not null").selectExpr(
+        "_row", "p", "level", f"if(away is not null and {far}, 1, 0) as far", f"if({far}, away._conv, null) as c", f"if(away is not null and {far}, away._turn, near.t) as t"
+    )
+
+
 def _threaded(linked: DataFrame) -> DataFrame:
     """Adds ``thread``, the first turn of the message's thread: a message that quotes within its
     conversation branches off under its source; others go on in the thread of the one before."""
