@@ -85,6 +85,41 @@ def test_whole_passages_before_single_lines(spark):
     assert got == {(1, 3): (1, 0), (2, 1): (1, 0), (2, 2): (1, 0), (3, 0): (1, 0), (3, 3): (3, 2), (4, 0): (1, 0)}
 
 
+def test_own_conversation_hides_no_other_source(spark):
+    talk = [(1, 0, "> Same line.\n> more\nyes"), (1, 1, "Same line.\nmore"), (1, 2, "> two\n> three\n> none"), (1, 3, "two\nthree"), (2, 0, "same line.\nMore"), (2, 1, "Three\nTwo"), (3, 0, "> same line.\n> more"), (5, 0, "> only here"), (5, 1, "only here")]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, text string")
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quotes.link(df).where("quoted").collect()}
+    assert got == {(1, 0): (2, 0), (1, 2): (2, 1), (3, 0): (1, 1)}
+
+
+def brute_sources(talk):
+    """By conversation and turn, what the first traceable passage of each message was quoted from."""
+    own = {(c, t): [x.lower() for x in text.split("\n") if not x.startswith(">")] for c, t, text in talk}
+    out = {}
+    for c, t, text in talk:
+        asked = [x.lstrip("> ").lower() for x in text.split("\n") if x.startswith(">")]
+        if not asked:
+            continue
+        has = {k: any(v[i : i + len(asked)] == asked for i in range(len(v))) for k, v in own.items()}
+        n = {k: len(set(v) & set(asked)) for k, v in own.items()}
+        can = [k for k in own if k[0] != c or k[1] < t]
+        for good, rank in ((lambda k: has[k], lambda k: 0), (lambda k: 2 * n[k] > len(set(asked)), n.get)):
+            if found := [k for k in can if good(k)]:
+                out[c, t] = min(found, key=lambda k: (-rank(k), k[0] != c, -k[1] if k[0] == c else k))
+                break
+    return out
+
+
+def test_sources_against_brute_force(spark):
+    rng, talk = random.Random(11), []
+    for c in range(30):
+        for t in range(rng.randint(1, 8)):
+            asked = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 4))]
+            talk.append((c, t, "\n".join([f"> {x}" for x in asked] + [rng.choice("abcdefgh").upper() for _ in range(rng.randint(1, 4))])))
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quotes.link(spark.createDataFrame(talk, "conv_id long, turn long, text string")).where("quoted").collect()}
+    assert got == brute_sources(talk)
+
+
 def test_reply_order_walks_the_tree(spark):
     rng, talk, want = random.Random(5), [(1, 1, "aa"), (1, 2, "bb"), (1, 3, "> aa\ncc"), (1, 4, "> bb\ndd")], {1: [1, 2, 4, 3]}
     for c in range(2, 12):

@@ -11,9 +11,9 @@ conversations come out in reply order: each message is followed by the replies t
 conversation, the earliest first, each with all that was replied to it in turn. A thread is a
 message that begins or branches and the run of messages that go on from it without quoting.
 
-Sources elsewhere are aggregated to one message for each hash before the join, and those of the
-same conversation are found in one pass by turn, so a passage that very many messages contain joins
-one row. Messages that may hold most of a passage are looked up by its rarer half of lines only.
+Sources elsewhere are aggregated before the join to two messages for each hash, the first and the
+first of another conversation than that, and those of the same conversation are found in one pass
+by turn, so a passage that very many messages contain joins one row. Messages that may hold most of a passage are looked up by its rarer half of lines only.
 
 Edge cases: null text is empty; a message of quotes only keeps an empty body; a quote that
 nobody wrote is dropped and links nothing; repeated (conversation, turn) rows are separate
@@ -123,9 +123,13 @@ def _sources(asked: DataFrame, offers: DataFrame) -> DataFrame:
     turns = offers.selectExpr("key", "_conv", "_turn", "1 as said", "struct(n, _turn as t) as has").unionByName(asked.selectExpr("key", "_conv", "_turn", "0 as said").distinct(), allowMissingColumns=True)
     so_far = W.partitionBy("key", "_conv").orderBy("_turn", "said").rowsBetween(W.unboundedPreceding, W.currentRow)
     near = turns.withColumn("near", F.max("has").over(so_far)).where("said = 0 and near is not null").select("key", "_conv", "_turn", "near")
-    first = offers.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("less"), "_conv", "_turn")).alias("away"))
-    both = asked.join(near, ["key", "_conv", "_turn"], "left").join(first, "key", "left")
-    both = both.withColumn("away", F.when(F.col("away._conv") != F.col("_conv"), F.col("away")))
+    # Whoever asks, the first message or the first of another conversation is not their own.
+    place = F.struct((-F.col("n")).alias("less"), "_conv", "_turn")
+    by_conv = offers.groupBy("key", "_conv").agg(F.min(place).alias("one"))
+    first = by_conv.groupBy("key").agg(F.min("one").alias("one"))
+    second = by_conv.join(first.select("key", F.col("one._conv").alias("_conv")), ["key", "_conv"], "left_anti").groupBy("key").agg(F.min("one").alias("two"))
+    both = asked.join(near, ["key", "_conv", "_turn"], "left").join(first, "key", "left").join(second, "key", "left")
+    both = both.withColumn("away", F.when(F.col("one._conv") != F.col("_conv"), F.col("one")).otherwise(F.col("two")))
     far = "(near is null or near.n < -away.less)"
     return both.where("near is not null or away is not null").selectExpr(
         "_row", "p", "level", f"if(away is not null and {far}, 1, 0) as far", f"if({far}, away._conv, null) as c", f"if(away is not null and {far}, away._turn, near.t) as t"
