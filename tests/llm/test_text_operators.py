@@ -208,6 +208,14 @@ def test_neighbours_are_found_as_if_alone(spark):
     assert {v for v in values if alone[v].text == v} == still
 
 
+def test_any_area_in_explicit_form(spark):
+    phones = [f"+1 ({a:03d}) 555-77{a % 100:02d}" for a in (0, 17, 99, 100, 199, 200, 743, 999)]
+    got = pii.pseudonymise(docs(spark, [*phones, "(743) 555-7743", "(017) 555-7717"])).orderBy("doc_id").collect()
+    new = [r.text for r in got]
+    assert all(re.fullmatch(r"\+1 \([0-9]{3}\) [2-9][0-9]{2}-[0-9]{4}", x) and x != v and r.n_phone == 1 for x, v, r in zip(new, phones, got, strict=False)) and len(set(new)) == len(new)
+    assert [x[4] < "2" for x in new[:8]] == [v[4] < "2" for v in phones] and new[6] == "+1 " + new[8] and new[9] == "(017) 555-7717"
+
+
 def test_long_runs_of_numbers(spark):
     cards = ["4111111111111111", "5500000000000004"] * 300
     text = " ".join(f"7 {c} 1" for c in cards)

@@ -10,7 +10,7 @@ is thus permuted without walking cycles. Mail names go through the same network
 
 Kinds, first to last where matches could overlap: ``email``, ``ip`` (four octets), ``ssn``
 (ddd-dd-dddd of assigned ranges), ``phone`` (ten-digit North American numbers with separators or
-+1), ``date`` (yyyy-mm-dd or yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy) and ``card`` (13 to 19 digits with
++1, area 200 and up, or any area written as +1 (ddd)), ``date`` (yyyy-mm-dd or yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy) and ``card`` (13 to 19 digits with
 single spaces or hyphens, first 2 to 6, Luhn). Only valid values consume text: the patterns hold the
 rules, and a run of digit groups, which ends where another kind begins, is searched for every
 span of whole groups that passes Luhn. Where such spans overlap, fewer groups win, then the first.
@@ -32,7 +32,7 @@ EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IP = rf"(?<![A-Za-z0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![A-Za-z0-9]|\.[0-9])"
 SSN = r"(?<![A-Za-z0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9-])"
-PHONE = r"(?<![A-Za-z0-9])(?:\+1[\x20.-]?\([2-9][0-9]{2}\)\x20?|\([2-9][0-9]{2}\)\x20?|\+1[\x20.-]?[2-9][0-9]{2}[\x20.-]?|[2-9][0-9]{2}[\x20.-])[2-9][0-9]{2}[\x20.-]?[0-9]{4}(?![A-Za-z0-9])"
+PHONE = r"(?<![A-Za-z0-9])(?:\+1[\x20.-]?\([0-9]{3}\)\x20?|\([2-9][0-9]{2}\)\x20?|\+1[\x20.-]?[2-9][0-9]{2}[\x20.-]?|[2-9][0-9]{2}[\x20.-])[2-9][0-9]{2}[\x20.-]?[0-9]{4}(?![A-Za-z0-9])"
 
 
 def _dates(form: str) -> str:
@@ -131,8 +131,10 @@ def _ssn(m: str, key: str) -> str:
 
 
 def _phone(m: str, key: str) -> str:
-    mixed = _pair("int(substr(d, 1, 3)) - 200", "int(substr(d, 4)) - 2000000", "800", "8000000", "phone", key)
-    out = _let(mixed, "p", "concat(string(p.a + 200), string(p.b + 2000000))")
+    # Areas below 200, which only +1 (ddd) admits, are permuted among themselves: the others keep one pseudonym in every form.
+    areas = ((0, 200, "phone-low"), (200, 800, "phone"))
+    low, high = (_let(_pair(f"int(substr(d, 1, 3)) - {a}", "int(substr(d, 4)) - 2000000", str(n), "8000000", kind, key), "p", f"concat(lpad(string(p.a + {a}), 3, '0'), string(p.b + 2000000))") for a, n, kind in areas)
+    out = f"if(d < '2', {low}, {high})"
     ten = "right(regexp_replace(%s, '[^0-9]', ''), 10)" % m
     return _let(ten, "d", _fill(m, f"concat(if(length(regexp_replace({m}, '[^0-9]', '')) = 11, '1', ''), {out})"))
 
