@@ -25,6 +25,14 @@ def test_scan_values_and_offsets():
         assert PAGE[start:end].decode().replace("&amp;", "&").strip() == value
 
 
+def test_the_scan_query_gives_every_kind_of_link(spark, tmp_path):
+    from tidemark.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "http://h/", PAGE.decode())], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.value, r.kind) for r in QUERIES["d01_scan_links"](spark, str(tmp_path)).collect()]
+    assert got == [(x[0], x[1]) for x in scan.scan_html(PAGE)["links"]]
+
+
 def test_css():
     src = b"@import 'a.css'; .x{background:url(b.png)} /* url(c.png) */ .y{content:\"url(d.png)\"; src:URL( \"e.woff\" )} .z{f:url(#g)}"
     assert [x[0] for x in scan.css_links(src)] == ["a.css", "b.png", "e.woff"]
