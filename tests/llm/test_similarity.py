@@ -131,9 +131,11 @@ def test_repeats_edges(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("chunk", "d"), [(8192, 64), (9, 64), (8192, 10)])
-def test_vectors(spark, monkeypatch, chunk, d):
+@pytest.mark.parametrize(("chunk", "d", "dense"), [(8192, 64, 4), (9, 64, 3), (8192, 10, 4), (9, 64, 10_000), (30, 10, 2)])
+def test_vectors(spark, monkeypatch, chunk, d, dense):
     monkeypatch.setattr(subspace, "CHUNK", chunk)
+    monkeypatch.setattr(subspace, "CELL", 2 * chunk)
+    monkeypatch.setattr(subspace, "DENSE", dense)
     rng = np.random.default_rng(d + chunk)
     base = rng.normal(size=(60, d))
     near = base[:12].repeat(6, axis=0) + rng.normal(size=(72, d)) * rng.choice([0.05, 0.3, 0.45], size=(72, 1))
@@ -155,6 +157,28 @@ def test_vectors(spark, monkeypatch, chunk, d):
     assert subspace.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_a_large_group_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(subspace, "CHUNK", 50)
+    monkeypatch.setattr(subspace, "CELL", 100_000)
+    rng, count = np.random.default_rng(5), {}
+    base, other = rng.normal(size=64), rng.normal(size=(40, 64))
+    for n in (200, 800):
+        x = np.concatenate([base + rng.normal(size=(n, 64)) * 0.05, other])
+        nodes = spark.createDataFrame([(i, 1, 64, v.tobytes()) for i, v in enumerate(x)], "node long, weight long, dim int, vec binary")
+        layouts = subspace.layouts_of(nodes, 0.9)
+        count[n] = subspace.dealt(nodes, layouts).count()
+        found = subspace._met(nodes, 0.9, layouts).groupBy("node").sum("links").collect()
+        assert sorted(r[1] for r in found) == [n - 1] * n
+    # Members of a ball that nobody visits are not sent at all; the others meet in four blocks.
+    assert count[200] == count[800] == 160
+
+
+def test_a_large_group_is_dealt_in_proportion_without_balls(spark, monkeypatch):
+    monkeypatch.setattr(subspace, "DENSE", 10_000)
+    nodes = spark.createDataFrame([(i, 1, 64, v.tobytes()) for i, v in enumerate(np.random.default_rng(6).normal(size=(2000, 64)))], "node long, weight long, dim int, vec binary")
+    assert subspace.dealt(nodes, subspace.layouts_of(nodes, 0.9)).count() == 4 * 2000
+
+
 def test_rotation_keeps_distances():
     x = np.random.default_rng(1).normal(size=(20, 48))
     y = subspace.rotate(x)
