@@ -7,11 +7,15 @@ complementary role stand within ``SCOPE`` code points of it. Roles are identifie
 endpoint. A weak identifier or secret needs a strong part of the other kind, or both other roles;
 an endpoint needs both.
 
-Positions are code points from 0, ends exclusive. Matches of a pattern are found with their
-gaps: the lengths of the pieces between matches and of the matches themselves give each start.
-
-Edge cases: a null or empty text has no spans; repeated rows and ids are scanned one by one; an
-empty table gives an empty result; columns of ``docs`` named like an output column are replaced.
+Positions are code points from 0, ends exclusive. Each pattern is searched once in a text; the
+lengths of its matches and of the pieces between them give every start, summed in runs of ``RUN``.
+What is found is written aside without the texts, and joined by text and stretch of ``SCOPE`` code
+points, so work grows with the number of parts and one text of very many parts is spread out.
+
+Edge cases: a null or empty text has no spans; very long texts are searched whole; repeated rows
+and ids are scanned one by one; spans that tie by start are listed by kind, in the order of
+``KINDS``; an empty table gives an empty result; columns of ``docs`` named like an output column
+(``base``, ``spans``) are replaced by ``scan`` and kept by ``redact``; any other name is safe.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.runtime import stash, where_computed
+from tidemark.runtime import stash
 
 #: Patterns of the base kinds; letters of the keywords in either case, spelled out so that every
 #: regex engine agrees. \x22 and \x27 are the quotes.
@@ -46,100 +50,104 @@ KINDS = {
 STRONG = [k for k, v in KINDS.items() if v[3]]
 WEAK = [k for k, v in KINDS.items() if not v[3]]
 SCOPE = 400
-SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+#: Matches whose starts are summed together, and code points that are cut together.
+RUN, CUT = 256, 4096
 
 
-def _with_spans(df: DataFrame, kind: str) -> DataFrame:
-    """Adds ``_<kind>``, the spans of one pattern; texts without a match cost one search."""
-    pattern, keep, _, _ = KINDS[kind]
-    rank = list(KINDS).index(kind)
-    return (
-        df.withColumn("_hit", F.expr(f"_text rlike r'{pattern}'"))
-        .withColumn("_m", F.expr(f"if(_hit, regexp_extract_all(_text, r'{pattern}', 0), array())"))
-        .withColumn("_gap", F.expr(f"if(_hit, split(_text, r'{pattern}', -1), array())"))
-        .withColumn(
-            "_at",
-            F.expr(
-                """aggregate(transform(_m, (m, k) -> struct(length(_gap[k]) as gap, length(m) as len)),
-                       struct(0 as pos, array(cast(null as int)) as starts),
-                       (a, x) -> struct(a.pos + x.gap + x.len as pos, array_append(a.starts, a.pos + x.gap) as starts)).starts"""
-            ),
-        )
-        .withColumn(
-            f"_{kind}",
-            F.expr(
-                f"""cast(transform(filter(transform(_m, (m, k) -> struct(_at[k + 1] as s, m)), x -> {keep.replace("(m,", "(x.m,").replace("m rlike", "x.m rlike")}),
-                       x -> struct(x.s, x.s + length(x.m), {rank}, '{kind}')) as {SPAN})"""
-            ),
-        )
-        .drop("_hit", "_m", "_gap", "_at")
-    )
-
-
-def _candidates(docs: DataFrame, text: str) -> DataFrame:
-    df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    for kind in KINDS:
-        df = _with_spans(df, kind)
-    strong = F.array_sort(F.concat(*[F.col(f"_{k}") for k in STRONG]))
-    # A weak span that touches a strong one is that one, or a piece of it.
-    touches = "exists(_strong, s -> s.start < w.end and w.start < s.end)"
-    return (
-        df.withColumn("_strong", strong)
-        .withColumn("_weak", F.concat(*[F.col(f"_{k}") for k in WEAK]))
-        .withColumn("_weak", F.expr(f"if(size(_weak) = 0 or size(_strong) = 0, _weak, filter(_weak, w -> not {touches}))"))
-        .drop("_text", *[f"_{k}" for k in KINDS])
-    )
-
-
-def _roles() -> str:
-    return "case x.kind " + " ".join(f"when '{k}' then '{v[2]}'" for k, v in KINDS.items()) + " end"
-
-
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` (strong spans) and ``spans`` (those and the weak ones linked).
-
-    Only rows with a weak candidate and a part of another role, which are few, are written aside
-    and joined; all others keep their place and are never shuffled.
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to ``value``, evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _spans(kind: str) -> str:
+    """SQL: the spans of one pattern in ``t``; texts without a match cost one search.
+
+    Everything that is read more than once is bound: a column would be written out, and computed
+    again, wherever a later projection mentions it.
     """
-    columns = [c for c in docs.columns if c not in ("base", "spans")]
-    found = _candidates(docs.select(*columns), text)
-    linkable = F.expr(f"size(_weak) > 0 and size(array_distinct(transform(concat(_weak, _strong), x -> {_roles()}))) > 1")
-    plain = where_computed(found, ~linkable).select(*columns, F.col("_strong").alias("base"), F.col("_strong").alias("spans"))
-    some = stash(where_computed(found, linkable).withColumn("_row", F.monotonically_increasing_id()), "secret-parts")
-    linked = _linked(some)
-    joined = some.join(linked, "_row", "left").select(
-        *columns,
-        F.col("_strong").alias("base"),
-        F.array_sort(F.concat("_strong", F.coalesce("_found", F.array().cast(SPAN)))).alias("spans"),
-    )
-    return plain.unionByName(joined)
+    pattern, keep, _, _ = KINDS[kind]
+    widths = "transform(m, (x, k) -> struct(length(g[k]) as gap, length(x) as len))"
+    runs = f"""transform(sequence(0, int((size(w) - 1) / {RUN})), c -> aggregate(slice(w, c * {RUN} + 1, {RUN}), struct(0 as pos, cast(array() as array<int>) as starts),
+                 (a, x) -> struct(a.pos + x.gap + x.len as pos, array_append(a.starts, a.pos + x.gap) as starts)))"""
+    before = "aggregate(r, struct(0 as pos, cast(array() as array<int>) as at), (a, x) -> struct(a.pos + x.pos as pos, array_append(a.at, a.pos) as at)).at"
+    starts = "flatten(transform(r, (x, c) -> transform(x.starts, y -> y + b[c])))"
+    out = f"""cast(transform(filter(transform(m, (x, k) -> struct(s[k] as s, x as m)), x -> {keep.replace("(m,", "(x.m,").replace("m rlike", "x.m rlike")}),
+                x -> struct(x.s, {list(KINDS).index(kind)}, x.s + length(x.m), '{kind}')) as {SPAN})"""
+    bound = _let(widths, "w", _let(runs, "r", _let(before, "b", _let(starts, "s", out))))
+    found = _let(f"regexp_extract_all(t, r'{pattern}', 0)", "m", _let(f"split(t, r'{pattern}', -1)", "g", bound))
+    return f"if(t rlike r'{pattern}', {found}, cast(array() as {SPAN}))"
+
+
+def _roles(x: str = "x") -> str:
+    return f"case {x}.kind " + " ".join(f"when '{k}' then '{v[2]}'" for k, v in KINDS.items()) + " end"
+
+
+def _found(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """(row, doc, strong, weak), written: ``doc`` has ``columns``. Each text is searched once."""
+    of = lambda kinds: F.expr(f"sort_array(concat({', '.join(map(_spans, kinds))}))")
+    texts = docs.select(F.struct(*columns).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return stash(texts.select(F.monotonically_increasing_id().alias("row"), "doc", of(STRONG).alias("strong"), of(WEAK).alias("weak")), "secret-parts")
+
+
+def _scanned(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """(doc, base, spans). Only rows with a weak candidate and parts of several roles, which are
+    few, are joined; all others keep their place and are never shuffled."""
+    found = _found(docs, text, columns)
+    linkable = F.expr(f"size(weak) > 0 and size(array_distinct(transform(concat(weak, strong), x -> {_roles()}))) > 1")
+    plain = found.where(~linkable).select("doc", F.col("strong").alias("base"), F.col("strong").alias("spans"))
+    some = found.where(linkable)
+    joined = some.join(_linked(some.select("row", "strong", "weak")), "row", "left")
+    spans = F.sort_array(F.concat("strong", F.coalesce("links", F.array().cast(SPAN))))
+    return plain.unionByName(joined.select("doc", F.col("strong").alias("base"), spans.alias("spans")))
+
+
+def scan(docs: DataFrame, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or ``columns`` of it) with ``base`` (strong spans) and ``spans`` (those and the
+    weak ones linked), each by start, then kind."""
+    columns = [c for c in columns or docs.columns if c not in ("base", "spans")]
+    return _scanned(docs, text, columns).select(*[F.col("doc")[c].alias(c) for c in columns], "base", "spans")
+
+
+def _free(some: DataFrame) -> DataFrame:
+    """(row, x): weak spans that touch no strong one; one that does is that one, or a piece of it."""
+    covers = F.expr(f"explode(sequence(int(x.start / {SCOPE}), int((x.end - 1) / {SCOPE})))").alias("bin")
+    strong = some.select("row", F.explode("strong").alias("x")).select("row", "x", covers).groupBy("row", "bin").agg(F.collect_list("x").alias("near"))
+    weak = some.select("row", F.explode("weak").alias("x")).select("row", "x", covers).join(strong, ["row", "bin"], "left")
+    touched = F.expr("coalesce(exists(near, s -> s.start < x.end and x.start < s.end), false)")
+    return weak.groupBy("row", "x").agg(F.max(touched).alias("touched")).where("not touched").select("row", "x")
 
 
 def _linked(some: DataFrame) -> DataFrame:
-    """Interval join of the parts of each text: the weak ones that complementary parts confirm."""
-    parts = some.select("_row", F.explode(F.concat("_strong", "_weak")).alias("x")).select(
-        "_row", "x", F.expr(_roles()).alias("role"), F.col("x.kind").isin(STRONG).alias("strong"), F.expr(f"int(x.start / {SCOPE})").alias("bin")
-    )
-    # One row for each role, strength and bin: the first and last start there decide reach.
-    other = parts.groupBy("_row", "bin", "role", "strong").agg(F.sort_array(F.collect_set("x.start")).alias("starts"))
-    weak = parts.where(~F.col("strong")).select("_row", "x", F.col("role").alias("own"), F.explode(F.expr("array(bin - 1, bin, bin + 1)")).alias("bin"))
-    near = weak.join(other, ["_row", "bin"]).where(
-        (F.col("role") != F.col("own")) & F.expr(f"exists(starts, s -> abs(s - x.start) <= {SCOPE})")
-    )
-    votes = near.groupBy("_row", "x", "own").agg(F.max("strong").alias("sure"), F.size(F.collect_set("role")).alias("roles"), F.max(F.col("strong") & (F.col("role") != "endpoint")).alias("pair"))
+    """(row, links): interval join of the parts of each text, for the weak ones that complementary
+    parts confirm."""
+    free = _free(some)
+    parts = some.select("row", F.explode("strong").alias("x"), F.lit(True).alias("strong")).unionByName(free.withColumn("strong", F.lit(False)))
+    parts = parts.select("row", "x", F.expr(_roles()).alias("role"), "strong", F.expr(f"int(x.start / {SCOPE})").alias("bin"))
+    # One row for each role, strength and stretch: whether a start there is near decides.
+    other = parts.groupBy("row", "bin", "role", "strong").agg(F.collect_set("x.start").alias("starts"))
+    weak = parts.where(~F.col("strong")).select("row", "x", F.col("role").alias("own"), F.explode(F.expr("array(bin - 1, bin, bin + 1)")).alias("bin"))
+    near = weak.join(other, ["row", "bin"]).where((F.col("role") != F.col("own")) & F.expr(f"exists(starts, s -> abs(s - x.start) <= {SCOPE})"))
+    votes = near.groupBy("row", "x", "own").agg(F.size(F.collect_set("role")).alias("roles"), F.max(F.col("strong") & (F.col("role") != "endpoint")).alias("pair"))
     good = votes.where((F.col("roles") == 2) | (F.col("pair") & (F.col("own") != "endpoint")))
-    return good.groupBy("_row").agg(F.collect_list("x").alias("_found"))
+    return good.groupBy("row").agg(F.collect_list("x").alias("links"))
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every reported span of ``text`` replaced by ``mask``; overlapping spans are one."""
-    scanned = scan(docs, text)
-    cut = F.expr(
-        f"""aggregate(spans, struct(0 as pos, '' as out), (a, s) -> struct(greatest(a.pos, s.end) as pos,
-                if(s.start >= a.pos, concat(a.out, substring(`{text}`, a.pos + 1, s.start - a.pos), '{mask}'), a.out) as out),
-             a -> concat(a.out, substring(`{text}`, a.pos + 1)))"""
-    )
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, cut).otherwise(F.col(text))).select(*docs.columns)
+    """``docs`` with every reported span of ``text`` replaced by ``mask``; overlapping spans are one.
+
+    A text is cut into stretches of ``CUT`` code points, each masked by the spans that reach it.
+    """
+    columns = docs.columns
+    quoted = mask.replace("\\", "\\\\").replace("'", "\\'")
+    one = f"""aggregate(filter(w, s -> s.start >= k * {CUT}), struct(coalesce(array_max(transform(filter(w, s -> s.start < k * {CUT}), s -> s.end)), k * {CUT}) as pos, '' as out),
+                (a, s) -> struct(greatest(a.pos, s.end) as pos, if(s.start >= a.pos, concat(a.out, substring(x, a.pos - k * {CUT} + 1, s.start - a.pos), '{quoted}'), a.out) as out),
+                a -> concat(a.out, substring(x, a.pos - k * {CUT} + 1)))"""
+    reach = f"filter(spans, s -> s.start < (k + 1) * {CUT} and s.end > k * {CUT})"
+    cut = F.expr(f"array_join(transform(regexp_extract_all(t, '(?s).{{1,{CUT}}}', 0), (x, k) -> {_let(reach, 'w', one)}), '')")
+    found = _scanned(docs, text, columns).select("doc", "spans", F.col("doc")[text].alias("t"))
+    new = F.when(F.size("spans") > 0, cut).otherwise(F.col("t"))
+    return found.select(*[new.alias(c) if c == text else F.col("doc")[c].alias(c) for c in columns])
 
 
 def _listed(column: str) -> str:
@@ -148,10 +156,8 @@ def _listed(column: str) -> str:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ranked = lambda c: f"array_sort(transform({c}, s -> struct(s.start, s.rank, s.end, s.kind)))"
-    scanned = scan(docs).withColumn("base", F.expr(ranked("base"))).withColumn("spans", F.expr(ranked("spans")))
     count = lambda k: F.expr(f"bigint(size(filter(base, s -> s.kind = '{k}')))").alias(f"n_{k}")
-    return scanned.select("doc_id", *[count(k) for k in STRONG], F.expr(f"sha2({_listed('base')}, 256)").alias("base_sha256"), F.expr(_listed("spans")).alias("spans"))
+    return scan(docs, columns=["doc_id"]).select("doc_id", *[count(k) for k in STRONG], F.expr(f"sha2({_listed('base')}, 256)").alias("base_sha256"), F.expr(_listed("spans")).alias("spans"))
 
 
 def _sql_spans(kind: str, cond: str) -> str:
