@@ -51,6 +51,37 @@ def test_records_survive_a_round_trip(spark, tmp_path):
     assert warc.parse(b"") == [] and warc.parse(b"junk WARC/1.1\r\n") == []
 
 
+def test_payloads_that_look_like_records(spark, tmp_path):
+    import gzip
+
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {}\r\nWARC-Record-ID: <{}>\r\nContent-Length: {}\r\n\r\n"
+    bodies = {"plain": [b"a", b"", b"\xff\xfe" * 50_000, b"x\r\n\r\n"], "trap": [b"before\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc", b"after"], "empty": []}
+    for name, each in bodies.items():
+        raw = [head.format(f"http://{name}/{i}", i, len(b)).encode() + b + b"\r\n\r\n" for i, b in enumerate(each)]
+        (tmp_path / f"{name}.warc").write_bytes(b"".join(raw))
+        (tmp_path / f"{name}2.warc.gz").write_bytes(b"".join(map(gzip.compress, raw)))
+    got = sorted((os.path.basename(r.path), r.record_id, r.url, bytes(r.body)) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    assert got == sorted((f"{name}{kind}", f"<{i}>", f"http://{name}/{i}", b) for name, each in bodies.items() for i, b in enumerate(each) for kind in (".warc", "2.warc.gz"))
+
+
+def test_a_replica_is_audited_by_its_bytes(spark, tmp_path):
+    """Both replicas go through written archives; the audit finds the records that were cut."""
+    from tidemark.llm.warc import flipped
+
+    src = pages(spark, 3000)
+    theirs = src.withColumn("html", flipped(F.col("html")))
+    want = {r.page_id for r in src.where(flipped(F.col("html")) != F.col("html")).collect()}
+    roots = []
+    for name, frame in (("ours", src), ("theirs", theirs)):
+        (tmp_path / name).mkdir()
+        for r in warc.write_segments(frame.coalesce(2)).collect():
+            with open(tmp_path / name / f"{r.segment}.warc.gz", "ab") as f:
+                f.write(bytes(r.member))
+        back = warc.read_warc(spark, str(tmp_path / name)).select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page_id"), "url", F.col("body").cast("string").alias("html"))
+        roots.append(warc.tree(warc.manifest(back)))
+    assert want and {r.node for r in warc.audit(*roots).where("level = 0").collect()} == want
+
+
 TALK = [
     (1, 0, "Hello  there world.\nHow are you?"), (1, 1, "> how are you?\nFine, thanks."), (1, 2, "> > How are you?\n> fine, thanks.\nGood."),
     (1, 3, "> hello there WORLD.\nreply to first"), (2, 0, ">fine, thanks.\nme too"), (2, 1, "> nobody said this\nok"), (2, 2, "more"), (None, 0, "x"), (3, None, None), (4, 0, ">"),

@@ -11,7 +11,8 @@ partitions, whose totals are summed first, so no task sees more than its part of
 
 Edge cases: null url or body is the empty string; records are ordered by id, url and body, nulls
 first, so repeated rows stand side by side and are interchangeable; an empty table has no records
-and no root; a record that only one replica has differs there; extra columns are not read.
+and no root; a record that only one replica has differs there; extra columns are not read, so
+their names can't clash. A record of any length is hashed whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.runtime import shuffle_width, stash
+from tidemark.runtime import shuffle_width, small_batches, stash
 
 FANOUT = 64
 DATE = "2024-01-01T00:00:00Z"
@@ -41,12 +42,19 @@ def record(url: Column, body: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def manifest(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, position, offset, length, sha256) of the records, in archive order."""
+def manifest(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", name: str | None = None) -> DataFrame:
+    """(page_id, position, offset, length, sha256) of the records, in archive order.
+
+    ``name`` is the column by which records of one id and url are ordered: a replica keeps the
+    names its records had in the archive, whatever has become of them. By default their own hash.
+    """
     spark = pages.sparkSession
     raw = record(F.col(url), F.col(html))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("u"), F.octet_length(raw).cast("bigint").alias("length"), F.sha2(raw, 256).alias("sha256"))
-    keys = ["page_id", "u", "sha256"]
+    rows = pages.select(
+        F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("u"), F.octet_length(raw).cast("bigint").alias("length"), F.sha2(raw, 256).alias("sha256"),
+        (F.col(name) if name else F.sha2(raw, 256)).alias("name"),
+    )
+    keys = ["page_id", "u", "name"]
     rows = stash(rows.repartitionByRange(shuffle_width(spark), *keys).withColumn("part", F.spark_partition_id()), "warc-ranges")
     parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -119,18 +127,49 @@ def parse(raw: bytes) -> list[tuple[str, str, bytes]]:
         at = end + 4 + size
 
 
+#: What stands between two records of a file.
+BETWEEN = "\r\n\r\nWARC/1."
+RECORDS = "path string, record_id string, url string, body binary"
+
+
+def _rows(parsed: list[tuple[str, list]]) -> pa.RecordBatch:
+    rows = [(path, *x) for path, found in parsed for x in found]
+    columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+    kinds = (pa.string(), pa.string(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["path", "record_id", "url", "body"])
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record_id, url, body) of all records of the WARC files under ``path``."""
+    """(path, record_id, url, body) of all records of the WARC files under ``path``, gzipped or not.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Files are streamed and cut where a record begins, so a task holds a few records whatever the
+    archive's size. A record whose length differs from what it states shows that a payload looks like
+    a record's beginning; only files that hold such a one are read again in one piece.
+    """
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = parse(raw)
-                ids, urls, bodies = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(ids, pa.string()), pa.array(urls, pa.string()), pa.array(bodies, pa.binary())], ["path", "record_id", "url", "body"])
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = bytes(raw.as_buffer())
+                yield _rows([(name, parse(raw if raw.startswith(b"WARC/") else b"WARC/1." + raw))])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, record_id string, url string, body binary")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows([(name, parse(raw)) for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+
+    small_batches(spark, 100)
+    at = F.col("_metadata.file_path").alias("path")
+    pieces = spark.read.option("lineSep", BETWEEN).text(path).select(at, F.col("value").cast("binary").alias("raw"))
+    start = F.instr(F.col("raw").cast("string"), "\r\n\r\n")
+    head = F.substring(F.col("raw").cast("string"), F.lit(1), start)
+    stated = F.regexp_extract(head, r"(?i)\nContent-Length:\x20*([0-9]+)", 1).cast("bigint")
+    # The payload is what follows the head's blank line; the file's last record ends in one of its own.
+    length = F.octet_length("raw") - F.octet_length(head) - 3
+    fits = F.coalesce((start > 0) & ((length == stated) | ((length == stated + 4) & F.col("raw").cast("string").endswith("\r\n\r\n"))), F.lit(False))
+    odd = stash(pieces.where(~fits).select("path").distinct(), "warc-odd")
+    kept = pieces.join(odd, "path", "left_anti").mapInArrow(one, RECORDS)
+    again = spark.read.format("binaryFile").load(path).select(at, "content").join(odd, "path", "left_semi")
+    return kept.unionByName(again.mapInArrow(whole, RECORDS))
 
 
 def flipped(body: Column) -> Column:
@@ -141,17 +180,15 @@ def flipped(body: Column) -> Column:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all pages and, record by record, whether a faulty replica differs.
 
-    The replica holds the same records in the same order, some of them damaged on the way: its
-    record hashes are taken from what it holds, its positions from the manifest.
+    The replica is a table of records, some of them damaged: every byte it holds is read and
+    hashed into a tree of its own.
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     ours = manifest(pages)
     held = stash(ours, "warc-manifest")
-    damaged = pages.where(flipped(F.col("html")) != F.col("html")).select(
-        F.sha2(record(F.col("url"), F.col("html")), 256).alias("sha256"), F.sha2(record(F.col("url"), flipped(F.col("html"))), 256).alias("now")
-    ).distinct()
-    replica = held.join(damaged, "sha256", "left").select("position", F.coalesce("now", "sha256").alias("sha256"))
-    wrong = audit(tree(held), tree(replica)).where("level = 0").select(F.col("node").alias("position"), F.lit(True).alias("bad"))
+    replica = pages.select("page_id", "url", flipped(F.col("html")).alias("html"), F.sha2(record(F.col("url"), F.col("html")), 256).alias("name"))
+    theirs = stash(manifest(replica, name="name"), "warc-replica")
+    wrong = audit(tree(held), tree(theirs)).where("level = 0").select(F.col("node").alias("position"), F.lit(True).alias("bad"))
     return held.join(wrong, "position", "left").select(
         "page_id", "position", "offset", "length", "sha256", F.floor(F.col("position") / FANOUT).alias("range"), F.coalesce("bad", F.lit(False)).alias("corrupt")
     )
