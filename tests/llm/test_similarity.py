@@ -125,6 +125,27 @@ def test_repeats(spark, monkeypatch, group, piece, limit):
     assert all(hashlib.sha256(bytes(r.kept_text)).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_ranks_are_the_order_of_bytes():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 400).astype(np.uint8)
+    data[200:300] = data[:100]
+    for length in (8, 13, 40, 200):
+        rank = suffix_dedup.suffix_ranks(data, length)
+        whole = [(bytes(data) + bytes(length))[i : i + length] for i in range(len(data))]
+        names = {w: k for k, w in enumerate(sorted(set(whole) | {(bytes(data) + bytes(2 * length))[i : i + length] for i in range(len(data), len(data) + length)}))}
+        assert np.argsort(rank, kind="stable").tolist() == np.argsort([names[w] for w in whole], kind="stable").tolist()
+        assert [a == b for a, b in zip(rank, rank[1:], strict=False)] == [a == b for a, b in zip(whole, whole[1:], strict=False)]
+
+
+def test_factors_against_all_pairs():
+    rng = np.random.default_rng(4)
+    group, rank, position = rng.integers(0, 3, 60), rng.integers(0, 9, 60).astype(np.uint64), rng.permutation(60)
+    previous, following = suffix_dedup.long_factors(group, rank, position)
+    for i in range(60):
+        twins = [position[j] for j in range(60) if j != i and group[j] == group[i] and rank[j] == rank[i]]
+        assert previous[i] == any(p < position[i] for p in twins) and following[i] == any(p > position[i] for p in twins)
+
+
 def test_repeats_edges(spark):
     df = spark.createDataFrame([(None, "q" * 300), (None, "q" * 300)], "doc_id long, text string")
     assert [r.n_removed for r in suffix_dedup.remove_repeats(df).collect()] == [300, 300]

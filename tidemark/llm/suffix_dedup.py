@@ -1,27 +1,30 @@
-"""Repeated-passage removal by longest-factor tests in suffix order.
+"""Repeated-passage removal by longest factors in suffix order.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts elsewhere. In suffix order
-equal strings stand in one run, and the previous and next smaller positions of a suffix within
-its run are its earlier matches, so its longest previous factor reaches ``LENGTH`` exactly if the
-run holds an earlier position, and its longest next factor if it holds a later one. Here either
-counts: the first copy goes too.
+A byte goes if a string of ``LENGTH`` bytes that covers it also starts elsewhere. Suffixes are put
+in the order of their bytes, ties by position. The previous and next smaller positions of a suffix
+in that order are its best earlier matches, so its longest previous factor reaches ``LENGTH``
+exactly if the suffix before it in the run that shares ``LENGTH`` bytes stands earlier, and its
+longest next factor if the one after it does. Here either counts: the first copy goes too.
 
-The order is never built over all bytes. Every string of ``LENGTH`` bytes has one anchor, the
-leftmost least hash among its substrings of ``GRAM`` bytes, and equal strings have it at the same
-offset, so suffixes need comparing only with those of the same anchor hash:
+The order is never built over all bytes at once. Every string of ``LENGTH`` bytes has one anchor,
+the leftmost least hash among its substrings of ``GRAM`` bytes, and equal strings have it at the
+same offset, so suffixes need ordering only among those of the same anchor hash:
 
 1. anchors, about one in 70 bytes, are counted by hash; most are unique and end there;
-2. the strings of an anchor are settled together where its whole context occurs again, or no
-   other context has its hash;
-3. where contexts differ, one of each is cut into its strings and these are put in order: small
-   groups side by side in a task, large ones by counts over anchor and content.
+2. the strings of an anchor are settled together where its whole context occurs again (two
+   hashes of 64 bits that share nothing, over the same bytes), or no other context has its hash;
+3. where contexts differ, one of each is cut into its suffixes and these are put in suffix order
+   by prefix doubling over their bytes: groups of up to ``GROUP`` contexts side by side in a
+   task; of larger ones the strings are counted by anchor and two such hashes.
 
-Nothing of unbounded size is gathered by key: counts are pre-aggregated, and joins on hot hashes
-can be split. Copies of a text share one key, so steps after the first see them once.
+Nothing of unbounded size is gathered by key: counts are pre-aggregated and written, and joins on
+hot hashes have plain tables on both sides, so that Spark can split them. Copies of a text share
+one key, so steps after the first see them once.
 
 Edge cases: null is the empty text; texts under ``LENGTH`` bytes lose nothing and match nothing;
-repeated rows are copies of each other and go entirely when long enough; an empty table gives an
-empty result; columns other than the id and the text are carried unless an output is named alike.
+very long texts are read in overlapping pieces; repeated rows are copies of each other and go
+entirely when long enough; an empty table gives an empty result; columns other than the id and the
+text are carried unless an output is named alike.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from tidemark.runtime import shuffle_width, small_batches, stash, temporary
 
@@ -107,7 +111,10 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     begins[1:] = (at[1:] != at[:-1]) | (p[1:] != p[:-1] + 1)
     heads = np.flatnonzero(begins)
     first, last, at = p[heads], p[np.concatenate([heads[1:], [len(p)]]) - 1] if len(p) else p, at[heads]
-    context = _mix(_hash(prefix, first, last + LENGTH) + (at - first).astype(np.uint64) * np.uint64(977) + (last - first).astype(np.uint64))
+    raw = data.tobytes()
+    spans = zip(first.tolist(), (last + LENGTH).tolist(), strict=True)
+    context = np.fromiter((xxh3_64_intdigest(raw[i:j]) for i, j in spans), np.uint64, len(first))
+    context = _mix(context + (at - first).astype(np.uint64) * np.uint64(977) + (last - first).astype(np.uint64))
     return first, last, at, grams[at], context
 
 
@@ -177,46 +184,58 @@ def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
-def _strings(place: np.ndarray, raw: list[bytes], step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All strings of some contexts: (context, start in the text, content hash)."""
-    if not raw:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    owners, starts, contents = [], [], []
-    for k in range(0, len(raw), step):
-        part = raw[k : k + step]
-        lens = np.array([len(b) for b in part], np.int64)
-        begins = np.cumsum(lens) - lens
-        prefix = _prefix(np.frombuffer(b"".join(part), np.uint8))
-        counts = lens - LENGTH + 1
-        owner = np.repeat(np.arange(len(part)), counts)
-        inner = np.arange(counts.sum()) - (np.cumsum(counts) - counts)[owner]
-        start = begins[owner] + inner
-        owners.append(owner + k)
-        starts.append(_first_last(place)[0][owner + k] + inner)
-        contents.append(_mix(_hash(prefix, start, start + LENGTH)))
-    return np.concatenate(owners), np.concatenate(starts), np.concatenate(contents)
+def _starts(place: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All strings of some contexts laid end to end: (context, start in the buffer, start in the text)."""
+    counts = lens - LENGTH + 1
+    owner = np.repeat(np.arange(len(lens)), counts)
+    inner = np.arange(counts.sum()) - (np.cumsum(counts) - counts)[owner]
+    return owner, (np.cumsum(lens) - lens)[owner] + inner, _first_last(place)[0][owner] + inner
 
 
-def _match_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by gram -> (x, y, place) of the strings of single contexts with a match.
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """The rank of every suffix of ``data`` by its first ``length`` bytes; equal ones share a rank.
 
-    Strings are put in order by anchor and content; a run of two or more means that the longest
-    previous or next factor of each of its members reaches LENGTH.
+    Prefix doubling from words of eight bytes; beyond the end stand zeros.
+    """
+    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)]).astype(np.uint64)
+    rank = np.zeros(len(data) + length, np.uint64)
+    for k in range(8):
+        rank = (rank << np.uint64(8)) | padded[k : k + len(rank)]
+    width = 8
+    while True:
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+        if width == length:
+            return rank[: len(data)]
+        step = min(width, length - width)
+        rank = (rank[: len(rank) - step] << np.uint64(32)) | rank[step:]
+        width += step
+
+
+def long_factors(group: np.ndarray, rank: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the longest previous and the longest next factor of each suffix is a whole string.
+
+    In suffix order, ties by position, the suffix before is the previous smaller position of its
+    run, and the suffix after is the next larger one.
     """
+    order = np.lexsort((position, rank, group))
+    same = (group[order][1:] == group[order][:-1]) & (rank[order][1:] == rank[order][:-1])
+    previous, following = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    previous[order[1:][same]] = True
+    following[order[:-1][same]] = True
+    return previous, following
+
+
+def _match_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by gram -> (x, y, place) of the strings of single contexts with a match."""
     from tidemark.llm.minhash import _grouped
 
     for table, _ in _grouped(batches, ["gram"], 2 * GROUP):
         gram, place = table.column("gram").to_numpy(), table.column("place").to_numpy()
-        owner, start, content = _strings(place, table.column("bytes").to_pylist())
-        order = np.lexsort((content, gram[owner]))
-        g, c = gram[owner][order], content[order]
-        same = (g[1:] == g[:-1]) & (c[1:] == c[:-1])
-        hit = np.zeros(len(order), bool)
-        hit[1:] |= same
-        hit[:-1] |= same
-        found = order[hit]
-        found = found[table.column("n").to_numpy()[owner[found]] == 1]
-        found.sort()
+        raw = table.column("bytes").to_pylist()
+        owner, at, start = _starts(place, np.array([len(b) for b in raw], np.int64))
+        rank = suffix_ranks(np.frombuffer(b"".join(raw), np.uint8), LENGTH)[at]
+        previous, following = long_factors(gram[owner], rank, at)
+        found = np.flatnonzero((previous | following) & (table.column("n").to_numpy()[owner] == 1))
         yield _runs(table, owner[found], start[found])
 
 
@@ -233,12 +252,23 @@ def _runs(table: pa.Table, owner: np.ndarray, start: np.ndarray) -> pa.RecordBat
 
 
 def _emit_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of large groups -> (gram, content, n, x, y, place), a row for each string."""
-    for batch in batches:
-        if batch.num_rows:
-            owner, start, content = _strings(batch.column("place").to_numpy(), batch.column("bytes").to_pylist())
+    """Contexts of large groups -> (gram, content, check, n, x, y, place), a row for each string.
+
+    ``content`` and ``check`` are hashes of the string that share nothing.
+    """
+    for whole in batches:
+        for k in range(0, whole.num_rows, GROUP):
+            batch = whole.slice(k, GROUP)
+            raw = batch.column("bytes").to_pylist()
+            owner, at, start = _starts(batch.column("place").to_numpy(), np.array([len(b) for b in raw], np.int64))
+            data = b"".join(raw)
+            content = _mix(_hash(_prefix(np.frombuffer(data, np.uint8)), at, at + LENGTH))
+            check = np.fromiter((xxh3_64_intdigest(data[i : i + LENGTH]) for i in at.tolist()), np.uint64, len(at))
             take = lambda c: batch.column(c).take(pa.array(owner))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([take("gram"), pa.array(content.view(np.int64)), take("n"), take("x"), take("y"), pa.array(start << 16)], ["gram", "content", "n", "x", "y", "place"])
+            yield pa.RecordBatch.from_arrays(
+                [take("gram"), pa.array(content.view(np.int64)), pa.array(check.view(np.int64)), take("n"), take("x"), take("y"), pa.array(start << 16)],
+                ["gram", "content", "check", "n", "x", "y", "place"],
+            )
 
 
 def _cut(with_text: bool):
@@ -275,24 +305,26 @@ def repeats(texts: DataFrame) -> DataFrame:
     """(x, y, text) -> (x, y, places): all strings of LENGTH bytes that also start elsewhere."""
     with temporary(texts.sparkSession):
         anchored = texts.select("x", "y", "text").mapInArrow(_emit_anchors, "gram bigint, context bigint, x bigint, y bigint, place bigint")
+        anchored = stash(anchored, "repeat-all")
         grams = anchored.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
-        grams = grams.where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed"))
+        grams = stash(grams.where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "repeat-grams")
         again = stash(anchored.join(grams, "gram"), "repeat-anchors")
         settled = again.where("not mixed").select("x", "y", "place")
         mixed = again.where("mixed")
         kinds = mixed.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("x", "y", "place")).alias("rep"))
         kinds = stash(kinds.select("gram", "context", "n", "rep.*"), "repeat-contexts")
         whole = mixed.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("x", "y", "place")
-        big = kinds.groupBy("gram").agg((F.count(F.lit(1)) > GROUP).alias("big"))
-        reps = kinds.join(big, "gram").groupBy("x", "y").agg(F.collect_list(F.struct("gram", "n", "big", "place")).alias("reps"))
-        reps = stash(reps, "repeat-reps")
+        big = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > GROUP)
+        big = stash(big.select("gram", F.lit(True).alias("big")), "repeat-large")
+        reps = kinds.join(big, "gram", "left").withColumn("big", F.coalesce("big", F.lit(False)))
+        reps = stash(reps.groupBy("x", "y").agg(F.collect_list(F.struct("gram", "n", "big", "place")).alias("reps")), "repeat-reps")
         cut = _only(texts, reps.select("x", "y")).join(reps, ["x", "y"]).select("x", "y", "text", "reps")
         cut = stash(cut.mapInArrow(_emit_contexts, "gram bigint, n bigint, big boolean, x bigint, y bigint, place bigint, bytes binary"), "repeat-bytes")
         width = shuffle_width(texts.sparkSession)
         small = cut.where("not big").repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(_match_groups, "x bigint, y bigint, place bigint")
-        strings = cut.where("big").mapInArrow(_emit_strings, "gram bigint, content bigint, n bigint, x bigint, y bigint, place bigint")
-        often = strings.groupBy("gram", "content").count().where("count > 1").select("gram", "content")
-        large = strings.where("n = 1").join(often, ["gram", "content"], "left_semi").select("x", "y", "place")
+        strings = cut.where("big").mapInArrow(_emit_strings, "gram bigint, content bigint, check bigint, n bigint, x bigint, y bigint, place bigint")
+        often = stash(strings.groupBy("gram", "content", "check").count().where("count > 1").select("gram", "content", "check"), "repeat-often")
+        large = strings.where("n = 1").join(often, ["gram", "content", "check"], "left_semi").select("x", "y", "place")
         found = settled.unionByName(whole).unionByName(small).unionByName(large)
         return stash(found.groupBy("x", "y").agg(F.collect_set("place").alias("places")), "repeat-places", lasting=True)
 
