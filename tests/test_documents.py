@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls
@@ -121,7 +122,7 @@ def test_outage_needs_three_in_a_row(spark):
 def test_pacing_and_rates(spark):
     df = spark.createDataFrame([("h", i, i in (0, 1)) for i in range(42)], "host string, seq int, throttled boolean")
     got = {r.seq: (r.conns, r.delay) for r in folds.pacing(df).collect()}
-    assert got[0] == (4, 0.5) and got[1] == (2, 1.0) and got[21] == (3, 0.5) and got[41] == (4, 0.0)
+    assert got[0] == (4, 0.5) and got[1] == (2, 1.0) and got[21] == (3, 0.5) and got[41] == (4, 0.25)
     t = spark.createDataFrame([("h", i, i * 10, i * 50) for i in range(30)], "k string, seq int, s int, total int").withColumn("ts", F.timestamp_seconds("s"))
     want = 0.0
     for _ in range(29):
@@ -138,3 +139,62 @@ def test_script_driven(spark):
     cases = [("<div id=root></div><script src=x></script>", True), ("<p>" + "word " * 80 + "</p><script>1</script>", False), ("<p>short</p>", False), ("<p>short</p><script>1</script>", True)]
     got = spark.createDataFrame(cases, "body string, want boolean").selectExpr(f"{scan.script_driven('body')} as got", "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def walked(seeds, edges, most):
+    """One queue by (depth, turn); the first link to a key claims it."""
+    import heapq
+
+    out = {k: (0, "done") for k in seeds}
+    queue = [(0, n, k) for n, k in enumerate(sorted(seeds))]
+    turn = len(queue)
+    while queue:
+        depth, _, key = heapq.heappop(queue)
+        for _, _, dst, page, ok in sorted(e for e in edges if e[0] == key):
+            if dst not in out:
+                at = depth + page
+                ok = ok and at <= most
+                out[dst] = at, "done" if ok else "skipped"
+                if ok:
+                    turn += 1
+                    heapq.heappush(queue, (at, turn, dst))
+    return out
+
+
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_closure_takes_keys_in_turn(spark, monkeypatch, one_task):
+    monkeypatch.setattr(closure, "EDGES_ONE_TASK", one_task)
+    schema = "src string, seq int, dst string, page boolean, ok boolean"
+    run = lambda seeds, edges, most: {r.key: (r.depth, r.status) for r in closure.closure(spark.createDataFrame([(k,) for k in seeds], "key string"), spark.createDataFrame(edges, schema), F.col("ok"), most).collect()}
+    chain = [("P", 1, "A", True, True), ("A", 1, "X", True, True), ("P", 2, "a", False, True), ("a", 1, "b", False, True), ("b", 1, "X", True, True)]
+    assert run(["P"], chain, 1) == walked(["P"], chain, 1) and run(["P"], chain, 1)["X"] == (1, "done")
+    denied_first = [("P", 1, "Q", True, False), ("P", 2, "Q", False, True), ("P", 3, "R", True, True), ("R", 1, "Q", False, True)]
+    assert run(["P"], denied_first, 9) == {"P": (0, "done"), "Q": (1, "skipped"), "R": (1, "done")}
+    rng = random.Random(1 + one_task)
+    edges = [(f"k{rng.randrange(40)}", rng.randrange(9), f"k{rng.randrange(40)}", rng.random() < 0.5, rng.random() < 0.8) for _ in range(110)]
+    assert run(["k0", "k1"], edges, 3) == walked(["k0", "k1"], edges, 3)
+
+
+def test_transport_errors(spark):
+    from tidemark.operators import rules
+
+    texts = {"net/http: TLS handshake timeout": True, "read tcp 1.2.3.4:80: connection reset by peer": True, "context deadline exceeded": True, "no such host": True, "404 not found": False, "context canceled": False, None: False}
+    got = spark.createDataFrame([(t,) for t in texts], "e string").selectExpr("e", f"{rules.transport_error('e')} as t").collect()
+    assert {r.e: r.t for r in got} == texts
+
+
+def test_declarative_links_are_not_fetched(spark):
+    html = "<link rel='next' href=n><link rel='webmention nofollow' href=w><link rel='canonical stylesheet' href=c><link rel=x rel=pingback href=p><link rel=prev href=v>"
+    df = spark.createDataFrame([(html,)], "html string")
+    row = scan.scanned(df, "html").first()
+    assert [x.value for x in row.links] == ["n", "c", "v"]
+
+
+def test_one_gate_for_a_job(spark):
+    """Failures of several trusted hosts add up; unknown hosts don't count; probes end an outage."""
+    rows = [(0, "a", True), (1, "x", False), (2, "x", False), (3, "x", False), (4, "a", False), (5, "b", False), (6, "a", False), (8, "a", False), (9, "x", True), (20, "a", True), (21, "a", False)]
+    df = spark.createDataFrame([("j", n, t, h, ok) for n, (t, h, ok) in enumerate(rows)], "job string, seq int, t int, host string, ok boolean").withColumn("ts", F.timestamp_seconds("t"))
+    tried = folds.trusted(df, ["b"]).drop("t")
+    got = {r.seq: (r.state, r.streak, r.outages, r.downtime_s) for r in folds.gate(tried, "job").collect()}
+    # Down from 6; probes at 8, 12, 20, ...; the network answers at 9, so the probe at 12 ends it.
+    assert got[5][0] == "online" and got[6] == ("offline", 3, 1, 0.0) and got[8] == ("offline", 0, 1, 0.0) and got[9] == ("online", 0, 1, 6.0) and got[10] == ("online", 1, 1, 6.0)

@@ -168,14 +168,25 @@ def queue_query(s: Settings, query: str) -> str:
     return urls.without_params(query, list(s.drop_query_params)) if s.drop_query_params else query
 
 
-TRANSPORT_DENY = ("certificate", "x509", "tls", "unsupported protocol", "malformed", "too large", "stopped after")
-TRANSPORT_ALLOW = ("no such host", "timeout", "timed out", "connection refused", "connection reset", "network is unreachable", "no route to host", "eof", "broken pipe")
+#: Fragments of error texts, in the order in which they decide.
+TRANSPORT_TYPED = {"context canceled": "false", "context deadline exceeded": "true", "unexpected eof": "true"}
+TRANSPORT_DENY = (
+    "remote error: tls", "first record does not look like a tls handshake", "tls: unknown certificate", "tls: bad certificate",
+    "tls: protocol version not supported", "tls: handshake failure", "x509:", "certificate is not valid",
+    "certificate signed by unknown authority", "malformed http response", "server gave http response to https client",
+)
+TRANSPORT_ALLOW = (
+    "connection refused", "connection reset", "no such host", "network is unreachable", "host is unreachable", "no route to host",
+    "i/o timeout", "tls handshake timeout", "eof", "broken pipe", "server closed", "connection aborted", "timeout awaiting",
+    "proxyconnect", "http2: client conn",
+)
 
 
 def transport_error(err: str) -> str:
-    """SQL: whether an error text speaks of the connection rather than of the request."""
+    """SQL: whether an error text speaks of the connection rather than of the request; null doesn't."""
     has = lambda words: " or ".join(f"contains(lower({err}), '{w}')" for w in words)
-    return f"case when {has(TRANSPORT_DENY)} then false when {has(TRANSPORT_ALLOW)} then true else false end"
+    typed = " ".join(f"when contains(lower({err}), '{w}') then {v}" for w, v in TRANSPORT_TYPED.items())
+    return f"case {typed} when {has(TRANSPORT_DENY)} then false when {has(TRANSPORT_ALLOW)} then true else false end"
 
 
 def within_limit(df: DataFrame, order: str, size: str, files: int, total: int) -> DataFrame:

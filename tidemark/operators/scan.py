@@ -30,7 +30,10 @@ URL_ATTRIBUTES = {
 }
 SRCSET = ("srcset", "imagesrcset", "data-srcset")
 #: Relations of <link> that name nothing to fetch. Fixed values.
-DECLARATIVE = frozenset({"preconnect", "dns-prefetch", "canonical", "alternate", "shortlink", "next", "prev", "author", "license", "search", "pingback", "edituri", "wlwmanifest", "profile", "me"})
+DECLARATIVE = frozenset({
+    "dns-prefetch", "preconnect", "alternate", "canonical", "pingback", "webmention", "search", "profile", "author", "license", "me",
+    "nofollow", "noopener", "noreferrer", "external",
+})
 
 LINK = "struct<value:string,kind:string,tag:string,attr:string,start:int,end:int,nofollow:boolean,descriptor:string>"
 DOCUMENT = f"links array<{LINK}>, base string, charset string, noindex boolean, nofollow_all boolean, title string"
@@ -77,9 +80,8 @@ def _tag_links(tag: str, raw: bytes, base: int, doc: dict) -> Iterator[tuple]:
         group = next((g for g in (2, 3, 4) if m.group(g) is not None), 0)
         start, end = m.span(group) if group else (m.end(), m.end())
         attrs.append((m.group(1).decode("latin-1").lower(), html.unescape(raw[start:end].decode("utf-8", "replace")), base + start, base + end, raw[start:end]))
-    named = {}
-    for name, value, *_ in attrs:
-        named.setdefault(name, value)
+    # Of repeated attributes the last counts.
+    named = {name: value for name, value, *_ in attrs}
     rel = named.get("rel", "").lower()
     if tag == "meta":
         yield from _meta(attrs, named, doc)
@@ -92,7 +94,7 @@ def _tag_links(tag: str, raw: bytes, base: int, doc: dict) -> Iterator[tuple]:
         elif name in SRCSET:
             yield from srcset_links(body, start, tag, name)
         elif kind := URL_ATTRIBUTES.get(tag, {}).get(name):
-            if tag == "link" and name == "href" and rel.split() and all(t in DECLARATIVE for t in rel.split()):
+            if tag == "link" and name == "href" and rel and all(t in DECLARATIVE for t in rel.split()):
                 continue
             yield (value, kind, tag, name, start, end, "nofollow" in rel, None)
             if kind == "base":

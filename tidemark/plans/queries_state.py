@@ -127,14 +127,31 @@ add("a10_dead_hosts", lambda s, d: folds.host_health(attempts(s, d)).where("dead
     f"{_A} SELECT DISTINCT host FROM (SELECT host, sum(ok::INT) OVER w AS s, sum((NOT ok)::INT) OVER w AS f FROM a WINDOW w AS (PARTITION BY host ORDER BY seq)) WHERE s = 0 AND f >= 2")
 add("w07_streaks", lambda s, d: folds.streaks(attempts(s, d), "host", "seq", "ok").select("seq", "streak"),
     f"""{_A}, i AS (SELECT *, sum(ok::INT) OVER (PARTITION BY host ORDER BY seq) AS g FROM a) SELECT seq, CAST(sum((NOT ok)::INT) OVER (PARTITION BY host, g ORDER BY seq) AS BIGINT) AS streak FROM i""")
-_OUT = f"""{_A}, i AS (SELECT *, sum(ok::INT) OVER (PARTITION BY host ORDER BY seq) AS g FROM a),
-  b AS (SELECT host, g, seq, ts, row_number() OVER (PARTITION BY host, g ORDER BY seq) AS k FROM i WHERE NOT ok),
-  r AS (SELECT host, g, count(*) AS failures, min(ts) FILTER (k = 3) AS since FROM b GROUP BY host, g HAVING count(*) >= 3),
-  o AS (SELECT r.host, CAST(r.g AS BIGINT) AS outage, r.since, u.ts AS until, r.failures FROM r LEFT JOIN (SELECT host, g - 1 AS g, ts FROM i WHERE ok) u ON u.host = r.host AND u.g = r.g)"""
-add("x05_outages", lambda s, d: folds.outages(attempts(s, d), "host").selectExpr("host", "outage", "cast(since as string) as since", "cast(until as string) as until", "failures"),
-    f"{_OUT} SELECT host, outage, rtrim(rtrim(strftime(since, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS since, rtrim(rtrim(strftime(until, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS until, failures FROM o")
-add("a13_outage_totals", lambda s, d: folds.outage_totals(folds.outages(attempts(s, d), "host"), "host").selectExpr("host", "outages", "round(downtime_s, 3) as downtime_s"),
-    f"{_OUT} SELECT host, count(*) AS outages, round(sum(epoch_us(until) / 1e6 - epoch_us(since) / 1e6), 3) AS downtime_s FROM o GROUP BY host")
+def _gate(s: SparkSession, d: str) -> DataFrame:
+    """All users are hosts of one of three jobs; the first of each job is a start host."""
+    tried = folds.trusted(attempts(s, d).withColumn("job", F.expr("host % 3")), [0, 1, 2])
+    return folds.gate(tried.withColumn("ok", F.expr("ok and not throttled")), "job", first_wait=3600.0, longest_wait=14400.0)
+
+
+# Probes after since: 1, 3 and 7 hours, then every four.
+_GATE = f"""{_A}, b AS (SELECT host % 3 AS job, seq, epoch_us(ts) / 1e6 AS now, ok AND NOT throttled AS good,
+    coalesce(max(ok::INT) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 OR host IN (0, 1, 2) AS known FROM a),
+  n AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY seq) AS i FROM b),
+  g AS (
+    SELECT DISTINCT job, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS streak, CAST(NULL AS DOUBLE) AS since, CAST(NULL AS DOUBLE) AS back, CAST(0 AS BIGINT) AS outages, CAST(0 AS DOUBLE) AS down FROM n
+    UNION ALL
+    SELECT job, i, seq, streak, CASE WHEN falls THEN now ELSE since END, CASE WHEN falls THEN NULL WHEN good AND since IS NOT NULL THEN coalesce(back, now) ELSE back END, outages + falls::BIGINT, down FROM (
+      SELECT *, NOT good AND known AND since IS NULL AND streak >= 3 AS falls FROM (
+        SELECT n.job, n.i, n.seq, n.now, n.good, n.known, outages, CASE WHEN good THEN 0 ELSE CASE WHEN up THEN 0 ELSE streak END + known::BIGINT END AS streak,
+          CASE WHEN NOT up THEN since END AS since, CASE WHEN NOT up THEN back END AS back, CASE WHEN up THEN down + found - since ELSE down END AS down
+        FROM (SELECT *, coalesce(found <= next_now, false) AS up FROM (
+          SELECT g.*, nn.now AS next_now, since + CASE WHEN back - since <= 3600 THEN 3600 WHEN back - since <= 10800 THEN 10800 WHEN back - since <= 25200 THEN 25200 ELSE 25200 + ceil((back - since - 25200) / 14400) * 14400 END AS found
+          FROM g JOIN n nn ON nn.job = g.job AND nn.i = g.i + 1)) x JOIN n ON n.job = x.job AND n.i = x.i + 1)))"""
+_GATE = _GATE.replace("WITH a AS", "WITH RECURSIVE a AS", 1)
+add("x05_outages", lambda s, d: _gate(s, d).selectExpr("job", "seq", "state", "streak", "outages", "round(downtime_s, 3) as downtime_s"),
+    f"{_GATE} SELECT job, seq, CASE WHEN since IS NULL THEN 'online' ELSE 'offline' END AS state, streak, outages, round(down, 3) AS downtime_s FROM g WHERE i > 0")
+add("a13_outage_totals", lambda s, d: _gate(s, d).groupBy("job").agg(F.max("outages").alias("outages"), F.round(F.max("downtime_s"), 3).alias("downtime_s")),
+    f"{_GATE} SELECT job, max(outages) AS outages, round(max(down), 3) AS downtime_s FROM g WHERE i > 0 GROUP BY job")
 add("x13_render_breaker", lambda s, d: folds.streaks(attempts(s, d), "host", "seq", "ok").groupBy("host").agg((F.max("streak") >= 5).alias("disabled")),
     f"{_A}, i AS (SELECT *, sum(ok::INT) OVER (PARTITION BY host ORDER BY seq) AS g FROM a) SELECT host, max(n) >= 5 AS disabled FROM (SELECT host, g, count(*) FILTER (NOT ok) AS n FROM i GROUP BY host, g) GROUP BY host")
 add("x15_trusted", lambda s, d: folds.trusted(attempts(s, d), [1, 2, 3]).select("seq", "trusted"),
@@ -144,17 +161,44 @@ _RATE = f"""{_A}, c AS (SELECT host, seq, epoch_us(ts) / 1e6 AS t, sum(CAST(trun
   p AS (SELECT *, coalesce(sum(-dt / 86400.0) OVER (PARTITION BY host ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM s WHERE dt > 0)"""
 add("w05_decayed_rate", lambda s, d: folds.decayed_rate(attempts(s, d).withColumn("total", F.sum(F.expr("bigint(value)")).over(W.partitionBy("host").orderBy("seq"))), "host", "ts", "total", 86400.0).selectExpr("host", "round(rate, 6) as rate"),
     f"{_RATE} SELECT host, round(sum((1 - pow(2.0, -dt / 86400.0)) * pow(2.0, rest) * dv / dt), 6) AS rate FROM p GROUP BY host")
-add("x04_pacing", lambda s, d: folds.pacing(attempts(s, d)))
-add("x06_token_bucket", lambda s, d: folds.token_bucket(attempts(s, d).withColumn("bytes", F.expr("bigint(value * 1000)")), "host", "seq", "ts", "bytes", 10.0, 1000.0))
+_PACE = f"""{_A.replace("WITH a", "WITH RECURSIVE a")}, n AS (SELECT host, seq, throttled, CASE WHEN value > 90 THEN value / 10 END AS after, row_number() OVER (PARTITION BY host ORDER BY seq) AS i FROM a),
+  p AS (
+    SELECT DISTINCT host, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, 8 AS conns, CAST(0.25 AS DOUBLE) AS delay, 0 AS strikes, 0 AS clean FROM n
+    UNION ALL
+    SELECT host, i, seq, CASE WHEN halves THEN greatest(2, conns // 2) WHEN eases THEN least(8, conns + 1) ELSE conns END,
+      CASE WHEN throttled THEN greatest(least(30.0, delay * 2), CASE WHEN after > 0 THEN least(after, 30.0) ELSE 0 END) WHEN eases THEN greatest(0.25, delay / 2) ELSE delay END,
+      CASE WHEN halves OR eases THEN 0 ELSE strikes END, CASE WHEN throttled OR eases THEN 0 ELSE clean END
+    FROM (SELECT *, throttled AND conns > 2 AND strikes >= 2 AS halves, clean >= 20 AS eases FROM (
+      SELECT n.host, n.i, n.seq, n.throttled, n.after, conns, delay, CASE WHEN n.throttled THEN strikes + 1 ELSE strikes END AS strikes, CASE WHEN n.throttled THEN 0 ELSE clean + 1 END AS clean
+      FROM p JOIN n ON n.host = p.host AND n.i = p.i + 1)))"""
+add("x04_pacing", lambda s, d: folds.pacing(attempts(s, d).withColumn("after", F.expr("if(value > 90, value / 10, null)")), retry_after="after", connections=8, least=2, base_delay=0.25).selectExpr("host", "seq", "conns", "round(delay, 6) as delay"),
+    f"{_PACE} SELECT host, seq, conns, round(delay, 6) AS delay FROM p WHERE i > 0")
+_BUCKET = f"""{_A.replace("WITH a", "WITH RECURSIVE a")}, n AS (SELECT host, seq, epoch_us(ts) / 1e6 AS t, CAST(trunc(value * 1000) AS DOUBLE) AS size, row_number() OVER (PARTITION BY host ORDER BY seq) AS i FROM a),
+  b AS (
+    SELECT DISTINCT host, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS DOUBLE) AS ready, CAST(1000 AS DOUBLE) AS have, CAST(0 AS DOUBLE) AS wait FROM n
+    UNION ALL
+    SELECT host, i, seq, now + greatest(0, (size - filled) / 10), greatest(0, filled - size), greatest(0, (size - filled) / 10) FROM (
+      SELECT n.host, n.i, n.seq, n.size, greatest(n.t, coalesce(ready, n.t)) AS now, least(1000, have + (greatest(n.t, coalesce(ready, n.t)) - coalesce(ready, greatest(n.t, coalesce(ready, n.t)))) * 10) AS filled
+      FROM b JOIN n ON n.host = b.host AND n.i = b.i + 1))"""
+add("x06_token_bucket", lambda s, d: folds.token_bucket(attempts(s, d).withColumn("bytes", F.expr("bigint(value * 1000)")), "host", "seq", "ts", "bytes", 10.0, 1000.0).selectExpr("host", "seq", "round(wait, 2) as wait"),
+    f"{_BUCKET} SELECT host, seq, round(wait, 2) AS wait FROM b WHERE i > 0")
 add("x07_schedule", lambda s, d: folds.schedule(attempts(s, d), "host", "seq", "ts", 600.0).selectExpr("host", "seq", "round(start, 3) as start"),
     f"""{_A}, k AS (SELECT host, seq, epoch_us(ts) / 1e6 AS t, 600 * row_number() OVER (PARTITION BY host ORDER BY seq) AS g FROM a)
     SELECT host, seq, round(max(t - g) OVER (PARTITION BY host ORDER BY seq) + g, 3) AS start FROM k""")
-add("x18_phase", lambda s, d: attempts(s, d).selectExpr("seq", f"{folds.phase('if(ok, chr(111), if(throttled, chr(112), chr(113)))')} as phase") if False else attempts(s, d).withColumn("net", F.expr("if(ok, 'online', 'offline')")).selectExpr("seq", f"{folds.phase('net')} as phase"),
-    f"{_A} SELECT seq, CASE WHEN ok THEN 'running' ELSE 'waiting for the network' END AS phase FROM a")
+add("x18_phase", lambda s, d: _gate(s, d).selectExpr("job", "seq", f"{folds.phase('state')} as phase"),
+    f"{_GATE} SELECT job, seq, CASE WHEN since IS NULL THEN 'running' ELSE 'waiting for the network' END AS phase FROM g WHERE i > 0")
 add("x01_event_windows", lambda s, d: _table(s, d, "events").withColumn("start", F.expr("cast(date_trunc('HOUR', ts) as string)")).groupBy("start", "event_type").agg(F.count(F.lit(1)).alias("n")),
     "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
-add("p19_transport_error", lambda s, d: _table(s, d, "events").withColumn("err", F.expr("case event_id % 4 when 0 then 'dial tcp: no such host' when 1 then 'x509: certificate has expired' when 2 then 'read: connection reset by peer' else 'status 404' end")).selectExpr("event_id", f"{rules.transport_error('err')} as transport"),
-    "SELECT event_id, event_id % 4 IN (0, 2) AS transport FROM events")
+#: Error texts, and whether they speak of the network.
+_ERRORS = {
+    "dial tcp: lookup x: no such host": True, "dial tcp 1.2.3.4:80: connect: connection refused": True, "read tcp 1.2.3.4:80: connection reset by peer": True, "net/http: TLS handshake timeout": True,
+    "context deadline exceeded": True, "http2: client conn not usable": True, "http: server closed idle connection": True, "proxyconnect tcp: EOF": True, "connect: host is unreachable": True,
+    "context canceled": False, "404 not found": False, "x509: certificate signed by unknown authority": False, "remote error: tls: handshake failure": False,
+    "net/http: HTTP/1.x transport connection broken: malformed HTTP response": False, "http: server gave HTTP response to HTTPS client": False, "tls: unsupported curve": False,
+}
+_ERR = "array(" + ", ".join(f"'{e}'" for e in _ERRORS) + ")"
+add("p19_transport_error", lambda s, d: _table(s, d, "events").withColumn("err", F.expr(f"get({_ERR}, int(event_id % {len(_ERRORS) + 1}))")).selectExpr("event_id", f"{rules.transport_error('err')} as transport"),
+    f"SELECT event_id, event_id % {len(_ERRORS) + 1} IN ({', '.join(str(i) for i, known in enumerate(_ERRORS.values()) if known)}) AS transport FROM events")
 
 # --- Robots and sitemaps ----------------------------------------------------------------------------------
 
@@ -187,22 +231,34 @@ add("s06_sitemap", lambda s, d: _table(s, d, "region").select("r_regionkey", F.e
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
+    """Links among part numbers: trees of pages and assets, chains, and links that compete for a key."""
     n = _table(s, d, "part").select(F.col("p_partkey").alias("src"))
-    to = F.explode(F.array(F.struct((F.col("src") * 2).alias("dst"), F.lit(True).alias("page")), F.struct((F.col("src") * 2 + 1).alias("dst"), F.lit(False).alias("page"))))
-    out = n.select("src", to.alias("x")).select("src", "x.dst", "x.page")
+    link = lambda dst, page, seq: f"struct({dst} as dst, {page} as page, {seq} as seq)"
+    to = [link("src * 2", "true", 1), link("src * 2 + 1", "src % 4 <> 0", 2), link("src * 5 % 997 + 1", "src % 6 <> 0", 3), link("if(src % 11 = 0, src + 1, null)", "src % 2 = 0", 0), link("src * 2", "false", 4)]
+    out = n.select("src", F.explode(F.expr(f"array({', '.join(to)})")).alias("x")).select("src", "x.*")
     return out.join(n.select(F.col("src").alias("dst")), "dst", "left_semi")
 
 
-add("f01_closure", lambda s, d: closure.closure(s.createDataFrame([(1,)], "key bigint"), _edges(s, d), F.col("dst") % 7 != 0),
-    """WITH RECURSIVE p AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part), e AS (
-      SELECT p.k AS src, c.k AS dst, c.k % 2 = 0 AS page FROM p JOIN p c ON c.k IN (2 * p.k, 2 * p.k + 1)
-    ), r AS (SELECT CAST(1 AS BIGINT) AS key, 0 AS depth, 'done' AS status UNION
-      SELECT e.dst, CASE WHEN e.page THEN r.depth + 1 ELSE r.depth END, CASE WHEN e.dst % 7 = 0 THEN 'skipped' ELSE 'done' END FROM r JOIN e ON e.src = r.key WHERE r.status = 'done')
-    SELECT key, CAST(depth AS INT) AS depth, status FROM r""")
-add("f02_depth_limit", lambda s, d: closure.closure(s.createDataFrame([(1,)], "key bigint"), _edges(s, d), max_depth=4).where("status = 'done'").groupBy("depth").agg(F.count(F.lit(1)).alias("n")),
-    """WITH RECURSIVE p AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part), r AS (SELECT CAST(1 AS BIGINT) AS key, 0 AS depth UNION
-      SELECT p.k, CASE WHEN p.k % 2 = 0 THEN r.depth + 1 ELSE r.depth END FROM r JOIN p ON p.k IN (2 * r.key, 2 * r.key + 1) WHERE CASE WHEN p.k % 2 = 0 THEN r.depth + 1 ELSE r.depth END <= 4)
-    SELECT CAST(depth AS INT) AS depth, count(*) AS n FROM r GROUP BY depth""")
+#: Pages of every seventh key are denied, the same keys as assets are not.
+_ALLOW = "not page or dst % 7 <> 0"
+#: One queue by depth and turn; the first link to a key claims it.
+_WALK = """WITH RECURSIVE p AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part), e AS (
+    SELECT src, dst, page, page AND dst % 7 = 0 AS no, seq FROM (
+      SELECT k AS src, 2 * k AS dst, true AS page, 1 AS seq FROM p UNION ALL SELECT k, 2 * k + 1, k % 4 <> 0, 2 FROM p UNION ALL SELECT k, k * 5 % 997 + 1, k % 6 <> 0, 3 FROM p
+      UNION ALL SELECT k, k + 1, k % 2 = 0, 0 FROM p WHERE k % 11 = 0 UNION ALL SELECT k, 2 * k, false, 4 FROM p)
+    WHERE dst IN (SELECT k FROM p) QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY seq) = 1
+  ), t(key, depth, status, open, wave, parent, pos) USING KEY (key) AS (
+    SELECT CAST(1 AS BIGINT), 0, 'done', true, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0
+    UNION (
+    WITH r AS (SELECT * FROM recurring.t), q AS (SELECT key, depth, row_number() OVER (ORDER BY wave, parent, pos) AS id FROM r WHERE open AND depth = (SELECT min(depth) FROM r WHERE open)),
+      f AS (SELECT e.dst, CASE WHEN page THEN depth + 1 ELSE depth END AS depth, no OR (page AND depth + 1 > {most}) AS no, id AS parent, seq FROM q JOIN e ON e.src = q.key WHERE e.dst NOT IN (SELECT key FROM r)),
+      c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY dst ORDER BY parent, seq) = 1)
+    SELECT r.key, r.depth, r.status, false, r.wave, r.parent, r.pos FROM r JOIN q USING (key)
+    UNION ALL SELECT dst, depth, CASE WHEN no THEN 'skipped' ELSE 'done' END, NOT no, (SELECT max(wave) + 1 FROM r), parent, seq FROM c)
+  )"""
+add("f01_closure", lambda s, d: closure.closure(s.createDataFrame([(1,)], "key bigint"), _edges(s, d), F.expr(_ALLOW)), _WALK.format(most=1_000_000) + " SELECT key, depth, status FROM t")
+add("f02_depth_limit", lambda s, d: closure.closure(s.createDataFrame([(1,)], "key bigint"), _edges(s, d), F.expr(_ALLOW), max_depth=4).groupBy("depth", "status").agg(F.count(F.lit(1)).alias("n")),
+    _WALK.format(most=4) + " SELECT depth, status, count(*) AS n FROM t GROUP BY ALL")
 
 # --- Paths, rewriting, audit ----------------------------------------------------------------------------------
 

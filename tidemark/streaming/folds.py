@@ -46,10 +46,10 @@ def streaks(rows: DataFrame, key: str, seq: str, good: str) -> DataFrame:
 
 
 def outages(attempts: DataFrame, key: str, seq: str = "seq", ts: str = "ts", ok: str = "ok", after: int = OUTAGE_AFTER) -> DataFrame:
-    """(key, outage, since, until, failures): runs of at least ``after`` transport failures.
+    """(key, outage, since, until, failures): each key's runs of at least ``after`` failures.
 
-    An outage begins with the failure that completes the run and lasts until the next success,
-    or has no end yet.
+    A run begins with the failure that completes it and lasts until the next success, or has no
+    end yet. What a whole job takes for an outage is told by ``gate``.
     """
     order = W.partitionBy(key).orderBy(seq)
     island = attempts.withColumn("_i", F.sum(F.col(ok).cast("bigint")).over(order))
@@ -111,29 +111,90 @@ def fold(rows: DataFrame, key: str, order: str, values: list[str], start: Callab
     return dealt.mapInArrow(run, f"{heads}, {out}")
 
 
-#: Pacing: a penalty doubles the gap within these bounds; so many clean answers ease it. Fixed values.
+#: Pacing in seconds and answers: the first penalty, the longest gap, and how many clean answers
+#: ease it. Fixed values.
 GAP_MIN, GAP_MAX, CLEAN = 0.5, 30.0, 20
 
 
-def pacing(events: DataFrame, host: str = "host", seq: str = "seq", throttled: str = "throttled", connections: int = 4) -> DataFrame:
-    """(host, seq, conns, delay): the gap and connections a host has after each answer."""
+def pacing(
+    events: DataFrame, host: str = "host", seq: str = "seq", throttled: str = "throttled", retry_after: str | None = None,
+    connections: int = 4, least: int = 1, base_delay: float = 0.0, adaptive: bool = True,
+) -> DataFrame:
+    """(host, seq, conns, delay): the gap and connections a host has after each answer.
+
+    A throttled answer doubles the gap, raises it to its ``retry_after`` seconds and, if it is the
+    second strike, halves the connections down to ``least``; strikes at the least number pile up.
+    Every ``CLEAN`` clean answers in a row clear them, halve the gap down to ``base_delay`` and
+    give one connection back. Null counts as clean, a null ``retry_after`` as none.
+    """
 
     def step(s: dict, v: tuple) -> tuple:
         if v[0]:
-            s["delay"] = min(max(s["delay"] * 2, GAP_MIN), GAP_MAX)
-            s["strikes"] += 1
-            if s["strikes"] >= 2:
-                s["conns"], s["strikes"] = max(1, s["conns"] // 2), 0
-            s["clean"] = 0
+            s["clean"], s["strikes"] = 0, s["strikes"] + 1
+            s["delay"] = min(GAP_MAX, s["delay"] * 2 if s["delay"] > 0 else GAP_MIN)
+            if len(v) > 1 and v[1] and v[1] > 0:
+                s["delay"] = max(s["delay"], min(float(v[1]), GAP_MAX))
+            if adaptive and s["conns"] > least and s["strikes"] >= 2:
+                s["conns"], s["strikes"] = max(least, s["conns"] // 2), 0
         else:
             s["clean"] += 1
             if s["clean"] >= CLEAN:
                 s["clean"], s["strikes"] = 0, 0
+                s["delay"] = max(base_delay, s["delay"] / 2) if s["delay"] > base_delay else s["delay"]
                 s["conns"] = min(connections, s["conns"] + 1)
-                s["delay"] = 0.0 if s["delay"] / 2 < GAP_MIN else s["delay"] / 2
         return s["conns"], s["delay"]
 
-    return fold(events, host, seq, [throttled], lambda: {"delay": 0.0, "strikes": 0, "clean": 0, "conns": connections}, step, "conns int, delay double")
+    values = [throttled] if retry_after is None else [throttled, retry_after]
+    return fold(events, host, seq, values, lambda: {"delay": base_delay, "strikes": 0, "clean": 0, "conns": connections}, step, "conns int, delay double")
+
+
+#: Seconds between probes: the first wait, which doubles, and the longest.
+PROBE_MIN, PROBE_MAX = 2.0, 120.0
+
+
+def gate(
+    attempts: DataFrame, job: str, seq: str = "seq", ts: str = "ts", ok: str = "ok", trusted: str = "trusted",
+    after: int = OUTAGE_AFTER, first_wait: float = PROBE_MIN, longest_wait: float = PROBE_MAX,
+) -> DataFrame:
+    """(job, seq, state, streak, outages, downtime_s): the one network gate of a job after each attempt.
+
+    Failures on trusted hosts in a row, whatever their host, take the job offline; a success
+    clears the streak. Offline, probes go out after waits that double; the first one at or after
+    an attempt that went through finds the network back, adds the time to ``downtime_s`` and
+    starts over. A job's attempts are folded in order by one task; jobs are independent. Null
+    ``ok`` or ``trusted`` counts as false.
+    """
+    timed = attempts.withColumn("_ts", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+
+    def start() -> dict:
+        return {"streak": 0, "since": None, "back": None, "outages": 0, "down": 0.0}
+
+    def step(s: dict, v: tuple) -> tuple:
+        now, good, known = v
+        if s["back"] is not None and (at := _probe(s["since"], s["back"], first_wait, longest_wait)) <= now:
+            s.update(streak=0, down=s["down"] + at - s["since"], since=None, back=None)
+        if good:
+            s["streak"] = 0
+            if s["since"] is not None and s["back"] is None:
+                s["back"] = now
+        elif known:
+            s["streak"] += 1
+            if s["streak"] >= after and s["since"] is None:
+                s["since"], s["outages"] = now, s["outages"] + 1
+        return "online" if s["since"] is None else "offline", s["streak"], s["outages"], s["down"]
+
+    return fold(timed, job, seq, ["_ts", ok, trusted], start, step, "state string, streak bigint, outages bigint, downtime_s double")
+
+
+def _probe(since: float, back: float, wait: float, longest: float) -> float:
+    """The time of the first probe at or after ``back``."""
+    at = since + wait
+    while at < back:
+        if wait >= longest:
+            return at + -(-(back - at) // longest) * longest
+        wait = min(wait * 2, longest)
+        at += wait
+    return at
 
 
 def token_bucket(events: DataFrame, key: str, seq: str, ts: str, size: str, rate: float, burst: float = 65536.0) -> DataFrame:
