@@ -198,3 +198,18 @@ def test_one_gate_for_a_job(spark):
     got = {r.seq: (r.state, r.streak, r.outages, r.downtime_s) for r in folds.gate(tried, "job").collect()}
     # Down from 6; probes at 8, 12, 20, ...; the network answers at 9, so the probe at 12 ends it.
     assert got[5][0] == "online" and got[6] == ("offline", 3, 1, 0.0) and got[8] == ("offline", 0, 1, 0.0) and got[9] == ("online", 0, 1, 6.0) and got[10] == ("online", 1, 1, 6.0)
+
+
+def test_a_cluster_has_to_name_its_scratch_folder():
+    from types import SimpleNamespace
+
+    from tidemark.runtime import scratch
+
+    conf = {}
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf.get(k, d), set=conf.__setitem__), sparkContext=SimpleNamespace(master=master))
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            scratch(session(master))
+    assert scratch(session("local[2]")).startswith("file://")
+    conf["spark.checkpoint.dir"] = "hdfs://h/x/"
+    assert scratch(session("yarn")) == "hdfs://h/x"

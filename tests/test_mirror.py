@@ -35,6 +35,8 @@ def test_crawl_rewrite_check(spark):
     pages = m.localize(entries)
     home = bytes(pages.where("url = 'http://site/'").first()["body"]).decode()
     assert "./s.css" in home and "href=http://other/x" in home and "/gone" in home
+    sheet = bytes(pages.where("url = 'http://site/s.css'").first()["body"]).decode()
+    assert sheet == "@import './t.css'; a{b:url(./bg.png)}"
     mirror = pages.select("path", "body").unionByName(entries.where("status = 'done' and path not like '%.html'").selectExpr("path", "cast('' as binary) as body"))
     classes = {r["class"] for r in m.check(mirror).where("doc_path = 'site/index.html'").collect()}
     assert classes <= {"ok", "remote"} and m.entries(entries, "done", "css").count() == 2

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import urls
 from tidemark.operators import paths, scan
 from tidemark.plans.config import Settings
+from tidemark.runtime import small_batches, stash
+
+#: Whole pages that go to Python at once.
+PAGES = 256
 
 
 def attribute_escaped(s: str) -> str:
@@ -23,15 +27,21 @@ def css_escaped(s: str) -> str:
 
 def local_paths(links: DataFrame, entries: DataFrame, s: Settings) -> DataFrame:
     """``links`` with ``target``: the saved path of a link's normalized key, else of its plain key,
-    else of its literal URL. One join over an exploded list of candidates."""
+    else of its literal URL.
+
+    All three follow from the URL, so each distinct URL is looked up once, by whichever of them
+    differ, and what was found is joined back by URL; the few paths found may be broadcast.
+    """
+    # Written once: scanning and resolving are read twice, and filters would repeat their expressions.
+    links = stash(links, "resolved")
     query = F.expr(f"if(u_query = '', '', {urls_query(s)})")
     stem = F.expr("if(instr(u_url, '?') > 0, substring_index(u_url, '?', 1), u_url)")
-    keyed = links.withColumn("_id", F.monotonically_increasing_id()).withColumn("_q", query)
     normal = F.concat(stem, F.when(F.col("_q") != "", F.concat(F.lit("?"), F.col("_q"))).otherwise(F.lit("")))
-    tried = keyed.select("_id", F.posexplode(F.array(normal, F.col("u_key"), F.col("u_url"))).alias("rank", "key")).where("key is not null")
+    wanted = links.where("u_url is not null").withColumn("_q", query).select("u_url", F.array_compact(F.array_distinct(F.array(normal, F.col("u_key"), F.col("u_url")))).alias("_keys"))
+    tried = wanted.groupBy("u_url").agg(F.first("_keys").alias("_keys")).select("u_url", F.posexplode("_keys").alias("_rank", "key"))
     saved = entries.where("status = 'done' and path <> ''").select("key", F.col("path").alias("_p"))
-    best = tried.join(saved, "key").groupBy("_id").agg(F.min_by("_p", "rank").alias("target"))
-    return keyed.join(best, "_id", "left").drop("_id", "_q")
+    best = stash(tried.join(saved, "key").groupBy("u_url").agg(F.min_by("_p", F.struct("_rank", "_p")).alias("target")), "targets")
+    return links.join(best, "u_url", "left")
 
 
 def urls_query(s: Settings) -> str:
@@ -64,6 +74,7 @@ def spliced(docs: DataFrame, changes: DataFrame, doc: str = "doc_id", body: str
 
     A document's changes are bounded by its size, so they may be gathered with it.
     """
+    small_batches(docs.sparkSession, PAGES)
     spans = changes.where("text is not null").groupBy(doc).agg(F.collect_list(F.struct("start", "end", F.encode("text", "UTF-8").alias("text"))).alias("_spans"))
     kept = [c for c in docs.columns if c != body]
     joined = docs.withColumn(body, F.col(body).cast("binary")).join(spans, doc, "left").select(*kept, body, "_spans")
@@ -105,9 +116,12 @@ def next_interval(interval: str, took: str) -> str:
     return f"if({took} > {interval} / 4, {interval} * 2, {interval})"
 
 
-def rewritten(docs: DataFrame, entries: DataFrame, s: Settings) -> DataFrame:
-    """The flagship: documents (doc_id, url, path, body) with every link turned to the saved copy."""
-    links = scan.scanned(docs.select("doc_id", "url", F.col("path").alias("doc_path"), "body"), "body").select("doc_id", "url", "doc_path", "base", F.explode("links").alias("l")).select("doc_id", "url", "doc_path", "base", "l.*")
+def rewritten(docs: DataFrame, entries: DataFrame, s: Settings, css: bool = False) -> DataFrame:
+    """The flagship: documents (doc_id, url, path, body) with every link turned to the saved copy.
+
+    ``css`` says that they are style sheets: their url() and @import values are turned.
+    """
+    links = scan.scanned(docs.select("doc_id", "url", F.col("path").alias("doc_path"), "body"), "body", css).select("doc_id", "url", "doc_path", "base", F.explode("links").alias("l")).select("doc_id", "url", "doc_path", "base", "l.*")
     based = urls.with_url(links, "base", "url", "b_").withColumn("_base", F.coalesce("b_url", "url"))
     links = urls.with_url(based.drop(*[f"b_{p}" for p in urls.PARTS]), "value", "_base").drop("_base", "base")
     return spliced(docs, decided(local_paths(links, entries, s), s), "doc_id")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.runtime import stash
+
 
 def directives(files: DataFrame, origin: str = "origin", body: str = "body") -> DataFrame:
     """(origin, line, field, value, grp): one row for each directive.
@@ -53,15 +55,15 @@ def pattern_sql(path: str) -> str:
 def allowed(urls: DataFrame, own: DataFrame, origin: str = "origin", target: str = "target") -> DataFrame:
     """``urls`` with ``allowed``: the longest matching rule decides, allow among equals; none, yes.
 
-    ``target`` is path and query. Rules are joined by origin and reduced to one value for each
-    URL before the shuffle ends, so the number of rules of an origin only widens the join.
+    ``target`` is path and query. Each distinct target of an origin is judged once; its rules are
+    joined by origin and reduced to one value before what was denied or allowed is joined back.
     """
-    keyed = urls.withColumn("_id", F.monotonically_increasing_id())
     path = F.expr(f"if({target} = '', '/', {target})")
-    pairs = keyed.select("_id", origin, path.alias("_t")).join(own.where("path is not null and path <> ''").select(origin, "path", "allow"), origin)
-    hit = pairs.where(F.expr(f"_t rlike {pattern_sql('path')}"))
-    verdict = hit.groupBy("_id").agg(F.max_by("allow", F.struct(F.octet_length("path"), "allow")).alias("allowed"))
-    return keyed.join(verdict, "_id", "left").withColumn("allowed", F.coalesce("allowed", F.lit(True))).drop("_id")
+    asked = urls.select(origin, target).distinct()
+    pairs = asked.select(origin, target, path.alias("_t")).join(own.where("path is not null and path <> ''").select(origin, F.col("path").alias("_rule"), F.col("allow").alias("_allow")), origin)
+    hit = pairs.where(F.expr(f"_t rlike {pattern_sql('_rule')}"))
+    verdict = stash(hit.groupBy(origin, target).agg(F.max_by("_allow", F.struct(F.octet_length("_rule"), "_allow")).alias("allowed")), "robots")
+    return urls.drop("allowed").join(verdict, [origin, target], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
 
 def matches(path: str, target: str) -> str:
@@ -79,8 +81,6 @@ def sitemap_entries(body: str) -> str:
 
 def sitemap_seeds(responses: DataFrame, starts: DataFrame, levels: int = 3) -> DataFrame:
     """(loc) of all pages that the sitemaps ``starts`` (loc) lead to, through indexes ``levels`` deep."""
-    from tidemark.runtime import stash
-
     pages, now = None, starts.select("loc").distinct()
     for _ in range(levels):
         body = F.expr("decode(substring(body, 1, 8388608), 'UTF-8')") if dict(responses.dtypes).get("body") == "binary" else F.col("body")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.runtime import small_batches
+
 #: Attributes that hold URLs, by tag, and the kind of link they make. Fixed values.
 URL_ATTRIBUTES = {
     "a": {"href": "anchor", "ping": "asset"}, "area": {"href": "anchor"},
@@ -172,6 +174,7 @@ def apply_spans(src: bytes, spans: list[tuple[int, int, bytes]]) -> bytes:
 
 def scanned(docs: DataFrame, body: str = "body", css: bool = False) -> DataFrame:
     """``docs`` with links, base, charset, noindex, nofollow_all and title of each body."""
+    small_batches(docs.sparkSession, 256)
     kept = [c for c in docs.columns if c not in ("links", "base", "charset", "noindex", "nofollow_all", "title")]
     source = docs.select(*kept).withColumn("_bytes", F.col(body).cast("binary"))
     names = ["value", "kind", "tag", "attr", "start", "end", "nofollow", "descriptor"]

@@ -64,9 +64,9 @@ class Mirror:
             target = F.expr("concat(u_path, if(u_query <> '', concat('?', u_query), ''))")
             judged = robots.allowed(judged.withColumns({"origin": site, "target": target}), own)
             judged = judged.withColumn("reason", F.expr("coalesce(reason, if(allowed, null, 'robots'))"))
-        edges = stash(judged.select(F.col("doc_key").alias("src"), F.col("u_key").alias("dst"), (F.col("role") == "page").alias("page"), "reason", "u_url"), "edges")
+        edges = stash(judged.select(F.col("doc_key").alias("src"), F.col("u_key").alias("dst"), (F.col("role") == "page").alias("page"), F.col("start").alias("seq"), "reason", "u_url"), "edges")
         starts = urls.with_url(self.spark.createDataFrame([(u,) for u in s.start_urls], "raw string"), "raw")
-        reached = closure.closure(starts.select(F.col("u_key").alias("key")), edges.select("src", "dst", "page", "reason"), F.col("reason").isNull(), s.max_levels or None)
+        reached = closure.closure(starts.select(F.col("u_key").alias("key")), edges.select("src", "dst", "page", "seq", "reason"), F.col("reason").isNull(), s.max_levels or None)
         why = edges.groupBy(F.col("dst").alias("key")).agg(F.min("reason").alias("reason"), F.min("u_url").alias("link"))
         docs = self.documents().withColumnRenamed("u_key", "key")
         held = paths.with_path(docs, s).select("key", "u_url", "media_type", "status", "path", F.octet_length("body").cast("bigint").alias("size"))
@@ -80,10 +80,14 @@ class Mirror:
         )
 
     def localize(self, entries: DataFrame) -> DataFrame:
-        """(doc_id, url, path, body, changed): saved pages with their links turned to saved files."""
-        pages = entries.where("status = 'done' and media_type like 'text/html%'").select("key", F.col("path").alias("_path"))
-        docs = self.documents().join(pages, F.col("u_key") == F.col("key")).select(F.col("u_key").alias("doc_id"), F.col("u_url").alias("url"), F.col("_path").alias("path"), "body")
-        return rewrite.rewritten(docs, entries, self.settings)
+        """(doc_id, url, path, body, changed): saved pages and style sheets with their links turned
+        to saved files."""
+        saved = entries.where("status = 'done'").select("key", F.col("path").alias("_path"))
+        docs = self.documents().join(saved, F.col("u_key") == F.col("key")).select(F.col("u_key").alias("doc_id"), F.col("u_url").alias("url"), F.col("_path").alias("path"), "media_type", "body")
+        docs = stash(docs.where("media_type like 'text/html%' or media_type like 'text/css%'"), "saved")
+        kinds = [(False, "text/html%"), (True, "text/css%")]
+        done = [rewrite.rewritten(docs.where(f"media_type like '{kind}'").drop("media_type"), entries, self.settings, css) for css, kind in kinds]
+        return done[0].unionByName(done[1])
 
     def check(self, mirror: DataFrame) -> DataFrame:
         """The class of every link in saved pages (path, body)."""

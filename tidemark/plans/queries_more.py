@@ -92,7 +92,7 @@ add("j05_file_exists", lambda s, d: entries(s, d).where("path <> ''").join(_tabl
 add("k08_originals_once", lambda s, d: journal(s, d).where("path <> ''").groupBy("path").agg(F.min_by("size", "seq").alias("size")), _j("SELECT path, arg_min(size, seq) AS size FROM j WHERE path <> '' GROUP BY path"))
 add("a11_render_counters", lambda s, d: journal(s, d).agg(F.count_if(F.expr("localized")).alias("rendered"), F.count_if(F.expr("status = 'failed'")).alias("fallbacks")), _j("SELECT count(*) FILTER (localized) AS rendered, count(*) FILTER (status = 'failed') AS fallbacks FROM j"))
 add("a05_rewrite_totals", lambda s, d: _decisions(s, d).agg(F.countDistinct("page_id").alias("documents"), F.count_if(F.expr("outcome = 'local'")).alias("local"), F.count_if(F.expr("outcome = 'remote'")).alias("remote")),
-    f"""WITH {LINKS_SQL}, s AS (SELECT DISTINCT u_key AS key FROM links WHERE u_url IS NOT NULL AND page_id % 3 = 0), o AS (SELECT page_id, u_url IN (SELECT key FROM s) OR u_key IN (SELECT key FROM s) AS l FROM links WHERE u_url IS NOT NULL)
+    f"""WITH {LINKS_SQL}, s AS (SELECT DISTINCT u_key AS key FROM links WHERE u_url LIKE 'http://%'), o AS (SELECT page_id, u_url IN (SELECT key FROM s) OR u_key IN (SELECT key FROM s) AS l FROM links WHERE u_url IS NOT NULL)
     SELECT count(DISTINCT page_id) AS documents, count(*) FILTER (l) AS local, count(*) FILTER (NOT l) AS remote FROM o""")
 add("r05_base_neutral", lambda s, d: rewrite.decided(_table(s, d, "region").selectExpr("r_regionkey", "'/b/' as value", "'base' as kind", "'base' as tag", "'href' as attr", "'a/b.html' as doc_path", "cast(null as string) as u_url", "cast(null as string) as target"), Settings()).select("r_regionkey", "text"), "SELECT r_regionkey, './' AS text FROM region")
 add("p22_not_audited", lambda s, d: resolved(s, d).where("ref rlike '^(#|data:|javascript:|mailto:)'").select("page_id", "ref"), f"WITH {LINKS_SQL} SELECT page_id, ref FROM links WHERE regexp_matches(ref, '^(#|data:|javascript:|mailto:)')")

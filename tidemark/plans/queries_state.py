@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import formats, urls
 from tidemark.operators import closure, paths, rewrite, robots, rules, scan, state
 from tidemark.plans.config import Settings
-from tidemark.plans.queries import LINKS_SQL, QUERIES, ORACLE, _table, _url_query, add, resolved
+from tidemark.plans.queries import ANCHOR, LINKS_SQL, QUERIES, ORACLE, _table, _url_query, add, resolved
 from tidemark.sources import files
 from tidemark.streaming import folds, live
 
@@ -281,13 +281,17 @@ add("m10_collisions", lambda s, d: paths.disambiguated(_pathed(s, d).withColumn(
     f"""WITH {LINKS_SQL}, k AS (SELECT u_key, min(page_id) AS page_id, min('f' || page_id % 20 || '.html') AS path FROM links WHERE u_url IS NOT NULL GROUP BY u_key),
     r AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY page_id, u_key) - 1 AS i FROM k)
     SELECT CASE WHEN i = 0 THEN path ELSE replace(path, '.html', '~' || i || '.html') END AS path, count(*) AS n FROM r GROUP BY 1""")
-add("m11_relative_link", lambda s, d: resolved(s, d).where("u_url is not null and u_path not like '%/'").selectExpr("page_id", "ref", f"{paths.relative_link(chr(39) + 'a/b/c.html' + chr(39), 'concat(u_host, u_path)')} as link").selectExpr("page_id", "ref", "startswith(link, '../../') as up", "instr(link, ' ') as spaces"),
-    f"WITH {LINKS_SQL} SELECT page_id, ref, true AS up, CAST(0 AS INT) AS spaces FROM links WHERE u_url IS NOT NULL AND u_path NOT LIKE '%/'")
-add("k06_contained", lambda s, d: _pathed(s, d).selectExpr("page_id", "ref", f"{paths.contained('path')} as inside"), f"WITH {LINKS_SQL} SELECT page_id, ref, true AS inside FROM links WHERE u_url IS NOT NULL")
+_HERE = "if(page_id % 2 = 0, 'a/b/c.html', concat(u_host, '/c.html'))"
+add("m11_relative_link", lambda s, d: resolved(s, d).where("u_url is not null and u_path not like '%/'").selectExpr("page_id", "ref", f"{paths.relative_link(_HERE, 'concat(u_host, u_path)')} as link"),
+    f"""WITH {LINKS_SQL} SELECT page_id, ref, array_to_string(list_transform(string_split(CASE WHEN page_id % 2 = 0 THEN '../../' || u_host || u_path WHEN u_path LIKE '/.%' THEN substr(u_path, 2) ELSE '.' || u_path END, ''), lambda c: CASE WHEN unicode(c) > 127 OR c IN (' ', '%', '?', '#', '\') THEN url_encode(c) ELSE c END), '') AS link FROM links WHERE u_url IS NOT NULL AND u_path NOT LIKE '%/'""")
+_ESCAPES = "array(path, concat('../', path), concat('x/../../', path), concat('/', path), concat(path, '/..'), concat('x..y/', path), '..')"
+add("k06_contained", lambda s, d: _pathed(s, d).select("page_id", "ref", F.posexplode(F.expr(_ESCAPES)).alias("k", "p")).selectExpr("page_id", "ref", "k", f"{paths.contained('p')} as inside"),
+    f"WITH {LINKS_SQL} SELECT page_id, ref, CAST(k AS INT) AS k, k IN (0, 5) AS inside FROM links, range(7) r(k) WHERE u_url IS NOT NULL")
 
 
 def _saved(s: SparkSession, d: str) -> DataFrame:
-    return resolved(s, d).where("u_url is not null and page_id % 3 = 0").groupBy(F.col("u_key").alias("key")).agg(F.concat(F.lit("p/"), F.md5(F.first("u_key")), F.lit(".html")).alias("path")).withColumn("status", F.lit("done"))
+    """A job that kept whatever was served without encryption."""
+    return resolved(s, d).where("u_url like 'http://%'").groupBy(F.col("u_key").alias("key")).agg(F.concat(F.lit("p/"), F.md5(F.first("u_key")), F.lit(".html")).alias("path")).withColumn("status", F.lit("done"))
 
 
 def _targets(s: SparkSession, d: str) -> DataFrame:
@@ -295,7 +299,7 @@ def _targets(s: SparkSession, d: str) -> DataFrame:
 
 
 add("j01_local_paths", lambda s, d: _targets(s, d).select("page_id", "ref", "target"),
-    f"""WITH {LINKS_SQL}, s AS (SELECT DISTINCT u_key AS key FROM links WHERE u_url IS NOT NULL AND page_id % 3 = 0)
+    f"""WITH {LINKS_SQL}, s AS (SELECT DISTINCT u_key AS key FROM links WHERE u_url LIKE 'http://%')
     SELECT page_id, ref, CASE WHEN u_url IN (SELECT key FROM s) THEN 'p/' || md5(u_url) || '.html' WHEN u_key IN (SELECT key FROM s) THEN 'p/' || md5(u_key) || '.html' END AS target FROM links WHERE u_url IS NOT NULL""")
 
 
@@ -305,10 +309,10 @@ def _decisions(s: SparkSession, d: str) -> DataFrame:
 
 
 add("r04_decisions", lambda s, d: _decisions(s, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
-    f"""WITH {LINKS_SQL}, s AS (SELECT DISTINCT u_key AS key FROM links WHERE u_url IS NOT NULL AND page_id % 3 = 0)
+    f"""WITH {LINKS_SQL}, s AS (SELECT DISTINCT u_key AS key FROM links WHERE u_url LIKE 'http://%')
     SELECT CASE WHEN u_url IN (SELECT key FROM s) OR u_key IN (SELECT key FROM s) THEN 'local' ELSE 'remote' END AS outcome, count(*) AS n FROM links WHERE u_url IS NOT NULL GROUP BY 1""")
 add("a04_unresolved_hosts", lambda s, d: _decisions(s, d).where("outcome = 'remote'").groupBy("u_host").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "u_host").limit(5),
-    f"""WITH {LINKS_SQL}, s AS (SELECT DISTINCT u_key AS key FROM links WHERE u_url IS NOT NULL AND page_id % 3 = 0)
+    f"""WITH {LINKS_SQL}, s AS (SELECT DISTINCT u_key AS key FROM links WHERE u_url LIKE 'http://%')
     SELECT u_host, count(*) AS n FROM links WHERE u_url IS NOT NULL AND u_url NOT IN (SELECT key FROM s) AND u_key NOT IN (SELECT key FROM s) GROUP BY 1 ORDER BY n DESC, u_host LIMIT 5""")
 
 
@@ -317,7 +321,28 @@ def _rewritten(s: SparkSession, d: str) -> DataFrame:
     return rewrite.rewritten(docs, _saved(s, d), Settings())
 
 
-add("r02_rewrite_html", lambda s, d: _rewritten(s, d).selectExpr("doc_id", "changed", "octet_length(body) as size"))
+# What a link of a page in p/ becomes: the saved file, or where it led.
+_NEW = f"""{LINKS_SQL}, saved AS (SELECT DISTINCT u_key AS key FROM links WHERE u_url LIKE 'http://%'), turned AS (
+    SELECT DISTINCT page_id, ref, CASE WHEN u_url IN (SELECT key FROM saved) THEN './' || md5(u_url) || '.html' WHEN u_key IN (SELECT key FROM saved) THEN './' || md5(u_key) || '.html' ELSE u_url END
+      || CASE WHEN ref LIKE '%#%' THEN regexp_extract(ref, '#.*$') ELSE '' END AS new FROM links WHERE u_url IS NOT NULL
+  )"""
+add("r02_rewrite_html", lambda s, d: _rewritten(s, d).selectExpr("doc_id", "changed", "octet_length(body) as size", "md5(body) as digest"),
+    rf"""WITH {_NEW}, m AS (SELECT page_id, map(list(ref), list(replace(replace(replace(replace(new, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;'))) AS m FROM turned GROUP BY page_id),
+    f AS (SELECT page_id, html, string_split_regex(html, '{ANCHOR}') AS between, regexp_extract_all(html, '(?i)(<a\b[^>]*?\bhref=")[^"]*"', 1) AS heads, regexp_extract_all(html, '{ANCHOR}', 1) AS refs FROM pages),
+    b AS (SELECT page_id, html, array_to_string(list_transform(range(1, len(refs) + 1), lambda i: between[i] || heads[i] || coalesce(element_at(m, refs[i])[1], refs[i]) || '"'), '') || between[len(refs) + 1] AS body FROM f JOIN m USING (page_id))
+    SELECT page_id AS doc_id, body <> html AS changed, CAST(strlen(body) AS INT) AS size, md5(body) AS digest FROM b""")
+_SHEET = "'/* url(no) */ @import \"' || ref || '\"; .a{b:url( ' || chr(39) || ref || chr(39) || ' )} .c{d:url(data:x)}'"
+
+
+def _sheets(s: SparkSession, d: str) -> DataFrame:
+    """A style sheet in p/ for every link, which imports and shows what it leads to."""
+    sheet = resolved(s, d).select("page_id", "ref", "base").distinct().selectExpr("to_json(struct(page_id, ref)) as doc_id", "page_id", "ref", "base as url", "concat('p/', page_id, '.css') as path", f"{_SHEET} as body")
+    return rewrite.rewritten(sheet, _saved(s, d), Settings(), css=True)
+
+
+add("r03_rewrite_css", lambda s, d: _sheets(s, d).selectExpr("page_id", "ref", "changed", "cast(body as string) as body"),
+    f"""WITH {_NEW}, e AS (SELECT DISTINCT l.page_id, l.ref, coalesce(replace(replace(replace(replace(replace(new, ' ', '%20'), '(', '%28'), ')', '%29'), '"', '%22'), chr(39), '%27'), l.ref) AS x FROM links l LEFT JOIN turned t ON t.page_id = l.page_id AND t.ref = l.ref)
+    SELECT page_id, ref, {_SHEET.replace("ref", "x")} <> {_SHEET} AS changed, {_SHEET.replace("ref", "x")} AS body FROM e""")
 add("r06_escape", lambda s, d: _table(s, d, "pages").selectExpr("page_id", f"md5({rewrite.attribute_escaped('html')}) as attr"),
     "SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;')) AS attr FROM pages")
 add("r07_substitute", lambda s, d: _table(s, d, "pages").selectExpr("page_id", f"md5({rewrite.substituted('html', [('<b>', '<strong>', False), ('[0-9]+', 'N', True)])}) as digest"),

@@ -30,9 +30,13 @@ def session(app: str = "tidemark", master: str = "local[*]", **conf: str) -> Spa
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder shared by all executors; a temporary one only where none is configured."""
+    """The folder shared by all executors. Where none is configured, a temporary one serves a local
+    session; a cluster has to name one, as its executors could not read each other's."""
     base = spark.conf.get(SCRATCH_CONF, None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {SCRATCH_CONF} to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set(SCRATCH_CONF, base)
     return base.rstrip("/")
