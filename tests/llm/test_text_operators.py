@@ -173,7 +173,7 @@ def test_pseudonyms_keep_their_formats(spark):
     ips = [f"{rng.randint(0, 255)}.{rng.randint(0, 255)}.3.4" for _ in range(20)]
     values = cards + ssns + dates + phones + ips + ["bob.smith@x.example.com", "a1@y.org"]
     df = docs(spark, [f"<{v}> and again {v}!" for v in values])
-    new = [r.text for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    new = [r.text for r in pii.pseudonymise(df, "k1").orderBy("doc_id").collect()]
     out = []
     for v, t in zip(values, new, strict=True):
         a, b = re.fullmatch(r"<(.*)> and again (.*)!", t).groups()
@@ -199,8 +199,8 @@ NEIGHBOURS = [
 
 def test_neighbours_are_found_as_if_alone(spark):
     values = sorted({v for row in NEIGHBOURS for v in row})
-    alone = dict(zip(values, pii.pseudonymise(docs(spark, values)).orderBy("doc_id").collect(), strict=True))
-    got = pii.pseudonymise(docs(spark, ["see " + " ".join(row) + "." for row in NEIGHBOURS])).orderBy("doc_id").collect()
+    alone = dict(zip(values, pii.pseudonymise(docs(spark, values), "k1").orderBy("doc_id").collect(), strict=True))
+    got = pii.pseudonymise(docs(spark, ["see " + " ".join(row) + "." for row in NEIGHBOURS]), "k1").orderBy("doc_id").collect()
     for row, r in zip(NEIGHBOURS, got, strict=True):
         assert r.text == "see " + " ".join(alone[v].text for v in row) + "."
         assert all(r[f"n_{k}"] == sum(alone[v][f"n_{k}"] for v in row) for k in pii.KINDS), row
@@ -210,7 +210,7 @@ def test_neighbours_are_found_as_if_alone(spark):
 
 def test_any_area_in_explicit_form(spark):
     phones = [f"+1 ({a:03d}) 555-77{a % 100:02d}" for a in (0, 17, 99, 100, 199, 200, 743, 999)]
-    got = pii.pseudonymise(docs(spark, [*phones, "(743) 555-7743", "(017) 555-7717"])).orderBy("doc_id").collect()
+    got = pii.pseudonymise(docs(spark, [*phones, "(743) 555-7743", "(017) 555-7717"]), "k1").orderBy("doc_id").collect()
     new = [r.text for r in got]
     assert all(re.fullmatch(r"\+1 \([0-9]{3}\) [2-9][0-9]{2}-[0-9]{4}", x) and x != v and r.n_phone == 1 for x, v, r in zip(new, phones, got, strict=False)) and len(set(new)) == len(new)
     assert [x[4] < "2" for x in new[:8]] == [v[4] < "2" for v in phones] and new[6] == "+1 " + new[8] and new[9] == "(017) 555-7717"
@@ -219,7 +219,7 @@ def test_any_area_in_explicit_form(spark):
 def test_long_runs_of_numbers(spark):
     cards = ["4111111111111111", "5500000000000004"] * 300
     text = " ".join(f"7 {c} 1" for c in cards)
-    r = pii.pseudonymise(docs(spark, [text, "1 " * 20000])).orderBy("doc_id").collect()
+    r = pii.pseudonymise(docs(spark, [text, "1 " * 20000]), "k1").orderBy("doc_id").collect()
     assert r[0].n_card == 600 and not set(r[0].text.split()) & set(cards) and r[1].n_card == 0 and r[1].text == "1 " * 20000
 
 
@@ -245,9 +245,9 @@ def test_a_small_domain_is_permuted(spark):
 
 def test_what_is_not_valid_stays(spark):
     texts = ["4111111111111112", "000-12-3456", "666-12-3456", "2023-02-30", "1850-01-01", "999.1.1.1", "25/12/1980", None, "", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "2125550100"]
-    got = pii.pseudonymise(docs(spark, texts)).orderBy("doc_id").collect()
+    got = pii.pseudonymise(docs(spark, texts), "k1").orderBy("doc_id").collect()
     assert [r.text for r in got] == texts and all(r[f"n_{k}"] == 0 for r in got for k in pii.KINDS)
-    assert pii.pseudonymise(docs(spark, texts).limit(0)).count() == 0
+    assert pii.pseudonymise(docs(spark, texts).limit(0), "k1").count() == 0
 
 
 def test_digests(spark):

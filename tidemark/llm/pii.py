@@ -15,6 +15,10 @@ single spaces or hyphens, first 2 to 6, Luhn). Only valid values consume text: t
 rules, and a run of digit groups, which ends where another kind begins, is searched for every
 span of whole groups that passes Luhn. Where such spans overlap, fewer groups win, then the first.
 
+A round's function is a digest of the value under two keys derived from the given one, nested as
+HMAC nests them. Whoever holds the key can invert the pseudonyms, so ``pseudonymise`` has none of
+its own; the query takes it from the setting ``KEY_CONF``, or a published one for trials.
+
 Edge cases: null text stays null and counts nothing; empty text stays empty; rows are rewritten
 one by one, so repeated rows repeat; an empty table gives an empty result; other columns are
 carried, unless named like a count, which replaces them.
@@ -22,11 +26,14 @@ carried, unless named like a count, which replaces them.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-KEY = "tidemark"
+#: The setting that names the query's key, and the published key it takes without one.
+KEY_CONF, TRIAL_KEY = "spark.tidemark.pseudonym.key", "tidemark"
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -54,13 +61,15 @@ DAYS = (17, 4297)
 DATE_FORMS = {"yyyy-MM-dd": r"^\d{4}-", "yyyy/MM/dd": r"^\d{4}/", "dd.MM.yyyy": r"^\d{2}\.", "MM/dd/yyyy": r"^\d{2}/"}
 
 
-def _quoted(key: str) -> str:
-    return "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _digest(key: str, *parts: str) -> str:
+    """SQL: the keyed digest, in hex, of parts joined by |."""
+    inner, outer = (sha256(f"{use}|{key}".encode()).hexdigest() for use in ("inner", "outer"))
+    return f"sha2(concat('{outer}', sha2(concat_ws('|', '{inner}', {', '.join(parts)}), 256)), 256)"
 
 
 def _pair(a: str, b: str, ma: str, mb: str, kind: str, key: str) -> str:
     """SQL for the permuted pair, struct(a, b), of two bigints below their moduli."""
-    f = f"cast(conv(substr(sha2(concat_ws('|', {_quoted(key)}, '{kind}', r, s.b), 256), 1, 15), 16, 10) as bigint)"
+    f = f"cast(conv(substr({_digest(key, f"'{kind}'", 'r', 's.b')}, 1, 15), 16, 10) as bigint)"
     return (
         f"aggregate(sequence(1, {ROUNDS}), struct(cast({a} as bigint) as a, cast({b} as bigint) as b, cast({ma} as bigint) as ma, cast({mb} as bigint) as mb), "
         f"(s, r) -> struct(s.b as a, cast(pmod(s.a + {f}, s.ma) as bigint) as b, s.mb as ma, s.ma as mb))"
@@ -151,9 +160,8 @@ def _date(m: str, key: str) -> str:
 
 def _email(m: str, key: str) -> str:
     """Letters stay letters of their case, digits digits; halves of the name take turns."""
-    shift = (
-        f"transform(split(s.a, ''), (c, i) -> {_let('conv(substr(sha2(concat_ws(%s, %s, %s, r, int(i / 16), s.b), 256), 4 * (i %% 16) + 1, 4), 16, 10)' % (chr(39) + '|' + chr(39), _quoted(key), chr(39) + 'email' + chr(39)), 'n', _moved('c', 'n'))})"
-    )
+    draw = f"conv(substr({_digest(key, "'email'", 'r', 'int(i / 16)', 's.b')}, 4 * (i % 16) + 1, 4), 16, 10)"
+    shift = f"transform(split(s.a, ''), (c, i) -> {_let(draw, 'n', _moved('c', 'n'))})"
     name = f"substring_index({m}, '@', 1)"
     half = f"int(length({name}) / 2)"
     mixed = (
@@ -175,7 +183,7 @@ def _kind(m: str) -> str:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten and, for each kind, ``n_<kind>``, the values replaced."""
     rules = {"email": _email, "ip": _ip, "ssn": _ssn, "phone": _phone, "date": _date}
     new = "case x.kind " + " ".join(f"when '{k}' then array(struct(x.m as old, {rule('x.m', key)} as new))" for k, rule in rules.items()) + f" else {_cards('x.m', key)} end"
@@ -193,4 +201,5 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    key = spark.conf.get(KEY_CONF, None) or TRIAL_KEY
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key)
