@@ -147,6 +147,39 @@ def test_tokens_are_the_library_s(spark, tokenizer, texts):
         assert r.ids == want and r.decoded == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_the_query_s_hashes(spark, tokenizer, tmp_path):
+    texts = [*ODD, *TEXTS, "it's A text " * 4000]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        decoded = tokenizer.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert sorted(tuple(r) for r in bpe.op6(spark, str(tmp_path)).collect()) == want
+
+
+def test_another_tokenizer_file(tmp_path, tokenizer):
+    """Special tokens and the pattern are those of the file; one of another build is refused."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(bpe.default_path()) as f:
+        made = json.load(f)
+    made["added_tokens"] = [{**made["added_tokens"][0], "content": "[[cut]]"}]
+    made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+|[\p{N}]+|[^\s\p{L}\p{N}]"
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(made, f)
+    other, split = Tokenizer.from_file(path), bpe.Splitter(path)
+    for text in ("a 12 b!? [[cut]]c é9", "x'll [[cut]] <|endoftext|>"):
+        ids = [i for w in split(text) for i in ([split.specials[w]] if w in split.specials else other.encode(w, add_special_tokens=False).ids)]
+        assert ids == other.encode(text, add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        bpe.Splitter(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_words_beyond_the_table_are_encoded_alike(spark, monkeypatch):
     df = docs(spark, ODD + [" ".join(f"w{i}x" for i in range(300)) + " the the"])
     whole = [r.ids for r in bpe.encode_decode(df, bpe.default_path()).orderBy("doc_id").collect()]

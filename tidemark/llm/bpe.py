@@ -1,9 +1,11 @@
 """BPE encoding and decoding through a distinct-word table.
 
 The tokenizer cuts normalised text into words and merges within a word only, so a word has the
-same ids wherever it stands. Words are counted in Spark (``word_table``) and each distinct word is
-encoded once; texts are then joined with the table word by word, in the order of their positions.
-Decoding joins ids with the id-to-piece table, which the vocabulary bounds.
+same ids wherever it stands. Words are counted in Spark (``word_table``) and each frequent one is
+encoded once; texts then look their words up in that table, one by one in the order of their
+positions, and decoding looks ids up in the id-to-piece table, which the vocabulary bounds. Both
+are joins with a broadcast table inside the task that holds the text: no table of positions is
+shuffled, as its rows would take several times the space of the texts.
 
 The table of a corpus has no bound: rare words keep coming. The part that is sent to all tasks is
 held to ``TABLE_WORDS`` words, the most frequent ones, found by a histogram of counts; they are
@@ -11,11 +13,14 @@ the bulk of any text. A word beyond it is encoded by the task that meets it, onc
 stays in that task's bounded memo. Results are the same for either way.
 
 Edge cases: null text is the empty text, without ids; texts of any length are handled whole, one
-at a time; special tokens in a text become their own ids, as in the library; repeated rows repeat.
+at a time; special tokens in a text become their own ids, as in the library; words that tie for a
+place in the table are taken or left together; repeated rows repeat; an empty table gives an empty
+result; columns named like an output (``ids``, ``decoded``) are replaced, any others are carried.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections import Counter
@@ -34,10 +39,35 @@ TABLE_WORDS = 150_000
 MEMO_WORDS = 100_000
 COUNT_WORDS = 150_000
 
-#: Fixed values of the tokenizer: its special tokens, and its split pattern for ASCII text.
-SPECIAL = {"<|startoftext|>": 49406, "<|endoftext|>": 49407}
-ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[%s]+|[%s]|[^%s%s%s]+"
+#: ASCII members of the classes that a split pattern may name.
+ASCII = {r"\p{L}": "a-zA-Z", r"\p{N}": "0-9", r"\s": r"\t-\r "}
+
+
+def _settings(path: str) -> tuple[dict[str, int], str]:
+    """The special tokens and the split pattern of a tokenizer file.
+
+    Files of another build than this module handles are refused: special tokens taken as they
+    stand, NFC, runs of white space to a space, lower case, one split pattern, bytes, no decoder.
+    """
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    steps = [(x["type"], x.get("pattern", {}).get("Regex"), x.get("content")) for x in (made["normalizer"] or {}).get("normalizers", [])]
+    split, *rest = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    plain = all(not t[k] for t in made["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    whole = [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
+    pattern = split.get("pattern", {}).get("Regex", "") if (split.get("type"), split.get("behavior"), split.get("invert")) == ("Split", "Removed", True) else ""
+    known = steps == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)] and made["decoder"] is None and made["model"]["type"] == "BPE"
+    if not (plain and whole and known and pattern) or re.search(r"\\[pPwWdDbBSuUx]", re.sub(r"\\p\{[LN]\}", "", pattern)):
+        raise ValueError(f"{path}: a tokenizer of another build than normalised words split by one pattern")
+    return {t["content"]: t["id"] for t in made["added_tokens"]}, pattern
+
+
+def _filled(pattern: str, classes: dict[str, str]) -> re.Pattern:
+    for name, members in classes.items():
+        pattern = pattern.replace(name, members)
+    return re.compile(pattern)
 
 
 class Splitter:
@@ -51,9 +81,9 @@ class Splitter:
     def __init__(self, path: str):
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-        full = Tokenizer.from_file(path)
-        self.normalise = full.normalizer.normalize_str
-        self.library = pre_tokenizers.Split(Regex(_pattern(path)), "removed", invert=True).pre_tokenize_str
+        self.specials, pattern = _settings(path)
+        self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
+        self.library = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         plane = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
         whole = "".join(plane)
 
@@ -61,13 +91,14 @@ class Splitter:
             found = (span for _, span in pre_tokenizers.Split(Regex(kind), "removed", invert=True).pre_tokenize_str(whole))
             return "".join(f"{re.escape(whole[i])}-{re.escape(whole[j - 1])}" for i, j in _consecutive(found, whole))
 
-        letters, digits, spaces = ranges(r"[\p{L}]+"), ranges(r"[\p{N}]+"), ranges(r"[\s]+")
-        self.wide = re.compile(SPLIT % ("a-z" + letters, "0-9" + digits, r"\t-\r " + spaces, "a-z" + letters, "0-9" + digits))
+        classes = {name: known + ranges(f"[{name}]+") for name, known in ASCII.items()}
+        self.wide, self.ascii = _filled(pattern, classes), _filled(pattern, ASCII)
+        spaces = classes[r"\s"]
         space = re.compile(f"[{spaces}]")
         odd = [c for c in plane if self.normalise(c) != (" " if space.match(c) else self.lower(c))]
         self.odd = re.compile("[\U00010000-\U0010ffff" + "".join(map(re.escape, odd)) + "]")
-        self.ascii = re.compile(ASCII_SPLIT)
-        self.special = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")")
+        self.mark = os.path.commonprefix(list(self.specials))
 
     @staticmethod
     def lower(text: str) -> str:
@@ -75,8 +106,8 @@ class Splitter:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def __call__(self, text: str) -> list[str]:
-        if "<|" in text:
-            return list(chain.from_iterable([s] if s in SPECIAL else self.words(s) for s in self.special.split(text)))
+        if self.specials and self.mark in text:
+            return list(chain.from_iterable([s] if s in self.specials else self.words(s) for s in self.special.split(text)))
         return self.words(text)
 
     def words(self, text: str) -> list[str]:
@@ -98,17 +129,9 @@ def _consecutive(spans, whole: str):
         yield start, j
 
 
-def _pattern(path: str) -> str:
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-
-
 def _tokenizer(path: str):
     """The tokenizer without its normalizer: words come normalised, and a cut-out mark must stay."""
     import json
-    import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -122,11 +145,11 @@ def _width(tokenizer) -> str:
     return "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def _word_ids(tokenizer, words: list[str]) -> list[bytes]:
+def _word_ids(tokenizer, specials: dict[str, int], words: list[str]) -> list[bytes]:
     """The packed ids of each word."""
     width = _width(tokenizer)
     coded = tokenizer.encode_batch(words, add_special_tokens=False)
-    return [np.array([SPECIAL[w]] if w in SPECIAL else e.ids, width).tobytes() for w, e in zip(words, coded, strict=True)]
+    return [np.array([specials[w]] if w in specials else e.ids, width).tobytes() for w, e in zip(words, coded, strict=True)]
 
 
 class Memo(dict):
@@ -134,6 +157,7 @@ class Memo(dict):
 
     def __init__(self, table: dict, path: str):
         super().__init__(table)
+        self.specials = _settings(path)[0]
         self.tokenizer, self.most = _tokenizer(path), len(table) + MEMO_WORDS
         self.table, self.width = table, _width(self.tokenizer)
 
@@ -141,7 +165,7 @@ class Memo(dict):
         if len(self) >= self.most:
             self.clear()
             self.update(self.table)
-        ids = self[word] = _word_ids(self.tokenizer, [word])[0]
+        ids = self[word] = _word_ids(self.tokenizer, self.specials, [word])[0]
         return ids
 
 
@@ -167,9 +191,9 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
     """(word, n) -> adds ``ids``, packed: each distinct word is encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer, specials = _tokenizer(path), _settings(path)[0]
         for batch in batches:
-            ids = _word_ids(tokenizer, batch.column(0).to_pylist())
+            ids = _word_ids(tokenizer, specials, batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
     return words.select("word", "n").mapInArrow(encode, "word string, n bigint, ids binary")
@@ -231,7 +255,8 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", decode: bool =
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``: its ids joined with the id-to-piece table, in order."""
+    """``encoded`` with ``decoded``: the pieces of its ids, looked up in the id-to-piece table that
+    every task holds (the vocabulary bounds it), in order."""
     kept = [c for c in encoded.columns if c != "decoded"]
     at = kept.index(ids)
     schema = T.StructType([encoded.schema[c] for c in kept] + [T.StructField("decoded", T.StringType())])
