@@ -173,7 +173,7 @@ _PACE = f"""{_A.replace("WITH a", "WITH RECURSIVE a")}, n AS (SELECT host, seq,
       FROM p JOIN n ON n.host = p.host AND n.i = p.i + 1)))"""
 add("x04_pacing", lambda s, d: folds.pacing(attempts(s, d).withColumn("after", F.expr("if(value > 90, value / 10, null)")), retry_after="after", connections=8, least=2, base_delay=0.25).selectExpr("host", "seq", "conns", "round(delay, 6) as delay"),
     f"{_PACE} SELECT host, seq, conns, round(delay, 6) AS delay FROM p WHERE i > 0")
-_BUCKET = f"""{_A.replace("WITH a", "WITH RECURSIVE a")}, n AS (SELECT host, seq, epoch_us(ts) / 1e6 AS t, CAST(trunc(value * 1000) AS DOUBLE) AS size, row_number() OVER (PARTITION BY host ORDER BY seq) AS i FROM a),
+_REFILL = f"""{_A.replace("WITH a", "WITH RECURSIVE a")}, n AS (SELECT host, seq, epoch_us(ts) / 1e6 AS t, CAST(trunc(value * 1000) AS DOUBLE) AS size, row_number() OVER (PARTITION BY host ORDER BY seq) AS i FROM a),
   b AS (
     SELECT DISTINCT host, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS DOUBLE) AS ready, CAST(1000 AS DOUBLE) AS have, CAST(0 AS DOUBLE) AS wait FROM n
     UNION ALL
@@ -181,7 +181,7 @@ _BUCKET = f"""{_A.replace("WITH a", "WITH RECURSIVE a")}, n AS (SELECT host, seq
       SELECT n.host, n.i, n.seq, n.size, greatest(n.t, coalesce(ready, n.t)) AS now, least(1000, have + (greatest(n.t, coalesce(ready, n.t)) - coalesce(ready, greatest(n.t, coalesce(ready, n.t)))) * 10) AS filled
       FROM b JOIN n ON n.host = b.host AND n.i = b.i + 1))"""
 add("x06_token_bucket", lambda s, d: folds.token_bucket(attempts(s, d).withColumn("bytes", F.expr("bigint(value * 1000)")), "host", "seq", "ts", "bytes", 10.0, 1000.0).selectExpr("host", "seq", "round(wait, 2) as wait"),
-    f"{_BUCKET} SELECT host, seq, round(wait, 2) AS wait FROM b WHERE i > 0")
+    f"{_REFILL} SELECT host, seq, round(wait, 2) AS wait FROM b WHERE i > 0")
 add("x07_schedule", lambda s, d: folds.schedule(attempts(s, d), "host", "seq", "ts", 600.0).selectExpr("host", "seq", "round(start, 3) as start"),
     f"""{_A}, k AS (SELECT host, seq, epoch_us(ts) / 1e6 AS t, 600 * row_number() OVER (PARTITION BY host ORDER BY seq) AS g FROM a)
     SELECT host, seq, round(max(t - g) OVER (PARTITION BY host ORDER BY seq) + g, 3) AS start FROM k""")
@@ -196,8 +196,8 @@ _ERRORS = {
     "context canceled": False, "404 not found": False, "x509: certificate signed by unknown authority": False, "remote error: tls: handshake failure": False,
     "net/http: HTTP/1.x transport connection broken: malformed HTTP response": False, "http: server gave HTTP response to HTTPS client": False, "tls: unsupported curve": False,
 }
-_ERR = "array(" + ", ".join(f"'{e}'" for e in _ERRORS) + ")"
-add("p19_transport_error", lambda s, d: _table(s, d, "events").withColumn("err", F.expr(f"get({_ERR}, int(event_id % {len(_ERRORS) + 1}))")).selectExpr("event_id", f"{rules.transport_error('err')} as transport"),
+_ERROR_TEXTS = "array(" + ", ".join(f"'{e}'" for e in _ERRORS) + ")"
+add("p19_transport_error", lambda s, d: _table(s, d, "events").withColumn("err", F.expr(f"get({_ERROR_TEXTS}, int(event_id % {len(_ERRORS) + 1}))")).selectExpr("event_id", f"{rules.transport_error('err')} as transport"),
     f"SELECT event_id, event_id % {len(_ERRORS) + 1} IN ({', '.join(str(i) for i, known in enumerate(_ERRORS.values()) if known)}) AS transport FROM events")
 
 # --- Robots and sitemaps ----------------------------------------------------------------------------------
