@@ -168,13 +168,30 @@ def test_reply_order_walks_the_tree(spark):
     assert got == [(None, 3), (1, None), *((c, t) for c in sorted(want) for t in want[c])]
 
 
-def test_the_sql_says_the_same(spark):
+def random_talk(seed):
+    rng, talk = random.Random(seed), []
+    for c in range(25):
+        for t in range(rng.randint(1, 7)):
+            asked = [f"{rng.choice(('> ', '> ', '>> '))}{rng.choice('abcdefgh')}" for _ in range(rng.randint(0, 5))]
+            talk.append((c, t, "\n".join(asked + [rng.choice("abcdefgh").upper() for _ in range(rng.randint(0, 4))])))
+    return talk
+
+
+@pytest.mark.parametrize("talk", [TALK, random_talk(1), random_talk(2)], ids=["fixed", "random1", "random2"])
+def test_the_sql_says_the_same(spark, talk):
     con = duckdb.connect()
     con.sql("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
-    con.executemany("insert into conversations values (?, ?, 'user', ?)", TALK)
-    want = con.sql(quotes.OP9_SQL)
-    got = quotes.link(spark.createDataFrame([(c, t, "user", x) for c, t, x in TALK], "conv_id long, turn long, role string, text string")).select(*want.columns)
-    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(map(repr, want.fetchall()))
+    con.executemany("insert into conversations values (?, ?, 'user', ?)", talk)
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in talk], "conv_id long, turn long, role string, text string")
+    for made, sql in ((df, quotes.OP9_SQL), (quotes.requoted(df), quotes.REQUOTED_SQL)):
+        want = con.sql(sql)
+        got = quotes.link(made).select(*want.columns)
+        assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(map(repr, want.fetchall()))
+
+
+def test_requoted_conversations_link(spark):
+    got = quotes.requoted_replies(spark, "/root/testdata/sf0.001").where("quoted").collect()
+    assert any(r.reply_conv != r.conv_id for r in got) and any(r.reply_turn == r.turn - 2 for r in got) and any(r.max_level == 2 for r in got)
 
 
 def test_a_passage_everyone_says_links_once(spark):

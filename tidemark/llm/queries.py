@@ -14,6 +14,7 @@ QUERIES = {
     "op7_feistel_pseudonyms": pii.op7,
     "op8_merkle_fixity": warc.op8,
     "op9_quotation_links": quotes.op9,
+    "quotation_links_requoted": quotes.requoted_replies,
     "op10_rule_ledger": quality.op10,
 }
 
@@ -24,5 +25,6 @@ ORACLE = {
     "op5_subspace_pigeonhole": subspace.OP5_SQL,
     "op8_merkle_fixity": warc.OP8_SQL,
     "op9_quotation_links": quotes.OP9_SQL,
+    "quotation_links_requoted": quotes.REQUOTED_SQL,
     "op10_rule_ledger": quality.OP10_SQL,
 }

@@ -195,10 +195,38 @@ def _to_the_end(threads: DataFrame) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return reply_order(link(messages)).select("conv_id", "turn", "role", "body", "n_quotes", "max_level", "reply_conv", "reply_turn", "quoted", "thread")
+    return _ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def _ordered(messages: DataFrame) -> DataFrame:
+    linked = link(messages.select("conv_id", "turn", "role", "text"))
+    return reply_order(linked).select("conv_id", "turn", "role", "body", "n_quotes", "max_level", "reply_conv", "reply_turn", "quoted", "thread")
+
+
+def requoted(messages: DataFrame) -> DataFrame:
+    """``messages`` with quotes of others put in front of four in five texts, by a fixed rule.
+
+    The quotes are of the whole message two turns before, of it and a line that nobody said, of
+    the first message of the conversation numbered one lower, or of the message two before one
+    level down under an outer line that nobody said. Where that message is not there, the text
+    stays. Of repeated (conversation, turn) rows the least text is quoted.
+    """
+    made = messages.select("conv_id", "turn", "role", "text").withColumn("kind", F.expr("(conv_id * 7 + turn) % 5"))
+    made = made.withColumns({"src_conv": F.expr("if(kind = 3, conv_id - 1, conv_id)"), "src_turn": F.expr("if(kind = 3, 0, turn - 2)")})
+    said = messages.groupBy(F.col("conv_id").alias("src_conv"), F.col("turn").cast("bigint").alias("src_turn")).agg(F.min("text").alias("src"))
+    quoted = made.where("kind > 0").select("src_conv", "src_turn").distinct().join(said, ["src_conv", "src_turn"])
+    deep = "concat('> > ', replace(src, '\n', '\n> > '), '\n> outer ', conv_id, '.', turn)"
+    flat = "concat('> ', replace(src, '\n', '\n> '), if(kind = 2, concat('\n> added ', conv_id, '.', turn), ''))"
+    text = f"if(src is null or kind = 0, text, concat(if(kind = 4, {deep}, {flat}), '\n', coalesce(text, '')))"
+    return made.join(quoted, ["src_conv", "src_turn"], "left").selectExpr("conv_id", "turn", "role", f"{text} as text")
+
+
+def requoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op9`` over ``requoted`` conversations, as the given ones may hold no quotes."""
+    return _ordered(requoted(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+#: Every pair of a passage and a message that may be its source is made and ranked.
 OP9_SQL = r"""
 WITH m AS (
   SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS t FROM conversations
@@ -214,20 +242,24 @@ WITH m AS (
 ), own AS (
   SELECT r, coalesce(trim(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), chr(10)), '') AS body, count(*) FILTER (opens) AS n_quotes, max(level) AS max_level FROM q GROUP BY r
 ), asked AS (
-  SELECT r, conv_id, turn, p, level, said FROM q WHERE level > 0 AND said <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL
+  SELECT r, conv_id, turn, p, level, list(said ORDER BY i) AS ls FROM q WHERE level > 0 AND said <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
 ), told AS (
-  SELECT DISTINCT conv_id, turn, said FROM q WHERE level = 0 AND said <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL
-), anywhere AS (SELECT said, min([conv_id, turn]) AS src FROM told GROUP BY said),
-found AS (
-  SELECT a.r, a.p, a.level, 0 AS far, CAST(NULL AS BIGINT) AS c, max(o.turn) AS t FROM asked a JOIN told o ON o.said = a.said AND o.conv_id = a.conv_id AND o.turn < a.turn GROUP BY ALL
+  SELECT r, conv_id AS c, turn AS t, said, row_number() OVER (PARTITION BY r ORDER BY i) AS k FROM q WHERE level = 0 AND said <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), lines AS (SELECT r, list(said ORDER BY k) AS said_all FROM told GROUP BY r
+), passages AS (SELECT DISTINCT ls, ls[1] AS said FROM asked
+), offers AS (
+  SELECT DISTINCT 1 AS step, ls, c, t, 1 AS n FROM passages JOIN told USING (said) JOIN lines USING (r) WHERE said_all[k:k + len(ls) - 1] = ls
   UNION ALL
-  SELECT r, p, level, 1, src[1], src[2] FROM (SELECT a.r, a.p, a.level, min(o.src) AS src FROM asked a JOIN anywhere o USING (said) WHERE o.src[1] <> a.conv_id GROUP BY ALL)
-), best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, level, p, c, t) = 1),
+  SELECT 2, ls, c, t, count(DISTINCT said) FROM (SELECT DISTINCT ls, unnest(ls) AS said FROM passages WHERE len(ls) > 1) JOIN told USING (said) GROUP BY ls, c, t HAVING 2 * count(DISTINCT said) > len(list_distinct(ls))
+), found AS (
+  SELECT a.r, a.p, a.level, o.c <> a.conv_id AS far, o.c, o.t FROM asked a JOIN offers o USING (ls) WHERE o.c <> a.conv_id OR o.t < a.turn
+  QUALIFY row_number() OVER (PARTITION BY a.r, a.p ORDER BY step, n DESC, o.c <> a.conv_id, CASE WHEN o.c <> a.conv_id THEN o.c END, CASE WHEN o.c <> a.conv_id THEN o.t ELSE -o.t END) = 1
+), best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY r ORDER BY level, far, p) = 1),
 l AS (
   SELECT m.*, best.r IS NOT NULL AS quoted, c, best.t AS src,
          CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN lag(turn) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m.r) END AS before FROM m LEFT JOIN best USING (r)
 ), k AS (
-  SELECT *, CASE WHEN quoted THEN coalesce(c, conv_id) WHEN before IS NOT NULL THEN conv_id END AS reply_conv, CASE WHEN quoted THEN src ELSE before END AS reply_turn FROM l
+  SELECT *, CASE WHEN quoted THEN c WHEN before IS NOT NULL THEN conv_id END AS reply_conv, CASE WHEN quoted THEN src ELSE before END AS reply_turn FROM l
 ), u AS (
   SELECT conv_id, turn, bool_or(quoted AND reply_conv = conv_id) AS branch, min(reply_turn) FILTER (reply_conv = conv_id) AS prev FROM k WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
 ), h AS (
@@ -236,3 +268,13 @@ l AS (
 SELECT k.conv_id, k.turn, role, body, n_quotes, CAST(max_level AS BIGINT) AS max_level, reply_conv, reply_turn, quoted, thread
 FROM k JOIN own USING (r) LEFT JOIN h ON h.conv_id = k.conv_id AND h.turn = k.turn
 """
+
+_REQUOTED = r"""(
+  SELECT conv_id, turn, role, CASE WHEN src IS NULL OR kind = 0 THEN text ELSE
+    CASE WHEN kind = 4 THEN '> > ' || replace(src, chr(10), chr(10) || '> > ') || chr(10) || '> outer ' || conv_id || '.' || turn
+         ELSE '> ' || replace(src, chr(10), chr(10) || '> ') || CASE WHEN kind = 2 THEN chr(10) || '> added ' || conv_id || '.' || turn ELSE '' END END || chr(10) || coalesce(text, '') END AS text
+  FROM (SELECT *, (conv_id * 7 + turn) % 5 AS kind FROM conversations) k
+  LEFT JOIN (SELECT conv_id AS src_conv, turn AS src_turn, min(text) AS src FROM conversations GROUP BY ALL) o
+    ON src_conv = CASE WHEN kind = 3 THEN conv_id - 1 ELSE conv_id END AND src_turn = CASE WHEN kind = 3 THEN 0 ELSE turn - 2 END
+)"""
+REQUOTED_SQL = OP9_SQL.replace("FROM conversations", f"FROM {_REQUOTED}", 1)
