@@ -189,6 +189,21 @@ def test_the_sql_says_the_same(spark, talk):
         assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(map(repr, want.fetchall()))
 
 
+def test_long_conversations_and_small_slots_agree(spark, monkeypatch):
+    rng, talk = random.Random(9), []
+    for c, n in ((0, 150), (1, 3), (2, 40), (3, 1)):
+        for t in range(n):
+            to = rng.choice([None, 0, rng.randrange(t), max(t - 2, 0)]) if t else None
+            talk.append((c, 3 * t, (f"> say {c} {to}\n" if to is not None else "") + f"say {c} {t}"))
+    talk += [(2, 6, "again"), (2, 6, "again"), (2, 9, "> say 2 1\nonce more")]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, text string")
+    read = lambda: [(r.conv_id, r.turn, r.body, r.reply_turn, r.thread) for r in quotes.reply_order(quotes.link(df)).collect()]
+    plain = read()
+    monkeypatch.setattr(quotes, "SLOT", 4)
+    assert len(plain) == len(talk) and [x[:2] + x[3:] for x in read()] == [x[:2] + x[3:] for x in plain]
+    assert {x[3] for x in plain if x[:2] == (2, 6) and x[2] == "again"} == {3}
+
+
 def test_requoted_conversations_link(spark):
     got = quotes.requoted_replies(spark, "/root/testdata/sf0.001").where("quoted").collect()
     assert any(r.reply_conv != r.conv_id for r in got) and any(r.reply_turn == r.turn - 2 for r in got) and any(r.max_level == 2 for r in got)

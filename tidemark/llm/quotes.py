@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.runtime import drop_stash, stash
+from tidemark.runtime import stash, temporary
 
 MARK = r"^(?:[\x20\t]*>)+"
 OUTPUTS = ("body", "n_quotes", "max_level", "reply_conv", "reply_turn", "quoted", "thread")
@@ -60,26 +60,26 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     own conversation where the source is in another one.
     """
     kept = [c for c in messages.columns if c not in (*OUTPUTS, "passages")]
-    df = parsed(messages.select(*kept), text)
-    rows = stash(df.withColumns({"_row": F.monotonically_increasing_id(), "_conv": F.col(conv), "_turn": F.col(turn)}), "quotes")
-    own = rows.where("_conv is not null and _turn is not null")
-    quoting = own.where("size(passages) > 0")
-    passage = quoting.select("_row", "_conv", "_turn", F.posexplode("passages").alias("p", "x")).selectExpr("_row", "_conv", "_turn", "p", "x.level", "filter(x.lines, l -> l <> '') as lines")
-    asked = stash(passage.where("size(lines) > 0").withColumn("key", F.expr(_HASH.format("lines"))), "quote-passages")
-    said = own.select("_row", "_conv", "_turn", F.expr(f"filter(transform(split(body, '\\n'), x -> {_normal('x')}), x -> x <> '')").alias("own"))
-    found = stash(_sources(asked, _whole(asked, said)), "quote-sources")
-    rest = asked.where("size(lines) > 1").join(found, ["_row", "p"], "left_anti")
-    if not rest.isEmpty():
-        found = found.unionByName(_sources(rest, _most(rest, said)))
-    # The outermost traceable passage decides.
-    best = found.groupBy("_row").agg(F.min(F.struct("level", "far", "p", "c", "t")).alias("b"))
-    before = F.lag("_turn").over(W.partitionBy("_conv").orderBy("_turn", "_row"))
-    last = own.select("_row", before.alias("_before"))
-    linked = rows.join(best, "_row", "left").join(last, "_row", "left")
-    quoted = F.col("b").isNotNull()
-    linked = linked.withColumn("quoted", quoted).withColumn("reply_conv", F.when(quoted, F.coalesce("b.c", "_conv")).when(F.col("_before").isNotNull(), F.col("_conv")))
-    linked = linked.withColumn("reply_turn", F.when(quoted, F.col("b.t")).otherwise(F.col("_before")))
-    linked = stash(linked.drop("b", "_before"), "quote-links")
+    with temporary(messages.sparkSession):
+        df = parsed(messages.select(*kept), text)
+        rows = stash(df.withColumns({"_row": F.monotonically_increasing_id(), "_conv": F.col(conv), "_turn": F.col(turn)}), "quotes")
+        own = rows.where("_conv is not null and _turn is not null")
+        quoting = own.where("size(passages) > 0")
+        passage = quoting.select("_row", "_conv", "_turn", F.posexplode("passages").alias("p", "x")).selectExpr("_row", "_conv", "_turn", "p", "x.level", "filter(x.lines, l -> l <> '') as lines")
+        asked = stash(passage.where("size(lines) > 0").withColumn("key", F.expr(_HASH.format("lines"))), "quote-passages")
+        said = own.select("_row", "_conv", "_turn", F.expr(f"filter(transform(split(body, '\\n'), x -> {_normal('x')}), x -> x <> '')").alias("own"))
+        found = stash(_sources(asked, _whole(asked, said)), "quote-sources")
+        rest = asked.where("size(lines) > 1").join(found, ["_row", "p"], "left_anti")
+        if not rest.isEmpty():
+            found = found.unionByName(_sources(rest, _most(rest, said)))
+        # The outermost traceable passage decides.
+        best = found.groupBy("_row").agg(F.min(F.struct("level", "far", "p", "c", "t")).alias("b"))
+        last = _so_far(own.select("_conv", "_turn").distinct(), ["_conv"], "_turn", F.col("_turn"), "_before")
+        linked = rows.join(best, "_row", "left").join(last, ["_conv", "_turn"], "left")
+        quoted = F.col("b").isNotNull()
+        linked = linked.withColumn("quoted", quoted).withColumn("reply_conv", F.when(quoted, F.coalesce("b.c", "_conv")).when(F.col("_before").isNotNull(), F.col("_conv")))
+        linked = linked.withColumn("reply_turn", F.when(quoted, F.col("b.t")).otherwise(F.col("_before")))
+        linked = stash(linked.drop("b", "_before"), "quote-links", lasting=True)
     return _threaded(linked).select(
         *kept, "body", F.size("passages").cast("bigint").alias("n_quotes"), F.expr("bigint(coalesce(array_max(transform(passages, x -> x.level)), 0))").alias("max_level"),
         "reply_conv", "reply_turn", "quoted", "thread",
@@ -87,6 +87,22 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
 
 
 _HASH = "md5(array_join({}, '\n'))"
+SLOT = 1024
+
+
+def _so_far(df: DataFrame, keys: list[str], order: str, value: Column, name: str, inclusive: bool = False) -> DataFrame:
+    """``df`` with ``name``, the greatest ``value`` of the rows of the same keys that come before in
+    ``order``, or up to the row itself.
+
+    Rows have different keys and numbers in ``order``. They are split in slots of ``SLOT`` numbers;
+    only the greatest value of each slot is ordered by keys alone, so a long conversation is spread.
+    """
+    df = df.withColumn("_slot", F.floor(F.col(order) / SLOT))
+    slot = [*keys, "_slot"]
+    earlier = F.max("_top").over(W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1))
+    tops = df.groupBy(*slot).agg(F.max(value).alias("_top")).select(*slot, earlier.alias("_earlier"))
+    within = W.partitionBy(*slot).orderBy(order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    return df.withColumn(name, F.max(value).over(within)).join(tops, slot, "left").withColumn(name, F.greatest(name, "_earlier")).drop("_slot", "_earlier")
 
 
 def _whole(asked: DataFrame, said: DataFrame) -> DataFrame:
@@ -119,10 +135,9 @@ def _sources(asked: DataFrame, offers: DataFrame) -> DataFrame:
     """(_row, p, level, far, c, t): for each passage, the message with the highest n; of equals the
     latest earlier one of its conversation, else the first of another."""
     offers = stash(offers, "quote-offers")
-    # Questions come before what is said in the same turn.
-    turns = offers.selectExpr("key", "_conv", "_turn", "1 as said", "struct(n, _turn as t) as has").unionByName(asked.selectExpr("key", "_conv", "_turn", "0 as said").distinct(), allowMissingColumns=True)
-    so_far = W.partitionBy("key", "_conv").orderBy("_turn", "said").rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = turns.withColumn("near", F.max("has").over(so_far)).where("said = 0 and near is not null").select("key", "_conv", "_turn", "near")
+    turns = offers.selectExpr("key", "_conv", "_turn", "struct(n, _turn as t) as has", "false as asks").unionByName(asked.selectExpr("key", "_conv", "_turn", "true as asks"), allowMissingColumns=True)
+    turns = turns.groupBy("key", "_conv", "_turn").agg(F.max("has").alias("has"), F.max("asks").alias("asks"))
+    near = _so_far(turns, ["key", "_conv"], "_turn", F.col("has"), "near").where("asks and near is not null").select("key", "_conv", "_turn", "near")
     # Whoever asks, the first message or the first of another conversation is not their own.
     place = F.struct((-F.col("n")).alias("less"), "_conv", "_turn")
     by_conv = offers.groupBy("key", "_conv").agg(F.min(place).alias("one"))
@@ -147,7 +162,7 @@ def _threaded(linked: DataFrame) -> DataFrame:
     up = up.withColumn("to", F.when(F.col("branch").isNotNull() | F.col("prev").isNull(), F.col("_turn")).otherwise(F.least("prev", "_turn")))
     # Between branches threads run through consecutive turns: the latest beginning so far.
     starts = F.when(F.col("to") == F.col("_turn"), F.col("_turn"))
-    up = up.withColumn("thread", F.last(starts, ignorenulls=True).over(W.partitionBy("_conv").orderBy("_turn").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    up = _so_far(up, ["_conv"], "_turn", starts, "thread", inclusive=True)
     up = up.select(F.col("_conv").alias("_c"), F.col("_turn").alias("_t"), "thread")
     return linked.join(up, (F.col("_conv") == F.col("_c")) & (F.col("_turn") == F.col("_t")), "left")
 
@@ -160,14 +175,14 @@ def reply_order(linked: DataFrame, conv: str = "conv_id", turn: str = "turn") ->
     """
     node = linked.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("_c"), F.col(turn).alias("_t"), F.col("thread").alias("_head"), "quoted", "reply_conv", "reply_turn")
     branch = node.where("quoted and reply_conv = _c and reply_turn < _t").groupBy("_c", "_head").agg(F.min("reply_turn").alias("_at"))
-    if branch.isEmpty():
-        return linked.orderBy(conv, "thread", turn)
-    branch = stash(branch, "quote-branches")
-    heads = node.select("_c", "_head").distinct().join(branch.select("_c").distinct(), "_c", "left_semi")
-    above = node.select("_c", F.col("_t").alias("_at"), F.col("_head").alias("_up")).distinct()
-    threads = stash(heads.join(branch, ["_c", "_head"], "left").join(above, ["_c", "_at"], "left"), "quote-threads")
-    left = stash(_to_the_end(threads), "quote-places")
-    drop_stash(branch, threads)
+    with temporary(linked.sparkSession):
+        branch = stash(branch, "quote-branches")
+        if branch.isEmpty():
+            return linked.orderBy(conv, "thread", turn)
+        heads = node.select("_c", "_head").distinct().join(branch.select("_c").distinct(), "_c", "left_semi")
+        above = node.select("_c", F.col("_t").alias("_at"), F.col("_head").alias("_up")).distinct()
+        threads = stash(heads.join(branch, ["_c", "_head"], "left").join(above, ["_c", "_at"], "left"), "quote-threads")
+        left = stash(_to_the_end(threads), "quote-places", lasting=True)
     placed = linked.join(left, (F.col(conv) == F.col("_c")) & (F.col("thread") == F.col("_head")), "left")
     return placed.orderBy(conv, F.desc_nulls_first("_left"), "thread", turn).select(*linked.columns)
 
@@ -176,22 +191,28 @@ def _to_the_end(threads: DataFrame) -> DataFrame:
     """(_c, _head, _left): the steps left, on entering a thread, of a walk around the trees.
 
     The walk enters and leaves every thread once. Each round doubles the steps that are known of
-    it, so a conversation of n threads takes log2(2 n) rounds, however deep it is.
+    it, so a conversation of n threads takes log2(2 n) rounds, however deep it is, and is put
+    aside after them: long conversations don't keep the short ones waiting.
     """
-    among = W.partitionBy("_c", "_up").orderBy(F.desc("_at"), "_head")
-    threads = threads.withColumns({"_next": F.lead("_head").over(among), "_k": F.row_number().over(among)})
-    first = threads.where("_k = 1 and _up is not null").select("_c", F.col("_up").alias("_head"), F.col("_head").alias("_first"))
-    around = threads.join(first, ["_c", "_head"], "left")
-    enter = around.selectExpr("_c", "_head", "0 as _e", "coalesce(_first, _head) as _to", "if(_first is null, 1, 0) as _toe", "1L as _left")
-    leave = around.selectExpr("_c", "_head", "1 as _e", "coalesce(_next, _up) as _to", "if(_next is null, 1, 0) as _toe", "1L as _left")
+    side = threads.withColumns({"_under": F.coalesce(F.col("_up").cast("string"), F.lit("")), "_lo": F.coalesce("_at", F.lit(0)), "_neg": -F.col("_head")})
+    # After a thread comes the next one under the same message, else the first under the branching message before.
+    side = _so_far(side, ["_c", "_under", "_lo"], "_neg", F.col("_neg"), "_same")
+    messages = side.groupBy("_c", "_under", "_lo").agg(F.max("_neg").alias("_one"))
+    messages = _so_far(messages, ["_c", "_under"], "_lo", F.struct("_lo", "_one"), "_over").select("_c", "_under", "_lo", "_over._one")
+    side = side.join(messages, ["_c", "_under", "_lo"], "left").withColumn("_next", -F.coalesce("_same", "_one"))
+    first = threads.where("_up is not null").groupBy("_c", "_up").agg(F.max(F.struct("_at", -F.col("_head"))).alias("_f")).selectExpr("_c", "_up as _head", "-_f.col2 as _first")
+    rounds = threads.groupBy("_c").agg(F.expr("length(bin(2 * count(1) - 1))").alias("_rounds"))
+    around = side.join(first, ["_c", "_head"], "left").join(rounds, "_c")
+    enter = around.selectExpr("_c", "_head", "_rounds", "0 as _e", "coalesce(_first, _head) as _to", "if(_first is null, 1, 0) as _toe", "1L as _left")
+    leave = around.selectExpr("_c", "_head", "_rounds", "1 as _e", "coalesce(_next, _up) as _to", "if(_next is null, 1, 0) as _toe", "1L as _left")
     walk = stash(enter.unionByName(leave), "quote-walk")
-    while not walk.where("_to is not null").isEmpty():
+    whole = walk.where("false")
+    for done in range(1, (walk.agg(F.max("_rounds")).first()[0] or 0) + 1):
         on = walk.selectExpr("_c", "_head as _to", "_e as _toe", "_to as _to2", "_toe as _toe2", "_left as _left2")
-        further = walk.join(on, ["_c", "_to", "_toe"], "left").selectExpr("_c", "_head", "_e", "_to2 as _to", "_toe2 as _toe", "_left + coalesce(_left2, 0) as _left")
+        further = walk.join(on, ["_c", "_to", "_toe"], "left").selectExpr("_c", "_head", "_rounds", "_e", "_to2 as _to", "_toe2 as _toe", "_left + coalesce(_left2, 0) as _left")
         further = stash(further, "quote-walk")
-        drop_stash(walk)
-        walk = further
-    return walk.where("_e = 0").select("_c", "_head", "_left")
+        whole, walk = whole.unionByName(further.where(f"_rounds = {done}")), further.where(f"_rounds > {done}")
+    return whole.where("_e = 0").select("_c", "_head", "_left")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +278,9 @@ WITH m AS (
 ), best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY r ORDER BY level, far, p) = 1),
 l AS (
   SELECT m.*, best.r IS NOT NULL AS quoted, c, best.t AS src,
-         CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN lag(turn) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m.r) END AS before FROM m LEFT JOIN best USING (r)
+         before FROM m LEFT JOIN best USING (r) LEFT JOIN (
+    SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+  ) w ON w.conv_id = m.conv_id AND w.turn = m.turn
 ), k AS (
   SELECT *, CASE WHEN quoted THEN c WHEN before IS NOT NULL THEN conv_id END AS reply_conv, CASE WHEN quoted THEN src ELSE before END AS reply_turn FROM l
 ), u AS (
