@@ -195,6 +195,23 @@ def scanned(docs: DataFrame, body: str = "body", css: bool = False) -> DataFrame
     return source.mapInArrow(run, schema)
 
 
+def ranges(docs: DataFrame, tag: str, body: str = "body") -> DataFrame:
+    """``docs`` without the body, one row for each element: the bytes from ``start`` to ``end``."""
+    small_batches(docs.sparkSession, 256)
+    kept = [c for c in docs.columns if c not in (body, "start", "end")]
+    source = docs.select(*kept, F.col(body).cast("binary").alias("_bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *x) for i, b in enumerate(batch.column(len(kept))) for x in element_ranges(b.as_py() or b"", tag)]
+            row = pa.array([i for i, _, _ in found], pa.int32())
+            at = [pa.array([x[k] for x in found], pa.int32()) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*(c.take(row) for c in batch.columns[: len(kept)]), *at], [*kept, "start", "end"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*kept).schema), "start int", "end int"])
+    return source.mapInArrow(run, schema)
+
+
 def anchors(docs: DataFrame, body: str = "html") -> DataFrame:
     """The fast path, without Python: ``docs`` exploded to (pos, ref), the href values in order."""
     refs = F.regexp_extract_all(F.col(body), F.lit('(?i)<a\\b[^>]*?\\bhref="([^"]*)"'), F.lit(1))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import urls
 from tidemark.operators import closure, fetch, paths, rewrite, robots, rules, scan, state
 from tidemark.plans.config import Settings
-from tidemark.plans.queries import LINKS_SQL, _table, _url_query, add, resolved
+from tidemark.plans.queries import ANCHOR, LINKS_SQL, _quoted, _table, _url_query, add, resolved
 from tidemark.plans.queries_state import JOURNAL_SQL, _A, _decisions, _j, _rewritten, _saved, attempts, entries, journal
+from tidemark.sources import files
 
 # --- Fetching ------------------------------------------------------------------------------------------
 
@@ -39,7 +40,7 @@ _answer("f28_log_line", fetch.log_line("status", "p_size", "bigint(p_size)", "'t
         "status || ' ' || lpad(p_size || 'ms', 7, ' ') || ' ' || lpad(p_size || ' B', 9, ' ') || ' ' || rpad('html', 11, ' ') || ' ' || rpad(CASE WHEN p_partkey % 3 > 1 THEN '×2' WHEN p_partkey % 2 = 0 THEN 'js' ELSE '' END, 2, ' ') || ' ' || p_brand")
 _answer("f28_failure_message", fetch.failure_message("if(p_partkey % 2 = 0, concat('http://h/x: ', p_name), p_name)"), "p_name")
 _url_query("p28_credentials", {"user": (fetch.credentials("u_host", [("*.example.com", "a", "b"), ("www.example.org", "c", "d")]), "CASE WHEN u_host LIKE '%.example.com' THEN 'a:b' WHEN u_host = 'www.example.org' THEN 'c:d' END")})
-add("s02_fetch_lookup", lambda s, d: resolved(s, d).where("u_url is not null").select("page_id", "ref", F.col("u_url").alias("url")).join(_table(s, d, "pages").select("url", F.lit(200).alias("status")), "url", "left").select("page_id", "ref", "status"),
+add("s02_fetch_lookup", lambda s, d: files.fetched(resolved(s, d).where("u_url is not null").select("page_id", "ref", F.col("u_url").alias("url")), _table(s, d, "pages").select("url", F.lit(200).alias("status"))).select("page_id", "ref", "status"),
     f"WITH {LINKS_SQL} SELECT l.page_id, ref, CASE WHEN p.url IS NOT NULL THEN 200 END AS status FROM links l LEFT JOIN pages p ON p.url = l.u_url WHERE u_url IS NOT NULL")
 add("p26_redirects", lambda s, d: fetch.followed(_table(s, d, "supplier").selectExpr("concat('/', s_suppkey) as url"), _table(s, d, "supplier").where("s_suppkey % 5 <> 0").selectExpr("concat('/', s_suppkey) as src", "concat('/', s_suppkey + 1) as dst")).selectExpr("url", "final", "n"),
     "SELECT '/' || s_suppkey AS url, '/' || CAST(ceil(s_suppkey / 5.0) * 5 AS BIGINT) AS final, CAST((5 - s_suppkey % 5) % 5 AS INT) AS n FROM supplier")
@@ -52,23 +53,68 @@ add("p16_agent_token", lambda s, d: s.createDataFrame([("x", fetch.agent_token("
 
 # --- Generators --------------------------------------------------------------------------------------------
 
-_SNIPPET = "concat('<img srcset=\"/', page_id, '.png 1x, b.png 2x\"><link rel=\"preconnect dns-prefetch\" href=\"//c\"><link rel=\"preload\" href=\"k\"><meta http-equiv=refresh content=\"1;url=/r\"><!-- <a href=\"old\"> --><style>@import \"i.css\"; a{b:url(c.png)} /* url(n) */</style>')"
-
-
-def _snippets(s: SparkSession, d: str) -> DataFrame:
-    docs = _table(s, d, "pages").select("page_id", F.expr(_SNIPPET).alias("body"))
-    return scan.scanned(docs, "body").select("page_id", F.explode("links").alias("l")).select("page_id", "l.*")
-
-
-add("d02_tag_links", lambda s, d: _snippets(s, d).select("page_id", "value", "kind", "tag", "attr"), """SELECT page_id, replace(v, '{n}', CAST(page_id AS VARCHAR)) AS value, k AS kind, t AS tag, a AS attr FROM pages,
-  (VALUES ('/{n}.png', 'srcset', 'img', 'srcset'), ('b.png', 'srcset', 'img', 'srcset'), ('k', 'asset', 'link', 'href'), ('/r', 'refresh', 'meta', 'content'), ('old', 'anchor', 'a', 'href'), ('i.css', 'css', 'css', 'import'), ('c.png', 'css', 'css', 'url')) x(v, k, t, a)""")
-add("d10_srcset", lambda s, d: _snippets(s, d).where("kind = 'srcset'").select("page_id", "value", "descriptor"), "SELECT page_id, v AS value, w AS descriptor FROM (SELECT page_id, unnest(['/' || page_id || '.png', 'b.png']) AS v, unnest(['1x', '2x']) AS w FROM pages)")
-add("d11_css", lambda s, d: _snippets(s, d).where("kind = 'css'").select("page_id", "value"), "SELECT page_id, unnest(['i.css', 'c.png']) AS value FROM pages")
-add("d13_comment_links", lambda s, d: _snippets(s, d).where("value = 'old'").select("page_id", "tag"), "SELECT page_id, 'a' AS tag FROM pages")
-add("o05_links_in_order", lambda s, d: _snippets(s, d).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), " ").alias("found")),
-    "SELECT page_id, '/' || page_id || '.png b.png k /r old i.css c.png' AS found FROM pages")
-add("e02_sources_of_links", lambda s, d: _snippets(s, d).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n")), "SELECT page_id, t AS tag, CAST(n AS BIGINT) AS n FROM pages, (VALUES ('img', 2), ('link', 1), ('meta', 1), ('a', 1), ('css', 2)) x(t, n)")
-add("d15_element_ranges", lambda s, d: _table(s, d, "pages").selectExpr("page_id", r"size(regexp_extract_all(html, r'(?is)<script(?=[\s/>]).*?(</script\s*>|$)', 0)) as n"), "SELECT page_id, CAST(len(regexp_extract_all(html, '<script')) AS INT) AS n FROM pages")
+#: Markup put in front of half of the whole pages each, with {n} for the page's number, and the
+#: links it holds: (value, kind, tag, attribute, descriptor, nofollow).
+_MARKUP = (
+    ('<img src="/i{n}.png" srcset="/s{n}.png 1x, b.png 2x">', [("/i{n}.png", "asset", "img", "src"), ("/s{n}.png", "srcset", "img", "srcset", "1x"), ("b.png", "srcset", "img", "srcset", "2x")]),
+    ('<link rel="preconnect dns-prefetch" href="//c{n}"><link rel=canonical href=/k>', []),
+    ('<link rel="next" href="k{n}">', [("k{n}", "asset", "link", "href")]),
+    ('<meta http-equiv="refresh" content="1;url=/r{n}">', [("/r{n}", "refresh", "meta", "content")]),
+    ('<!-- <a href="old{n}">x</a> -->', [("old{n}", "anchor", "a", "href")]),
+    ('<style>@import "i{n}.css"; a{b:url(c{n}.png)} /* url(no) */</style>', [("i{n}.css", "css", "css", "import"), ("c{n}.png", "css", "css", "url")]),
+    ('<iframe src="f{n}?a=1&amp;b=2"></iframe><form action="/go{n}"></form>', [("f{n}?a=1&b=2", "frame", "iframe", "src"), ("/go{n}", "form", "form", "action")]),
+    ("<video poster='v{n}.jpg'><source src=s{n}.mp4><track src=\"t.vtt\"></video>", [("v{n}.jpg", "asset", "video", "poster"), ("s{n}.mp4", "asset", "source", "src"), ("t.vtt", "asset", "track", "src")]),
+    ('<div style="background:url(bg{n}.gif)"></div>', [("bg{n}.gif", "css", "div", "style")]),
+    ('<a rel="nofollow" href="nf{n}">x</a>', [("nf{n}", "anchor", "a", "href", None, True)]),
+    ('<script>var a = "<a href=no>";</script><script src="j{n}.js"></script>', [("j{n}.js", "asset", "script", "src")]),
+    ('<blockquote cite="/q{n}">x</blockquote><table background="t{n}.png"></table>', [("/q{n}", "asset", "blockquote", "cite"), ("t{n}.png", "asset", "table", "background")]),
+    ('<META NAME=robots CONTENT="noindex, NOFOLLOW">', []),
+    ('<base href="/b{n}/">', [("/b{n}/", "base", "base", "href")]),
+)
+_HAS = "(page_id * 31 + {i} * 17) % 4 < 2"
+_LITERAL = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else _quoted(x)
+_MARKED = ", ".join(f"if({_HAS.format(i=i)}, replace({urls._lit(m)}, '{{n}}', page_id), '')" for i, (m, _) in enumerate(_MARKUP))
+_ROWS = ", ".join(f"({i}, {j}, " + ", ".join(map(_LITERAL, (*x, None, False)[:6] if len(x) == 4 else (*x, False)[:6])) + ")" for i, (_, found) in enumerate(_MARKUP) for j, x in enumerate(found))
+_MARKED_SQL = f"""m AS (
+  SELECT page_id, i, j, replace(v, '{{n}}', CAST(page_id AS VARCHAR)) AS value, kind, tag, attr, descriptor, nofollow FROM pages, (VALUES {_ROWS}) x(i, j, v, kind, tag, attr, descriptor, nofollow) WHERE {_HAS.format(i="i")}
+  UNION ALL
+  SELECT page_id, 99, unnest(range(1, len(a) + 1)), replace(unnest(a), '&amp;', '&'), 'anchor', 'a', 'href', NULL, false FROM (SELECT page_id, regexp_extract_all(html, '{ANCHOR}', 1) AS a FROM pages))"""
+_HTML_SQL = "(SELECT page_id, " + " || ".join(f"CASE WHEN {_HAS.format(i=i)} THEN replace({_quoted(m)}, '{{n}}', CAST(page_id AS VARCHAR)) ELSE '' END" for i, (m, _) in enumerate(_MARKUP)) + " || html AS html FROM pages)"
+
+
+def _marked(s: SparkSession, d: str) -> DataFrame:
+    """Every page whole, behind markup that differs by page."""
+    return _table(s, d, "pages").select("page_id", F.expr(f"concat({_MARKED}, html)").alias("body"))
+
+
+def _found(s: SparkSession, d: str) -> DataFrame:
+    return scan.scanned(_marked(s, d), "body").select("page_id", F.explode("links").alias("l")).select("page_id", "l.*")
+
+
+def _of_markup(columns: str, where: str = "true") -> str:
+    return f"WITH {_MARKED_SQL} SELECT {columns} FROM m WHERE {where}"
+
+
+add("d02_tag_links", lambda s, d: _found(s, d).select("page_id", "value", "kind", "tag", "attr", "nofollow"), _of_markup("page_id, value, kind, tag, attr, nofollow"))
+add("d10_srcset", lambda s, d: _found(s, d).where("kind = 'srcset'").select("page_id", "value", "descriptor"), _of_markup("page_id, value, descriptor", "kind = 'srcset'"))
+add("d11_css", lambda s, d: _found(s, d).where("kind = 'css'").select("page_id", "value", "tag", "attr"), _of_markup("page_id, value, tag, attr", "kind = 'css'"))
+add("d13_comment_links", lambda s, d: _found(s, d).where("value like 'old%'").select("page_id", "value", "tag"), _of_markup("page_id, value, tag", "i = 4"))
+add("o05_links_in_order", lambda s, d: _found(s, d).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), " ").alias("found")),
+    f"WITH {_MARKED_SQL} SELECT page_id, string_agg(value, ' ' ORDER BY i, j) AS found FROM m GROUP BY page_id")
+add("e02_sources_of_links", lambda s, d: _found(s, d).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n")), f"WITH {_MARKED_SQL} SELECT page_id, tag, count(*) AS n FROM m GROUP BY ALL")
+add("d03_robots_meta", lambda s, d: scan.scanned(_marked(s, d), "body").select("page_id", "noindex", "nofollow_all", "base", F.expr("replace(title, '&', '&amp;')").alias("title")),
+    rf"SELECT page_id, {_HAS.format(i=12)} AS noindex, {_HAS.format(i=12)} AS nofollow_all, CASE WHEN {_HAS.format(i=13)} THEN '/b' || page_id || '/' END AS base, trim(regexp_extract(html, '<title>([^<]*)', 1)) AS title FROM pages")
+
+
+def _elements(s: SparkSession, d: str) -> DataFrame:
+    """Scripts of every page; one of its own stays unclosed at the end of each third page."""
+    return scan.ranges(_marked(s, d).withColumn("body", F.expr("concat(body, if(page_id % 3 = 0, '<script async>var x = 1;', ''))")), "script", "body")
+
+
+add("d15_element_ranges", lambda s, d: _elements(s, d).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("bigint(end - start)")).alias("bytes"), F.min("start").alias("first")),
+    rf"""WITH h AS (SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN '<script async>var x = 1;' ELSE '' END AS html FROM {_HTML_SQL}),
+    x AS (SELECT page_id, html, regexp_extract_all(html, '(?is)<script[\s/>].*?(?:</script\s*>|\z)', 0) AS found FROM h)
+    SELECT page_id, len(found) AS n, strlen(array_to_string(found, '')) AS bytes, CAST(strlen(regexp_extract(html, '(?is)^(.*?)<script[\s/>]', 1)) AS INT) AS first FROM x WHERE len(found) > 0""")
 add("s05_sitemap_seeds", lambda s, d: robots.sitemap_seeds(
     _table(s, d, "region").selectExpr("concat('m', r_regionkey) as url", "if(r_regionkey < 4, concat('<sitemapindex><sitemap><loc>m', r_regionkey + 1, '</loc></sitemap></sitemapindex>'), '<urlset><url><loc>http://h/p</loc></url></urlset>') as body"),
     s.createDataFrame([("m2",), ("m0",)], "loc string")), "SELECT 'http://h/p' AS loc")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark import runtime
 from tidemark.functions import formats, urls
 from tidemark.operators import closure, paths, rewrite, robots, rules, scan, state
 from tidemark.plans.config import Settings
@@ -102,11 +103,22 @@ add("j11_prior_state", lambda s, d: _starts(s, d).join(entries(s, d).select("key
 add("j13_seed_flag", lambda s, d: entries(s, d).where("status = 'pending'").join(F.broadcast(_starts(s, d).selectExpr("key", "true as seed")), "key", "left").selectExpr("key", "coalesce(seed, false) as seed"),
     _j("SELECT key, key IN (SELECT 'u' || n_nationkey || '/0' FROM nation) AS seed FROM e WHERE status = 'pending'"))
 add("p20_limits", lambda s, d: rules.within_limit(journal(s, d).select("seq", "size"), "seq", "size", 700, 20000), _j("SELECT seq, size FROM (SELECT seq, size, count(*) OVER w - 1 AS n, sum(size) OVER w - size AS b FROM j WINDOW w AS (ORDER BY seq ROWS UNBOUNDED PRECEDING)) WHERE n < 700 AND b < 20000"))
-add("p21_host_rank", lambda s, d: journal(s, d).select("seq", F.row_number().over(W.partitionBy("key").orderBy("seq")).cast("bigint").alias("n")), _j("SELECT seq, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM j"))
+add("p21_host_rank", lambda s, d: urls.with_url(journal(s, d).select("seq", "url"), "url").select("seq", F.row_number().over(W.partitionBy("u_host").orderBy("seq")).cast("bigint").alias("n")), _j("SELECT seq, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS n FROM j"))
 add("w03_frontier_order", lambda s, d: entries(s, d).where("status = 'pending'").orderBy("depth", "seq").limit(30).select("depth", "seq"), _j("SELECT depth, seq FROM e WHERE status = 'pending' ORDER BY depth, seq LIMIT 30"))
 add("w09_recent", lambda s, d: _table(s, d, "events").orderBy(F.desc("event_id")).limit(50).select("event_id"), "SELECT event_id FROM events ORDER BY event_id DESC LIMIT 50")
 add("w10_first_matching", lambda s, d: entries(s, d).where("status = 'failed'").orderBy("key").limit(10).select("key"), _j("SELECT key FROM e WHERE status = 'failed' ORDER BY key LIMIT 10"))
-add("k03_compaction", lambda s, d: entries(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n")), _j("SELECT status, count(*) AS n FROM e GROUP BY 1"))
+
+
+def _compacted(s: SparkSession, d: str) -> DataFrame:
+    """The compacted journal as written and read again; replaying it changes nothing."""
+    from uuid import uuid4
+
+    folder = f"{runtime.scratch(s)}/tidemark/compact-{uuid4().hex}"
+    state.compact(journal(s, d), folder)
+    return state.latest(s.read.parquet(folder)).select("key", "seq", "url", "status", "path", "depth", "size", "err")
+
+
+add("k03_compaction", _compacted, _j("SELECT key, seq, url, status, path, depth, size, err FROM e"))
 add("k12_log_threshold", lambda s, d: _table(s, d, "events").withColumn("level", F.expr("case event_type when 'error' then 'error' when 'signup' then 'warn' when 'view' then 'debug' else 'info' end")).where(f"{formats.level_rank('level')} >= 2").select("event_id", "level"),
     "SELECT event_id, CASE event_type WHEN 'error' THEN 'error' ELSE 'warn' END AS level FROM events WHERE event_type IN ('error', 'signup')")
 add("k07_report", lambda s, d: state.report(entries(s, d)))
