@@ -143,3 +143,17 @@ def test_settings():
     assert difference(Settings(), new) == (["exclude"], ["constraint"])
     assert reconfigured(Settings(), new).exclude == ("b",) and reconfigured(Settings(), new).constraint == "host"
     assert glob("*/wp-admin/?") == "^.*/wp\\-admin/.$"
+
+
+def test_start_urls_are_normalised_or_refused(spark):
+    raw = ["example.com", " localhost:80/x ", "127.0.0.1", "h:8443", "h:8080/p", "a.local", "https://h/p?q", "", "  ", "ftp://h", "http:///p", "//h"]
+    made = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string").orderBy("i").selectExpr(f"{urls.start_problem('raw')} as problem", f"{urls.started('raw')} as url").collect()
+    for x, row in zip(raw, made, strict=True):
+        if row.problem:
+            with pytest.raises(ValueError, match=row.problem):
+                Settings(start_urls=(x,)).normalized()
+        else:
+            assert Settings(start_urls=(x, x), max_levels=-1).normalized() == Settings(start_urls=(row.url,))
+    assert [r.problem for r in made] == [None] * 7 + ["empty", "empty", "unsupported scheme", "no host", "no host"]
+    with pytest.raises(ValueError, match="no start URL"):
+        Settings().normalized()

@@ -188,7 +188,28 @@ def without_params(query: str, names: list[str]) -> str:
     return f"if({query} rlike '%(?![0-9A-Fa-f]{{2}})|;' or not coalesce({hit}, false), {query}, array_join({ordered}, '&'))"
 
 
+#: Hosts that are asked without encryption, and ports that are asked with it. Fixed values.
+PLAIN_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0")
+PLAIN_SUFFIXES = (".local", ".localhost")
+SECURE_PORTS = ("443", "8443", "4443")
+
+
 def default_scheme(host: str) -> str:
-    """SQL: http for loopback, .local names and unusual ports, https otherwise."""
-    h = f"lower({host})"
-    return f"if({h} rlike r'^(localhost|127\\.|\\[::1\\])|\\.local(:|$)|:(?!443$)[0-9]+$', 'http', 'https')"
+    """SQL: http for loopback and local names and unusual ports, https otherwise."""
+    h = f"regexp_extract(lower({host}), '^[^/?#]*', 0)"
+    name, port = f"substring_index({h}, ':', 1)", f"regexp_extract({h}, ':(.*)$', 1)"
+    local = " or ".join([f"{name} = '{x}'" for x in PLAIN_HOSTS] + [f"endswith({name}, '{x}')" for x in PLAIN_SUFFIXES])
+    ports = ", ".join(f"'{x}'" for x in ("", *SECURE_PORTS))
+    return f"if({local} or {port} not in ({ports}), 'http', 'https')"
+
+
+def started(raw: str) -> str:
+    """SQL: a start URL without spaces around it and with a scheme."""
+    return f"if(instr(trim({raw}), '://') > 0, trim({raw}), concat({default_scheme(f'trim({raw})')}, '://', trim({raw})))"
+
+
+def start_problem(raw: str) -> str:
+    """SQL: why nothing can start at a URL; null if it can."""
+    url = started(raw)
+    return f"""case when trim(coalesce({raw}, '')) = '' then 'empty' when regexp_extract({url}, '://([^/?#]*)', 1) = '' then 'no host'
+      when lower(substring_index({url}, '://', 1)) not in ('http', 'https') then 'unsupported scheme' end"""
\ No newline at end of file

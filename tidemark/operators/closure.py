@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tidemark.functions import urls
+from tidemark.operators import rules
 from tidemark.runtime import shuffle_width, stash
+from tidemark.sources.files import requests_of_page
 
 
 #: A wave of at most so many keys is put in order in one task; a larger one by ranges.
@@ -122,3 +125,13 @@ def claimed(frontier: DataFrame, seen: DataFrame) -> DataFrame:
     """New keys of a frontier (key, depth, seq, ...): each once, its first discovery."""
     rest = [c for c in frontier.columns if c != "key"]
     return frontier.join(seen.select("key"), "key", "left_anti").groupBy("key").agg(F.min_by(F.struct(*rest), F.struct("depth", "seq")).alias("_r")).select("key", "_r.*")
+
+
+def requested(rendered: DataFrame, url: str = "url", depth: str = "depth", requests: str = "requests") -> DataFrame:
+    """The frontier rows of what rendered pages asked for: each page's requests once, without the
+    page itself, with role and depth; a page lies one below the page that asked for it."""
+    rows = rendered.withColumn("_asked", F.expr(f"explode({requests_of_page(requests)})")).drop(requests)
+    rows = urls.with_url(rows.withColumn("_page", F.col(url)), "_page")
+    rows = rows.withColumn("_self", F.col("u_url")).drop(*[c for c in rows.columns if c.startswith("u_")])
+    rows = urls.with_url(rows, "_asked", url).where("u_url is not null and not u_url <=> _self").drop("_asked", "_page", "_self")
+    return rows.withColumn("role", F.expr(rules.guessed_role("u_path"))).withColumn(depth, F.expr(f"{depth} + if(role = 'page', 1, 0)"))

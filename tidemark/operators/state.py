@@ -31,6 +31,24 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("seq", *fields).withColumn("status", F.expr("if(status = 'active', 'pending', status)"))
 
 
+def append(rows: DataFrame, folder: str, batch: int, now: int) -> None:
+    """Adds ``rows`` of a journal as one batch of lines, stamped with ``now``.
+
+    A batch that is written again replaces itself, so a job that was cut off can simply run again.
+    """
+    stamped = rows.withColumn("updated_at", F.lit(now).cast("bigint"))
+    have = [(short, long) for short, long in SHORT.items() if long in stamped.columns]
+    stamped.select("seq", *[F.col(long).alias(short) for short, long in have]).write.mode("overwrite").json(f"{folder.rstrip('/')}/batch={batch:010d}")
+
+
+def appended(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of all batches; ``seq`` orders them by batch and then as they were numbered there."""
+    long = dict(x.strip().split(" ") for x in JOURNAL.split(","))
+    schema = "seq bigint, " + ", ".join(f"{k} {long[v]}" for k, v in SHORT.items())
+    rows = spark.read.schema(schema + ", batch bigint").option("basePath", folder).json(folder).where("k <> ''")
+    return rows.select(F.struct(F.col("batch"), F.col("seq")).alias("seq"), *[F.col(k).alias(v) for k, v in SHORT.items()])
+
+
 def latest(journal: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
     """The last row of each key: one partial aggregation, no sort."""
     rest = [c for c in journal.columns if c != key]

@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import asdict, dataclass, field, fields, replace
+from urllib.parse import urlsplit
+
+from tidemark.functions import urls
 
 CONSTRAINTS = ("host", "host+1", "subdomains", "directory", "rules", "none")
 SUPPORTING = ("none", "related", "any")
@@ -71,6 +74,32 @@ class Settings:
             portable(p)
         return self
 
+    def normalized(self) -> Settings:
+        """What a run begins with: start URLs with schemes, lists without repeats, no negative limits."""
+        if not self.start_urls:
+            raise ValueError("no start URL given")
+        lists = {f.name: tuple(dict.fromkeys(v)) for f in fields(self) if isinstance(v := getattr(self, f.name), tuple)}
+        limits = {f.name: max(v, 0) for f in fields(self) if isinstance(v := getattr(self, f.name), int) and not isinstance(v, bool)}
+        starts = tuple(dict.fromkeys(start_url(x, i) for i, x in enumerate(self.start_urls, 1)))
+        return replace(self, **lists | limits | {"start_urls": starts}).validated()
+
+
+def start_url(raw: str, number: int = 1) -> str:
+    """A start URL with its scheme; raises where ``urls.start_problem`` names a reason."""
+    url = raw.strip(" \t\r\n")
+    if not url:
+        raise ValueError(f"start URL {number} is empty")
+    if "://" not in url:
+        name, _, port = re.match("[^/?#]*", url.lower()).group().partition(":")
+        plain = name in urls.PLAIN_HOSTS or name.endswith(urls.PLAIN_SUFFIXES) or port not in ("", *urls.SECURE_PORTS)
+        url = f"{'http' if plain else 'https'}://{url}"
+    parts = urlsplit(url)
+    if not parts.netloc:
+        raise ValueError(f"start URL {raw!r} has no host")
+    if parts.scheme not in ("http", "https"):
+        raise ValueError(f"start URL {raw!r}: unsupported scheme {parts.scheme!r}")
+    return url
+
 
 def portable(pattern: str) -> str:
     """The pattern, if every engine reads it alike: no lookaround, no back-references."""

@@ -138,7 +138,7 @@ _url_query("u16_extension", {"ext": (urls.extension("u_path"), _EXT)})
 _url_query("u17_looks_like_directory", {"dir": ("u_path = '' or u_path like '%/'", "u_path = '' OR u_path LIKE '%/'")})
 _url_query("u18_queue_query", {"dropped": (rules.queue_query(Settings(drop_query_params=tuple(_DROP)), "u_query"), _STRIPPED), "ignored": (rules.queue_query(Settings(ignore_query=True), "u_query"), "''")})
 _url_query("u19_origin", {"host": _same("u_host"), "site": ("concat(u_scheme, '://', u_origin)", "u_scheme || '://' || u_origin")})
-_url_query("u20_default_scheme", {"scheme": (urls.default_scheme("u_origin"), "CASE WHEN u_port NOT IN ('', '443') OR regexp_matches(u_host, '^(localhost|127\\.)|\\.local$') THEN 'http' ELSE 'https' END")})
+_url_query("u20_default_scheme", {"scheme": (urls.default_scheme("u_origin"), "CASE WHEN u_port NOT IN ('', '443', '8443', '4443') OR regexp_matches(u_host, '^(localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0)$|\\.local(host)?$') THEN 'http' ELSE 'https' END")})
 _url_query("d20_role", {"role": (rules.guessed_role("u_path"), f"CASE WHEN {_EXT} IN ('', {', '.join(repr(x) for x in urls.PAGE_EXTENSIONS)}) THEN 'page' ELSE 'asset' END")})
 
 
@@ -149,6 +149,19 @@ def _parse(spark: SparkSession, d: str) -> DataFrame:
 
 add("u04_parse", _parse, r"""SELECT page_id, regexp_replace(url, '^https?://', '') AS raw,
   'https://' || regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '#.*$', ''), '^([^/?]*)$', '\1/') AS url FROM pages""")
+_RAW = ("url", "regexp_replace(url, '^https?://', '')", "concat('  ', regexp_replace(url, '^https?://', ''), ' ')", "concat('localhost:80/', page_id)", "concat('printer.local/', page_id)", "concat('h.example.com:8443/', page_id)",
+        "concat('h.example.com:8080?', page_id)", "''", "concat('ftp://h/', page_id)", "concat('http:///', page_id)", "'//h'")
+
+
+def _start(spark: SparkSession, d: str) -> DataFrame:
+    raw = _table(spark, d, "pages").selectExpr("page_id", f"element_at(array({', '.join(_RAW)}), int(page_id % {len(_RAW)}) + 1) as raw")
+    return raw.selectExpr("page_id", f"{urls.start_problem('raw')} as problem", f"if(({urls.start_problem('raw')}) is null, {urls.started('raw')}, null) as url")
+
+
+add("u21_start_urls", _start, f"""SELECT page_id, CASE page_id % {len(_RAW)} WHEN 7 THEN 'empty' WHEN 8 THEN 'unsupported scheme' WHEN 9 THEN 'no host' WHEN 10 THEN 'no host' END AS problem,
+  CASE page_id % {len(_RAW)} WHEN 0 THEN url WHEN 1 THEN bare WHEN 2 THEN bare WHEN 3 THEN 'http://localhost:80/' || page_id WHEN 4 THEN 'http://printer.local/' || page_id
+    WHEN 5 THEN 'https://h.example.com:8443/' || page_id WHEN 6 THEN 'http://h.example.com:8080?' || page_id END AS url
+  FROM (SELECT *, 'https://' || regexp_replace(url, '^https?://', '') AS bare FROM pages)""")
 add("u22_start_origins", lambda s, d: resolved(s, d).where("u_url is not null").selectExpr("concat(u_scheme, '://', u_origin) as origin").distinct(),
     f"WITH {LINKS_SQL} SELECT DISTINCT u_scheme || '://' || u_origin AS origin FROM links WHERE u_url IS NOT NULL")
 add("u24_probe_targets", lambda s, d: resolved(s, d).where("u_url is not null").selectExpr("concat(u_scheme, '://', u_origin, '/') as target").distinct(),

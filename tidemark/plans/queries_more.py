@@ -120,6 +120,19 @@ add("s05_sitemap_seeds", lambda s, d: robots.sitemap_seeds(
     s.createDataFrame([("m2",), ("m0",)], "loc string")), "SELECT 'http://h/p' AS loc")
 add("p14_robots_glob", lambda s, d: _table(s, d, "part").selectExpr("p_partkey", "concat('/', p_name, if(p_partkey % 2 = 0, '.pdf', '.pdf.x')) as t").selectExpr("p_partkey", f"{robots.matches(urls._lit('/*.pdf$'), 't')} as hit"), "SELECT p_partkey, p_partkey % 2 = 0 AS hit FROM part")
 
+
+
+def _rendered(s: SparkSession, d: str) -> DataFrame:
+    """Pages as a browser would have shown them: what each asked for while it was shown."""
+    asked = "array(url, concat('/x', page_id, '.png'), concat('/x', page_id, '.png'), 'data:x', '', 'blob:y', concat('sub/', page_id % 7), 'mailto:a@b', 'https://cdn.example.net/lib.js?v=1')"
+    return _table(s, d, "pages").selectExpr("page_id", "url", "int(page_id % 3) as depth", f"{asked} as requests")
+
+
+_BASE_SQL = r"regexp_replace(url, '[?#].*$', '')"
+add("d21_rendered_requests", lambda s, d: closure.requested(_rendered(s, d)).select("page_id", F.col("u_url").alias("target"), "role", "depth"),
+    rf"""WITH p AS (SELECT page_id, CAST(page_id % 3 AS INT) AS depth, regexp_extract({_BASE_SQL}, '^[a-z]+://[^/]*', 0) AS site, regexp_extract({_BASE_SQL} || CASE WHEN regexp_matches({_BASE_SQL}, '^[a-z]+://[^/]*$') THEN '/' ELSE '' END, '^[a-z]+://[^/]*(/.*/|/)', 1) AS dir FROM pages)
+    SELECT page_id, site || '/x' || page_id || '.png' AS target, 'asset' AS role, depth FROM p UNION ALL SELECT page_id, site || dir || 'sub/' || page_id % 7, 'page', depth + 1 FROM p
+    UNION ALL SELECT page_id, 'https://cdn.example.net/lib.js?v=1', 'asset', depth FROM p""")
 # --- Closure and states ---------------------------------------------------------------------------------------
 
 add("e04_alias_union", lambda s, d: entries(s, d).select("key", "path").unionByName(state.aliases(entries(s, d), journal(s, d).where("status = 'done'").selectExpr("key", "concat('alias', seq % 5) as final_key").distinct())).groupBy(F.expr("left(key, 5)").alias("kind")).agg(F.count(F.lit(1)).alias("n")).where("kind = 'alias'"),

@@ -119,6 +119,19 @@ def _compacted(s: SparkSession, d: str) -> DataFrame:
 
 
 add("k03_compaction", _compacted, _j("SELECT key, seq, url, status, path, depth, size, err FROM e"))
+
+
+def _appended(s: SparkSession, d: str) -> DataFrame:
+    """The journal written in two batches, the second one twice, and folded again."""
+    from uuid import uuid4
+
+    folder, rows = f"{runtime.scratch(s)}/tidemark/journal-{uuid4().hex}", journal(s, d)
+    for batch, odd in ((1, 1), (2, 0), (2, 0)):
+        state.append(rows.where(f"seq % 2 = {odd}"), folder, batch, 1000 + batch)
+    return state.latest(state.appended(s, folder)).select("key", F.col("seq.seq").alias("seq"), "url", "status", "path", "size", "updated_at")
+
+
+add("k01_journal_append", _appended, _j("SELECT key, seq, url, status, path, size, CAST(1002 - seq % 2 AS BIGINT) AS updated_at FROM j QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq % 2, seq DESC) = 1"))
 add("k12_log_threshold", lambda s, d: _table(s, d, "events").withColumn("level", F.expr("case event_type when 'error' then 'error' when 'signup' then 'warn' when 'view' then 'debug' else 'info' end")).where(f"{formats.level_rank('level')} >= 2").select("event_id", "level"),
     "SELECT event_id, CASE event_type WHEN 'error' THEN 'error' ELSE 'warn' END AS level FROM events WHERE event_type IN ('error', 'signup')")
 add("k07_report", lambda s, d: state.report(entries(s, d)))
