@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,12 +45,14 @@ def scratch(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    Inside ``temporary`` the table goes when the block ends, unless it is ``lasting``.
+    Inside ``temporary`` the table goes when the block ends; a ``lasting`` one outlives it, and
+    goes with the block around it, if there is one.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    if not lasting and getattr(_open, "paths", None) is not None:
-        _open.paths.append(path)
+    blocks = getattr(_open, "blocks", [])[: -1 if lasting else None]
+    if blocks:
+        blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -61,12 +63,12 @@ _open = threading.local()
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables stashed in the block are deleted at its end; what leaves it must be lasting."""
-    outer, _open.paths = getattr(_open, "paths", None), []
+    blocks = _open.__dict__.setdefault("blocks", [])
+    blocks.append([])
     try:
         yield
     finally:
-        paths, _open.paths = _open.paths, outer
-        for path in paths:
+        for path in blocks.pop():
             _delete(spark, path)
 
 
@@ -89,7 +91,28 @@ def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     Catalyst would push the filter below the projections that compute its columns and write them
     out again inside the condition, once for each mention; a row number in between stops that.
     """
-    return df.withColumn("_once", F.monotonically_increasing_id()).where(condition & (F.col("_once") >= 0)).drop("_once")
+    once = "_once"
+    while once in map(str.lower, df.columns):
+        once += "_"
+    return df.withColumn(once, F.monotonically_increasing_id()).where(condition & (F.col(once) >= 0)).drop(once)
+
+
+def sheltered(df: DataFrame, *names: str, but: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with the columns that begin with an underscore, or are called one of ``names``, out of
+    the way of a plan's own columns, and the function that gives them their names back.
+
+    Columns in ``but`` stay as they are.
+    """
+    taken = {c.lower() for c in df.columns}
+    away = {}
+    for c in df.columns:
+        if (c.startswith("_") or c.lower() in names) and c not in but:
+            name = f"own{c}"
+            while name.lower() in taken:
+                name = f"own_{name}"
+            taken.add(name.lower())
+            away[c] = name
+    return df.withColumnsRenamed(away), lambda out: out.withColumnsRenamed({v: k for k, v in away.items()})
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
