@@ -10,9 +10,15 @@ Running sums never gather a source: rows are dealt to slices of the order hash,
 summed first, and only the rows of one slice are ordered together. A large source gets as many
 slices as a small one; ``_digits`` lengthens the slice key as the table grows.
 
-Edge cases: null text counts 0 words and takes nothing; null is a source of its own and comes
-last; rows that are wholly equal share one place in the order, so they are interchangeable;
-an empty table gives an empty mix; when all sizes are 0 all targets are 0.
+The order hash is of the id and the text, so neither null ids nor one id on very many rows gather
+in a slice; only rows equal in both do.
+
+Edge cases: null text counts 0 words and takes nothing; a very long text is one document and may
+be taken in part; null is a source of its own and comes last; rows equal in id and text tie, share
+one place in the order and are interchangeable; an empty table gives an empty mix; when all sizes
+are 0 all targets are 0. Columns named like an output of ``mix`` (``size``, ``source_size``,
+``target``, ``taken``, ``position``, ``passes``) are replaced, any others carried;
+``mixed_documents`` carries all.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.runtime import shuffle_width, stash, temporary
+from tidemark.runtime import sheltered, shuffle_width, stash, temporary
 
 WORD = r"[^\x20\x09-\x0D]+"
 REPEAT_LIMIT = 3
@@ -46,18 +52,20 @@ def _digits(rows: int) -> int:
 
 
 def targets(totals: DataFrame, weights: list[int]) -> DataFrame:
-    """Weigh and cap sources: (source, source_size) -> adds rank, weight and target.
+    """Weigh and cap sources: (source, source_size) -> adds rank, class, weight and target.
 
     Sources above their cap are set to it and the rest is shared by weight again, until none is
     above. One row for each source; every round is one aggregate over them, whose single result
     row is all that reaches the driver.
     """
-    ranked = _ranked(totals).withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
+    ranked = _ranked(totals).withColumn("class", (F.col("rank") % len(weights)).cast("int"))
+    ranked = ranked.withColumn("weight", F.get(F.array(*[F.lit(w).cast("bigint") for w in weights]), F.col("class")))
     ranked = stash(ranked.withColumn("cap", REPEAT_LIMIT * F.col("source_size")), "sources")
     total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     rest, share = total, None
     while True:
-        capped = F.lit(False) if share is None else F.col("cap") * share[1] < F.col("weight") * share[0]
+        # Products of words and weights pass 2^63 where sources are many.
+        capped = F.lit(False) if share is None else F.expr(f"CAST(cap AS DECIMAL(20, 0)) * CAST({share[1]} AS DECIMAL(17, 0)) < CAST(weight AS DECIMAL(17, 0)) * CAST({share[0]} AS DECIMAL(20, 0))")
         row = ranked.agg(
             F.coalesce(F.sum(F.when(capped, F.col("cap"))), F.lit(0)).alias("fixed"),
             F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0)).alias("open"),
@@ -68,7 +76,7 @@ def targets(totals: DataFrame, weights: list[int]) -> DataFrame:
         share = (rest, row["open"])
     if share is None:
         return ranked.withColumn("target", F.lit(0.0))
-    level = F.col("weight") * F.lit(share[0]) / F.lit(share[1])
+    level = F.col("weight").cast("double") * float(share[0]) / float(share[1])
     return ranked.withColumn("target", F.least(F.col("cap").cast("double"), level.cast("double")))
 
 
@@ -97,16 +105,23 @@ def mix(
     ``passes`` holds, for each epoch in which the mix takes words of the document, the words
     taken and the training position. ``taken`` sums them. Other columns of ``docs`` are carried.
     """
-    spark = docs.sparkSession
+    outputs = ("size", "source_size", "target", "taken", "position", "passes")
+    docs, back = sheltered(docs.drop(*outputs), *PLAN)
     own = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
-    clash = {"size", "source_size", "target", "taken", "passes", "position"}
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[c for c in own if c not in clash])
-    return _mix(spark, stash(rows.withColumn("_h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "mix-sizes"), list(weights), schedules)
+    order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    with temporary(docs.sparkSession):
+        rows = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *own, order.alias("_h")), "mix-sizes", lasting=True)
+        rows = rows.withColumn("_slice", F.substring("_h", 1, _digits(rows.count())))
+        starts = stash(_starts(rows, list(weights)), "mix-starts", lasting=True)
+    return back(_placed(rows, starts, schedules))
+
+
+#: Names of a plan's own columns.
+PLAN = ("weight", "class", "n")
 
 
-def _mix(spark: SparkSession, rows: DataFrame, weights: list[int], schedules) -> DataFrame:
-    digits = _digits(rows.count())
-    rows = rows.withColumn("_slice", F.substring("_h", 1, digits))
+def _starts(rows: DataFrame, weights: list[int]) -> DataFrame:
+    """For each slice of a source: the words before it, and the source's size, target and class."""
     slices = stash(rows.groupBy("source", "_slice").agg(F.sum("size").alias("n")), "mix-slices")
     shares = targets(slices.groupBy("source").agg(F.sum("n").alias("source_size")), weights)
     # Slices are summed in two steps, by their first two digits and then within those.
@@ -116,20 +131,18 @@ def _mix(spark: SparkSession, rows: DataFrame, weights: list[int], schedules) ->
     inner = F.sum("n").over(W.partitionBy("source", "_first").orderBy("_slice")) - F.col("n")
     slices = slices.withColumn("_b", inner)
     slices = slices.alias("s").join(firsts.alias("f"), [F.col("s.source").eqNullSafe(F.col("f.source")), F.col("s._first") == F.col("f._first")]).select("s.source", "s._slice", (F.col("_a") + F.col("_b")).alias("_before"))
-    starts = slices.alias("s").join(shares.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("s.source").alias("_src"), F.col("_slice").alias("_sl"), "_before", "source_size", "target", "weight"
+    return slices.alias("s").join(shares.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select(
+        F.col("s.source").alias("_src"), F.col("_slice").alias("_sl"), "_before", "source_size", "target", "class"
     )
+
+
+def _placed(rows: DataFrame, starts: DataFrame, schedules: tuple[tuple[float, float], ...]) -> DataFrame:
     within = F.sum("size").over(W.partitionBy("source", "_slice").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
     placed = rows.withColumn("_in", F.coalesce(within, F.lit(0)))
     placed = placed.join(starts, [placed["source"].eqNullSafe(starts["_src"]), placed["_slice"] == starts["_sl"]])
     begin = F.col("_before") + F.col("_in")
     demand = F.floor("target").cast("bigint")
-    ends = {w: schedules[k % len(schedules)] for k, w in enumerate(weights)}
-    lo = F.lit(None).cast("double")
-    hi = F.lit(None).cast("double")
-    for w, (a, b) in ends.items():
-        lo = F.when(F.col("weight") == w, F.lit(float(a))).otherwise(lo)
-        hi = F.when(F.col("weight") == w, F.lit(float(b))).otherwise(hi)
+    lo, hi = (F.get(F.array(*[F.lit(float(s[end])) for s in schedules]), F.col("class") % len(schedules)) for end in (0, 1))
     placed = placed.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_begin", begin).withColumn("_demand", demand)
     passes = F.expr(
         f"""filter(transform(sequence(0, {REPEAT_LIMIT - 1}), e -> struct(e as epoch,
@@ -147,9 +160,10 @@ def _time_sql(part: str) -> str:
 
     With ends a and b the integral up to t is a t + (b - a) t^2 / 2; ``part`` of the whole,
     (a + b) / 2, is reached at t = 2c / (a + sqrt(a^2 + 2 (b - a) c)) with c = part (a + b) / 2.
+    A schedule that begins at 0 has its first token at t = 0.
     """
     c = f"(({part}) * (_lo + _hi) / 2)"
-    return f"round(2 * {c} / (_lo + sqrt(_lo * _lo + 2 * (_hi - _lo) * {c})), 9)"
+    return f"round(coalesce(try_divide(2 * {c}, _lo + sqrt(greatest(0D, _lo * _lo + 2 * (_hi - _lo) * {c}))), 0D), 9)"
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
@@ -161,13 +175,14 @@ def training_order(mixed: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights: list[int] = (1, 2, 3)) -> DataFrame:
     """The mix itself: whole documents, once for each pass of which the mix takes at least half,
     range-sorted by training position; columns of ``docs``."""
-    held = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
+    docs, back = sheltered(docs)
+    held = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs", lasting=True)
     with temporary(docs.sparkSession):
         plan = mix(held.select("_row", "doc_id", "source", "text"), weights)
         plan = plan.select("_row", F.explode(F.expr("filter(passes, p -> 2 * p.words >= size)")).alias("p")).select("_row", F.col("p.position").alias("_at"), F.col("p.epoch").alias("_epoch"))
         plan = stash(plan, "mix-plan", lasting=True)
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_PASSES else plan
-    return held.join(plan, "_row").orderBy("_at", "_row", "_epoch").select(*docs.columns)
+    return back(held.join(plan, "_row").orderBy("_at", "_row", "_epoch").select(*docs.columns))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +196,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || md5(coalesce(text, ''))) AS h FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight
