@@ -3,7 +3,7 @@
 A table key joins one sub-key of a first collection with one of a second, so ``SIDE`` sub-keys on
 each side make ``SIDE``^2 tables out of 2 * SIDE * ROWS minhash functions, about a square root
 of what separate tables need. Two documents at similarity 0.8 share no key with probability
-below 2e-6. The second half of a key is joined inside the bucket of the first, so a document
+1.3e-6 (both sides share a sub-key each with probability 1 - 0.488^20). The second half of a key is joined inside the bucket of the first, so a document
 sends ``SIDE`` rows, not ``SIDE``^2.
 
 Documents with equal shingle sets are one node. In each bucket of a key all members point to its
@@ -17,7 +17,8 @@ first one (never to each other), and links are confirmed on full sets:
 Edge cases: null or empty texts and texts without words have an empty set, link with nothing and
 are their own component; a text with fewer words than a shingle is one shingle; rows repeating an
 id are separate rows of equal sets when their texts agree; a null id is never a component's id
-unless no member has one; an empty table gives an empty result. Extra columns are not read.
+unless no member has one; an empty table gives an empty result; texts of any length are shingled
+whole, one at a time, and compared by their whole sets. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.runtime import shuffle_width, small_batches, stash, temporary
+from tidemark.runtime import sheltered, shuffle_width, small_batches, stash, temporary
 
 SIDE, ROWS = 20, 3
 BLOCK = 256
@@ -438,17 +439,20 @@ def _block_rows(left: DataFrame, tested: DataFrame, group: DataFrame, items: Dat
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group: of its smallest id, null last, the first.
 
-    Rows are numbered in a written copy, so repeated and null ids are told apart.
+    Rows are numbered in a written copy, so repeated and null ids are told apart. All columns are
+    carried, whatever their names.
     """
-    held = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash-docs")
-    found = near_duplicates(held, size, percent, "_row", text).select(F.col("doc_id").alias("_row"), "component_id")
-    ranked = held.select("_row", F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id"), "_row").alias("rank"))
-    first = found.join(ranked, "_row").groupBy("component_id").agg(F.min("rank")["_row"].alias("_row"), F.count(F.lit(1)).alias("n"))
-    # Only groups of several rows lose any, so what is joined with the texts is the rows that go.
-    many = first.where("n > 1").select("component_id", F.col("_row").alias("stays"))
-    gone = stash(found.join(many, "component_id").where("_row <> stays").select("_row"), "minhash-dropped")
+    docs, back = sheltered(docs, but=(doc_id, text))
+    held = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash-docs", lasting=True)
+    with temporary(docs.sparkSession):
+        found = near_duplicates(held, size, percent, "_row", text).select(F.col("doc_id").alias("_row"), "component_id")
+        ranked = held.select("_row", F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id"), "_row").alias("rank"))
+        first = found.join(ranked, "_row").groupBy("component_id").agg(F.min("rank")["_row"].alias("_row"), F.count(F.lit(1)).alias("n"))
+        # Only groups of several rows lose any, so what is joined with the texts is the rows that go.
+        many = first.where("n > 1").select("component_id", F.col("_row").alias("stays"))
+        gone = stash(found.join(many, "component_id").where("_row <> stays").select("_row"), "minhash-dropped", lasting=True)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone
-    return held.join(gone, "_row", "left_anti").select(*docs.columns)
+    return back(held.join(gone, "_row", "left_anti").select(*docs.columns))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

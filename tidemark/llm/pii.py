@@ -20,7 +20,7 @@ HMAC nests them. Whoever holds the key can invert the pseudonyms, so ``pseudonym
 its own; the query takes it from the setting ``KEY_CONF``, or a published one for trials.
 
 Edge cases: null text stays null and counts nothing; empty text stays empty; rows are rewritten
-one by one, so repeated rows repeat; an empty table gives an empty result; other columns are
+one by one, whole whatever their length, so repeated rows repeat; an empty table gives an empty result; other columns are
 carried, unless named like a count, which replaces them.
 """
 
@@ -31,6 +31,8 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.runtime import sheltered
+
 ROUNDS = 10
 #: The setting that names the query's key, and the published key it takes without one.
 KEY_CONF, TRIAL_KEY = "spark.tidemark.pseudonym.key", "tidemark"
@@ -188,6 +190,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     rules = {"email": _email, "ip": _ip, "ssn": _ssn, "phone": _phone, "date": _date}
     new = "case x.kind " + " ".join(f"when '{k}' then array(struct(x.m as old, {rule('x.m', key)} as new))" for k, rule in rules.items()) + f" else {_cards('x.m', key)} end"
     any_of = f"r'{ANY}'"
+    docs, back = sheltered(docs, but=(text,))
     df = (
         docs.withColumn("_hit", F.expr(f"coalesce(`{text}` rlike '[0-9@]' and `{text}` rlike {any_of}, false)"))
         .withColumn("_gaps", F.expr(f"if(_hit, split(`{text}`, {any_of}, -1), array())"))
@@ -197,7 +200,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     counts = [F.expr(f"bigint(size(filter(flatten(transform(filter(_new, x -> x.kind = '{k}'), x -> x.parts)), p -> p.new <> p.old)))").alias(f"n_{k}") for k in KINDS]
     body = F.expr(f"if(_hit, concat(_gaps[0], array_join(transform(_new, (x, i) -> concat(array_join(transform(x.parts, p -> p.new), ''), _gaps[i + 1])), '')), `{text}`)").alias(text)
     names = [f"n_{k}" for k in KINDS]
-    return df.select(*[body if c == text else F.col(c) for c in docs.columns if c not in names], *counts)
+    return back(df.select(*[body if c == text else F.col(c) for c in docs.columns if c not in names], *counts))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ and corpus-wide ablations run on one row for each distinct bit pattern.
 
 Edge cases: a null or blank text has no words, all measures 0, and fails ``too_few_words``.
 Rows are judged one by one, so repeated rows and repeated ids give repeated results; an empty
-table gives an empty ledger; extra columns are carried by ``apply_policy`` and ignored here.
+table gives an empty ledger; a text of any length is measured whole, in one row. Columns named
+like a measurement or ``failed`` are replaced, any others carried.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.runtime import where_computed
+from tidemark.runtime import sheltered, where_computed
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -56,9 +57,9 @@ STANDARD = Policy("standard", 1, RULES)
 #: words of neighbours are compared (``_clash``); a document in which two different windows share
 #: a hash finds its repeats by the windows' text instead (``_by_name``).
 STEPS = (
-    ("_words", f"regexp_extract_all(_text, r'({WORD})', 1)"),
+    ("_words", f"regexp_extract_all(_body, r'({WORD})', 1)"),
     ("_n", "size(_words)"),
-    ("_lines", f"filter(split(_text, '\\n'), x -> x rlike r'{WORD}')"),
+    ("_lines", f"filter(split(_body, '\\n'), x -> x rlike r'{WORD}')"),
     ("_width", "length(bin(_n))"),
     (
         "_packed",
@@ -84,22 +85,23 @@ STEPS = (
     ("_by_name", "filter(transform(_named, (x, i) -> if(array_contains(_often, x), i, null)), i -> i is not null)"),
     ("_starts", "if(_clash, _by_name, sort_array(_at))"),
     ("n_words", "bigint(_n)"),
-    ("word_chars", r"bigint(length(_text) - regexp_count(_text, r'[\x20\x09-\x0D]'))"),
-    ("n_symbols", f"bigint(regexp_count(_text, r'{SYMBOLS}'))"),
+    ("word_chars", r"bigint(length(_body) - regexp_count(_body, r'[\x20\x09-\x0D]'))"),
+    ("n_symbols", f"bigint(regexp_count(_body, r'{SYMBOLS}'))"),
     ("n_dup_lines", "bigint(size(_lines) - size(array_distinct(_lines)))"),
     ("n_repeat_words", "aggregate(transform(_starts, (s, k) -> least(3, coalesce(get(_starts, k + 1) - s, 3))), 0L, (a, x) -> a + x)"),
     ("n_lines", "bigint(size(_lines))"),
-    ("n_upper", r"bigint(regexp_count(_text, r'\p{Lu}'))"),
+    ("n_upper", r"bigint(regexp_count(_body, r'\p{Lu}'))"),
 )
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurements of all rules added; no shuffle, no Python."""
-    df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    docs, back = sheltered(docs, but=(text,))
+    df = docs.withColumn("_body", F.coalesce(F.col(text), F.lit("")))
     for name, sql in STEPS:
         df = df.withColumn(name, F.expr(sql))
     kept = [c for c in docs.columns if c not in MEASURES]
-    return df.select(*kept, *MEASURES)
+    return back(df.select(*kept, *MEASURES))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")

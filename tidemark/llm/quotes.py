@@ -19,8 +19,8 @@ Edge cases: null text is empty; a message of quotes only keeps an empty body; a
 nobody wrote is dropped and links nothing; repeated (conversation, turn) rows are separate
 messages with the same links and stand together, under the earliest source that one of them
 quotes; messages with a null conversation or turn are kept, but neither
-give nor get links; empty tables give empty results; extra columns are carried unless named like
-an output.
+give nor get links; empty tables give empty results; a text of any length is
+parsed whole, in one row; extra columns are carried unless named like an output, and then replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.runtime import stash, temporary
+from tidemark.runtime import sheltered, stash, temporary
 
 MARK = r"^(?:[\x20\t]*>)+"
 OUTPUTS = ("body", "n_quotes", "max_level", "reply_conv", "reply_turn", "quoted", "thread")
@@ -59,6 +59,7 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     ``quoted`` tells whether a quotation made the link. ``reply_conv`` differs from the message's
     own conversation where the source is in another one.
     """
+    messages, back = sheltered(messages, "b", "c", "t", "own", "key", but=(conv, turn, text))
     kept = [c for c in messages.columns if c not in (*OUTPUTS, "passages")]
     with temporary(messages.sparkSession):
         df = parsed(messages.select(*kept), text)
@@ -80,10 +81,10 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
         linked = linked.withColumn("quoted", quoted).withColumn("reply_conv", F.when(quoted, F.coalesce("b.c", "_conv")).when(F.col("_before").isNotNull(), F.col("_conv")))
         linked = linked.withColumn("reply_turn", F.when(quoted, F.col("b.t")).otherwise(F.col("_before")))
         linked = stash(linked.drop("b", "_before"), "quote-links", lasting=True)
-    return _threaded(linked).select(
+    return back(_threaded(linked).select(
         *kept, "body", F.size("passages").cast("bigint").alias("n_quotes"), F.expr("bigint(coalesce(array_max(transform(passages, x -> x.level)), 0))").alias("max_level"),
         "reply_conv", "reply_turn", "quoted", "thread",
-    )
+    ))
 
 
 _HASH = "md5(array_join({}, '\n'))"
@@ -173,18 +174,19 @@ def reply_order(linked: DataFrame, conv: str = "conv_id", turn: str = "turn") ->
     A thread is a run of turns, so it stays whole, and the threads that branch off it follow: those
     under its last message first. Conversations without a branch are in order as they are.
     """
+    linked, back = sheltered(linked, but=(conv, turn))
     node = linked.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("_c"), F.col(turn).alias("_t"), F.col("thread").alias("_head"), "quoted", "reply_conv", "reply_turn")
     branch = node.where("quoted and reply_conv = _c and reply_turn < _t").groupBy("_c", "_head").agg(F.min("reply_turn").alias("_at"))
     with temporary(linked.sparkSession):
         branch = stash(branch, "quote-branches")
         if branch.isEmpty():
-            return linked.orderBy(conv, "thread", turn)
+            return back(linked.orderBy(conv, "thread", turn))
         heads = node.select("_c", "_head").distinct().join(branch.select("_c").distinct(), "_c", "left_semi")
         above = node.select("_c", F.col("_t").alias("_at"), F.col("_head").alias("_up")).distinct()
         threads = stash(heads.join(branch, ["_c", "_head"], "left").join(above, ["_c", "_at"], "left"), "quote-threads")
         left = stash(_to_the_end(threads), "quote-places", lasting=True)
     placed = linked.join(left, (F.col(conv) == F.col("_c")) & (F.col("thread") == F.col("_head")), "left")
-    return placed.orderBy(conv, F.desc_nulls_first("_left"), "thread", turn).select(*linked.columns)
+    return back(placed.orderBy(conv, F.desc_nulls_first("_left"), "thread", turn).select(*linked.columns))
 
 
 def _to_the_end(threads: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ one key, so steps after the first see them once.
 
 Edge cases: null is the empty text; texts under ``LENGTH`` bytes lose nothing and match nothing;
 very long texts are read in overlapping pieces; repeated rows are copies of each other and go
-entirely when long enough; an empty table gives an empty result; columns other than the id and the
-text are carried unless an output is named alike.
+entirely when long enough; an empty table gives an empty result; columns other than the text are
+carried unless an output is named alike, and then replaced.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tidemark.runtime import shuffle_width, small_batches, stash, temporary
+from tidemark.runtime import sheltered, shuffle_width, small_batches, stash, temporary
 
 LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1
@@ -335,17 +335,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = False)
     small_batches(docs.sparkSession)
     outputs = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
     body = F.coalesce(F.col(text), F.lit(""))
+    docs, back = sheltered(docs, "x", "y", "places", but=(text,))
     keyed = docs.withColumns({"x": F.xxhash64(body), "y": F.crc32(body.cast("binary"))})
     texts = keyed.select("x", "y", body.alias("text"))
     marks = repeats(texts)
     schema = "x bigint, y bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text binary" * with_text
     done = _only(texts, marks.select("x", "y")).join(marks, ["x", "y"]).select("x", "y", "text", "places").mapInArrow(_cut(with_text), schema)
-    kept = [c for c in docs.columns if c not in (*outputs, text, "x", "y")]
+    kept = [c for c in docs.columns if c not in (*outputs, text)]
     plain = keyed.select(*kept, "x", "y", F.octet_length(body).cast("bigint").alias("n_bytes"), F.sha2(body, 256).alias("_sha"), *([body.cast("binary").alias("_text")] * with_text))
-    return plain.join(done, ["x", "y"], "left").select(
+    return back(plain.join(done, ["x", "y"], "left").select(
         *kept, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", "_sha").alias("kept_sha256"), *([F.coalesce("kept_text", "_text").alias("kept_text")] * with_text),
-    )
+    ))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
