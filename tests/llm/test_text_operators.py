@@ -52,6 +52,9 @@ def test_policies_and_ablations(spark):
     assert [r.doc_id for r in quality.apply_policy(book, quality.BASE).orderBy("doc_id").collect()] == [0, 1]
     table = {(r.policy, r.without): (r.kept, r.dropped) for r in quality.ablations(book, quality.BASE, quality.STANDARD).collect()}
     assert table["standard", ""] == (1, 4) and table["standard", "symbol_heavy"] == (2, 3) and table["base", "too_few_words"][0] == 4
+    older = book.selectExpr("* except (ruleset)", "'older' as ruleset")
+    both = quality.ablations(book.unionByName(older), quality.BASE).where("without = ''").collect()
+    assert {(r.ruleset, r.kept) for r in both} == {(quality.RULESET, 2), ("older", 2)}
     assert quality.ledger(docs(spark, TEXTS).limit(0)).count() == 0
     assert quality.ledger(docs(spark, ["x"]).selectExpr("doc_id", "text", "1 as n_words", "2 as failed")).columns.count("failed") == 1
 

@@ -3,16 +3,18 @@
 Every rule is evaluated once per document; the ledger keeps the measurements and one failure
 bit for each rule. Policies are versioned masks over those bits, so a new policy, or the effect
 of leaving a rule out, never reads a text again: both are bitwise expressions over the ledger,
-and corpus-wide ablations run on one row for each distinct bit pattern.
+and corpus-wide ablations run on one row for each distinct bit pattern. Bits depend on the rules'
+bounds, so a ledger names the ``RULESET`` that it was made by, and ablations keep rulesets apart.
 
 Edge cases: a null or blank text has no words, all measures 0, and fails ``too_few_words``.
 Rows are judged one by one, so repeated rows and repeated ids give repeated results; an empty
 table gives an empty ledger; a text of any length is measured whole, in one row. Columns named
-like a measurement or ``failed`` are replaced, any others carried.
+like a measurement, ``failed`` or ``ruleset`` are replaced, any others carried.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -119,10 +121,15 @@ FAILS = {
 }
 
 
+#: Changes with any rule, its bit or its bound.
+RULESET = hashlib.sha256("\n".join(f"{r}: {FAILS[r]}" for r in RULES).encode()).hexdigest()[:8]
+
+
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each document: its columns, the measurements and ``failed``, the failure bits."""
+    """One row for each document: its columns, the measurements, ``failed``, the failure bits, and
+    the ``ruleset`` that set them."""
     bits = " | ".join(f"(CASE WHEN {FAILS[r]} THEN {BIT[r]} ELSE 0 END)" for r in RULES)
-    return measure(docs.drop("failed") if "failed" in docs.columns else docs, text).withColumn("failed", F.expr(f"CAST({bits} AS BIGINT)"))
+    return measure(docs.drop("failed", "ruleset"), text).withColumns({"failed": F.expr(f"CAST({bits} AS BIGINT)"), "ruleset": F.lit(RULESET)})
 
 
 def fails(policy: Policy, bits: str = "failed") -> Column:
@@ -135,19 +142,19 @@ def apply_policy(book: DataFrame, policy: Policy) -> DataFrame:
 
 
 def ablations(book: DataFrame, *policies: Policy) -> DataFrame:
-    """For each policy, and for it without each of its rules: documents kept and dropped.
+    """For each ruleset and policy, and for it without each of its rules: documents kept and dropped.
 
-    Runs over one row for each distinct bit pattern, of which there are at most 2^rules.
+    Runs over one row for each distinct bit pattern, of which there are at most 2^rules a ruleset.
     """
-    patterns = book.groupBy("failed").agg(F.count(F.lit(1)).alias("n"))
+    patterns = book.groupBy("ruleset", "failed").agg(F.count(F.lit(1)).alias("n"))
     cases = [(p.name, p.version, "", p.mask) for p in policies] + [
         (p.name, p.version, r, p.mask & ~BIT[r]) for p in policies for r in p.rules
     ]
     masks = F.explode(F.array(*[F.struct(F.lit(a).alias("policy"), F.lit(b).alias("version"), F.lit(c).alias("without"), F.lit(d).cast("bigint").alias("mask")) for a, b, c, d in cases]))
     hit = F.col("failed").bitwiseAND(F.col("m.mask")) == 0
     return (
-        patterns.select("failed", "n", masks.alias("m"))
-        .groupBy("m.policy", "m.version", "m.without")
+        patterns.select("ruleset", "failed", "n", masks.alias("m"))
+        .groupBy("ruleset", "m.policy", "m.version", "m.without")
         .agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("kept"), F.sum(F.when(hit, 0).otherwise(F.col("n"))).alias("dropped"))
     )
 
@@ -192,3 +199,20 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 AS base_failed,
        bits = 0 AS kept, CAST(bits AS BIGINT) AS failed_bits, n_lines, n_upper FROM b
 """
+
+
+def rule_ablations(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the two policies costs, over all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return ablations(ledger(docs), BASE, STANDARD)
+
+
+_CASES = ", ".join(
+    f"('{p.name}', {p.version}, '{r}', {p.mask & ~BIT.get(r, 0)})" for p in (BASE, STANDARD) for r in ("", *p.rules)
+)
+
+ABLATIONS_SQL = f"""
+SELECT '{RULESET}' AS ruleset, policy, version, "without", CAST(count(*) FILTER (WHERE failed_bits & mask = 0) AS BIGINT) AS kept,
+       CAST(count(*) FILTER (WHERE failed_bits & mask <> 0) AS BIGINT) AS dropped
+FROM ({OP10_SQL}) b, (VALUES {_CASES}) p(policy, version, "without", mask) GROUP BY ALL
+"""

@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quotation_links": quotes.op9,
     "quotation_links_requoted": quotes.requoted_replies,
     "op10_rule_ledger": quality.op10,
+    "rule_ablations": quality.rule_ablations,
 }
 
 ORACLE = {
@@ -27,4 +28,5 @@ ORACLE = {
     "op9_quotation_links": quotes.OP9_SQL,
     "quotation_links_requoted": quotes.REQUOTED_SQL,
     "op10_rule_ledger": quality.OP10_SQL,
+    "rule_ablations": quality.ABLATIONS_SQL,
 }
