@@ -20,7 +20,7 @@ from tidemark.runtime import drop_stash, sheltered, stash, temporary
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the standard policy fails. Null and blank texts have too few words
     and go; rows are judged one by one, so repeated rows stay or go together."""
-    docs, back = sheltered(docs, *quality.MEASURES, "failed")
+    docs, back = sheltered(docs, *quality.MEASURES, "failed", "ruleset")
     return back(quality.apply_policy(quality.ledger(docs), quality.STANDARD).select(*docs.columns))
 
 
