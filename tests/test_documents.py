@@ -213,3 +213,17 @@ def test_a_cluster_has_to_name_its_scratch_folder():
     assert scratch(session("local[2]")).startswith("file://")
     conf["spark.checkpoint.dir"] = "hdfs://h/x/"
     assert scratch(session("yarn")) == "hdfs://h/x"
+
+
+@pytest.mark.parametrize("slot", [3, 4096])
+def test_schedules_against_one_by_one(spark, monkeypatch, slot):
+    monkeypatch.setattr(folds, "SLOT", slot)
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "b", None]), i, rng.randint(0, 400)) for i in range(60)]
+    df = spark.createDataFrame(rows, "host string, seq long, at long").selectExpr("host", "seq", "timestamp_seconds(at) as ts")
+    want, last = {}, {}
+    for host, i, at in rows:
+        want[i] = last[host] = max(at, last[host] + 10) if host in last else at
+    got = folds.schedule(df, "host", "seq", "ts", 10.0).collect()
+    assert {r.seq: round(r.start, 6) for r in got} == want and len(got) == 60
+    assert folds.schedule(df.limit(0), "host", "seq", "ts", 10.0).count() == 0

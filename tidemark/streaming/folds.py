@@ -1,7 +1,7 @@
 """Ordered state machines over event logs, as batch windows and folds.
 
-Associative ones (streaks, islands, decayed rates) are windows by key. Those that are not (paced
-hosts, token buckets, schedules) fold one key's events in order; they run in Arrow groups whose
+Associative ones (streaks, islands, decayed rates, schedules) are windows by key. Those that are not
+(paced hosts, token buckets, gates) fold one key's events in order; they run in Arrow groups whose
 memory is one key's batch of state, streamed from sorted partitions.
 """
 
@@ -211,15 +211,29 @@ def token_bucket(events: DataFrame, key: str, seq: str, ts: str, size: str, rate
     return fold(timed, key, seq, ["_ts", "_n"], dict, step, "wait double")
 
 
-def schedule(events: DataFrame, key: str, seq: str, ts: str, gap: float) -> DataFrame:
-    """(key, seq, start): when each request may start, ``gap`` seconds after the one before."""
-    timed = events.withColumn("_ts", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+#: Numbers of ``seq`` whose requests are ordered together by ``schedule``.
+SLOT = 4096
 
-    def step(s: dict, v: tuple) -> tuple:
-        s["at"] = max(v[0], s["at"] + gap) if "at" in s else v[0]
-        return (s["at"],)
 
-    return fold(timed, key, seq, ["_ts"], dict, step, "start double")
+def schedule(events: DataFrame, key: str, seq: str, ts: str, gap: float) -> DataFrame:
+    """(key, seq, start): when each request may start, ``gap`` seconds after the one before.
+
+    The n-th request starts at ``gap`` n past the greatest ts - ``gap`` i of those up to it. Sums
+    and maxima of slots of ``seq``, a number, are taken first, so a hot key is spread. Equal
+    numbers go by ts; a null ts waits for the ones before only, a null number comes first.
+    """
+    slot = F.coalesce(F.floor(F.col(seq) / SLOT), F.lit(-(2**62)))
+    rows = events.select(F.col(key).alias("_k"), F.col(seq).alias("_s"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t"), slot.alias("_slot"))
+    order = W.partitionBy("_k", "_slot").orderBy("_s", "_t")
+    rows = rows.withColumn("_n", F.row_number().over(order)).withColumn("_lead", F.col("_t") - gap * F.col("_n"))
+    before = W.partitionBy("_k").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    slots = rows.groupBy("_k", "_slot").agg(F.count(F.lit(1)).alias("_c"), F.max("_lead").alias("_most"))
+    slots = slots.withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    slots = slots.select(F.col("_k").alias("_key"), F.col("_slot").alias("_at"), "_base", F.max(F.col("_most") - gap * F.col("_base")).over(before).alias("_earlier"))
+    so_far = F.max("_lead").over(order.rowsBetween(W.unboundedPreceding, 0))
+    placed = rows.withColumn("_far", so_far).join(slots, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_slot") == F.col("_at")))
+    start = F.greatest(F.col("_far") - gap * F.col("_base"), F.col("_earlier")) + gap * (F.col("_base") + F.col("_n"))
+    return placed.select(F.col("_k").alias(key), F.col("_s").alias(seq), start.alias("start"))
 
 
 def phase(state: str) -> str:
